@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -17,6 +20,23 @@ def arrow_schema(ddl: str | StructType) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl) if isinstance(ddl, str) else ddl)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="leafmill-")) / "leafmill.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    _shipped.add(sc.applicationId)
+
+
 def map_text(docs: DataFrame, keys: list, make: Callable[[], Callable], ddl: str, text: str = "text") -> DataFrame:
     """docs' key columns and text through make()(keys, texts) -> columns of ddl, or None; make runs once a task.
 
@@ -24,6 +44,7 @@ def map_text(docs: DataFrame, keys: list, make: Callable[[], Callable], ddl: str
     """
     df = docs.select(*[F.col(k) if isinstance(k, str) else k for k in keys], F.col(text).cast("string").alias("__text"))
     schema = arrow_schema(ddl)
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
