@@ -15,5 +15,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op8_quality_rules": op8_quality_rules}
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.mixing import taken
+
+    return taken(_read(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.decontamination import decontaminate
+
+    return decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op8_quality_rules, op9_mixing, op10_decontamination)}
 ORACLES: dict[str, str] = {}
