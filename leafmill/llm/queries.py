@@ -9,6 +9,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.neardup import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm.quality_rules import quality_rules
 
@@ -27,5 +33,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op8_quality_rules, op9_mixing, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op6_near_dedup, op8_quality_rules, op9_mixing, op10_decontamination)}
 ORACLES: dict[str, str] = {}
