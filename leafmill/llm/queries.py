@@ -9,6 +9,14 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from leafmill.llm.tokenstore import store_and_index
+
+    return store_and_index(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm.neardup import near_duplicates
 
@@ -33,5 +41,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op6_near_dedup, op8_quality_rules, op9_mixing, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_token_store, op6_near_dedup, op8_quality_rules, op9_mixing, op10_decontamination)}
 ORACLES: dict[str, str] = {}
