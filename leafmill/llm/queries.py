@@ -17,6 +17,12 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_index(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.langid import language_id
+
+    return language_id(_read(spark, sf_dir, "documents"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm.neardup import near_duplicates
 
@@ -41,5 +47,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_store, op6_near_dedup, op8_quality_rules, op9_mixing, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_token_store, op4_language_id, op6_near_dedup, op8_quality_rules, op9_mixing, op10_decontamination)}
 ORACLES: dict[str, str] = {}
