@@ -2,10 +2,12 @@
 
 1. A pass over the texts gives each row its set's size and fingerprint and its signature's band hashes.
 2. Rows with equal sets form a class, represented by its smallest doc_id. Only representatives go on.
-3. Representatives that share a band hash share a bucket. Buckets are not expanded into pairs: in each round every bucket
-   names pivots, members of other components are paired with them, pairs are verified on whole shingle sets, and the links
-   found are merged into components. A bucket is done when all its members are in one component, or all pairs across
-   components were tried; the number of pivots grows round by round, so no link is lost.
+3. Representatives that share a band hash share a bucket. Buckets are not expanded into pairs. First every member is paired
+   with one pivot, the most central member (of the fullest buckets) that it shares a bucket with, then with a few more;
+   pairs are verified on whole shingle sets and the links found are merged into components. A bucket whose members are all
+   in one component is done. In a small bucket that is not, the pairs across components follow. In a large one the members
+   outside its main component become a query set, which is held in blocks of bounded size against the sets of all members
+   of such buckets by an inverted index; so no link is lost, and no group's pairs are ever rows.
 4. Components: a union-find in each partition shrinks the links to a forest, then minimum labels are spread over what is
    left, by large-star and small-star steps.
 
@@ -30,8 +32,12 @@ WORDS = 5
 #: 32 bands of 4 rows miss a pair of similarity 0.75 with probability 5e-6.
 SLOTS, ROWS = 128, 4
 SIMILARITY = (75, 100)
-#: Pivots that a bucket names in one round; None: all members.
-PIVOTS = (1, 4, 32, None)
+#: Pivots that a bucket names in the second round.
+PIVOTS = 3
+#: Members of the largest bucket whose pairs across components are joined.
+SMALL = 32
+#: Bytes of shingles in one block of the query set.
+QUERY_BYTES = 16_000_000
 
 
 def shingle_sets(b: ts.Block) -> tuple[np.ndarray, np.ndarray]:
@@ -166,6 +172,82 @@ def linked(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIMI
     )
 
 
+def ordered(pairs: DataFrame) -> DataFrame:
+    """Pairs (x, y) as (a, b) with a < b."""
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b")
+
+
+def split_buckets(open_: DataFrame, root: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The buckets whose members are in more than one component, with each member's component; and the components."""
+    now = open_.drop("root").join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    now = saved(now, "roots")
+    split = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    return saved(now.join(split, "bucket", "left_semi"), "open"), root
+
+
+def searched(open_: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """Links (a, b) across components within crowded buckets (bucket, id, root).
+
+    Any such pair has a member outside its bucket's main component. Those members are the query set; blocks of it, of at
+    most QUERY_BYTES, are indexed by shingle and met with the sets of all members, which counts what each pair has in common.
+    """
+    spark = sets.sparkSession
+    out = spark.createDataFrame([], "a long, b long")
+    mass = open_.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = mass.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    asked = open_.join(main, "bucket").where("root <> main").select("id").distinct()
+    bytes_ = sets.join(asked, F.col("sid") == F.col("id"), "left_semi").agg(F.sum(F.size("items") * 8)).first()[0]
+    if not bytes_:
+        return out
+    blocks = -(-bytes_ // QUERY_BYTES)
+    part = F.pmod(F.xxhash64("sid"), F.lit(blocks))
+    asked_sets = sets.join(asked, F.col("sid") == F.col("id"), "left_semi")
+    all_sets = saved(sets.join(open_.select("id").distinct(), F.col("sid") == F.col("id"), "left_semi").select("sid", "items").repartition(max(1, spark.sparkContext.defaultParallelism)), "crowd-sets")
+    for i in range(blocks):
+        t = asked_sets.where(part == i).select("sid", "items").orderBy("sid").toArrow()
+        if not len(t):
+            continue
+        items = t["items"].combine_chunks()
+        sizes = np.diff(items.offsets.to_numpy())
+        flat = items.flatten().to_numpy()
+        order = np.argsort(flat, kind="stable")
+        query = (t["sid"].to_numpy(), sizes, flat[order], np.repeat(np.arange(len(sizes)), sizes)[order])
+        out = out.unionByName(_met(all_sets, spark.sparkContext.broadcast(query), similarity))
+    return out
+
+
+def _met(all_sets: DataFrame, shared, similarity: tuple[int, int]) -> DataFrame:
+    ddl = "a long, b long"
+    schema = arrow_schema(ddl)
+    part, whole = similarity
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sizes, flat, owner = shared.value
+        for batch in batches:
+            items = batch.column(1)
+            offsets = items.offsets.to_numpy().astype(np.int64)
+            values = items.values.to_numpy()
+            own = batch.column(0).to_numpy()
+            left = np.searchsorted(flat, values, side="left")
+            n = np.searchsorted(flat, values, side="right") - left
+            upto = np.concatenate(([0], np.cumsum(n)))[offsets]
+            a = 0
+            while a < len(own):  # rows that meet about two million entries of the index at a time
+                z = max(a + 1, int(np.searchsorted(upto, upto[a] + 2_000_000, side="right")) - 1)
+                s = slice(offsets[a], offsets[z])
+                hit = n[s].sum()
+                at = np.repeat(left[s] - np.concatenate(([0], np.cumsum(n[s])[:-1])), n[s]) + np.arange(hit)
+                row = np.repeat(np.repeat(np.arange(a, z), np.diff(offsets[a : z + 1])), n[s])
+                key, common = np.unique(row * len(ids) + owner[at], return_counts=True)
+                row, q = key // len(ids), key % len(ids)
+                near = (own[row] != ids[q]) & (whole * common >= part * (np.diff(offsets)[row] + sizes[q] - common))
+                x, y = own[row[near]], ids[q[near]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=schema)
+                a = z
+
+    return all_sets.mapInArrow(run, ddl).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text): n_shingles, component_id (least doc_id reachable) and kept.
 
@@ -183,41 +265,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = rows.where("n > 0").dropDuplicates(["doc_id", "f1", "f2", "n"])
     heads = first.join(reps, (first.doc_id == reps.id) & (first.f1 == reps.f1) & (first.f2 == reps.f2)).select("id", first.f1, first.n, "bands")
     member = heads.select("id", "f1", F.explode("bands").alias("bucket"))
-    crowded = member.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
-    member = saved(member.join(crowded, "bucket", "left_semi").select("bucket", "id", "f1"), "buckets")
-    sets = saved(sets_of(docs, _key(member.select("id", "f1").distinct())), "sets")
-    open_ = member.select("bucket", "id").withColumn("root", F.col("id"))
-    links: DataFrame | None = None
-    tried: DataFrame | None = None
-    for n in PIVOTS:
-        whole = Window.partitionBy("bucket")
-        split = open_.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        open_ = saved(open_.join(split, "bucket", "left_semi"), "open")
-        if not open_.limit(1).count():
-            break
-        if n is None:
-            pivots = open_
-        elif n == 1:
-            pivots = open_.groupBy("bucket").agg(F.min_by(F.struct("id", "root"), "id").alias("p")).select("bucket", "p.*")
-        else:
-            pivots = open_.withColumn("nth", F.row_number().over(whole.orderBy(F.xxhash64("id", F.lit(n))))).where(F.col("nth") <= n)
-        pivots = pivots.select("bucket", F.col("id").alias("p"), F.col("root").alias("pr"))
-        pairs = open_.join(pivots, "bucket").where("root <> pr").select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b"))
-        if n == 1:  # one pivot a member will do to begin with: the least of its buckets
-            pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        else:
-            pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = saved(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = saved(linked(pairs, sets), "links")
-        links = found if links is None else links.unionByName(found)
-        root = components(links)
-        if n is not None:
-            open_ = open_.select("bucket", "id").join(root, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-    every = same if links is None else same.unionByName(links)
-    root = components(every, "classes")
+    sizes = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket", "size")
+    member = saved(member.join(sizes, "bucket").select("bucket", "id", "f1", "size"), "buckets")
+    ranks = member.groupBy("id", "f1").agg(F.sum("size").alias("rank"))
+    sets = saved(sets_of(docs, _key(ranks)), "sets")
+    open_ = saved(member.join(ranks.groupBy("id").agg(F.max("rank").alias("rank")), "id").select("bucket", "id", "size", "rank", F.col("id").alias("root")), "open")
+    best = F.max_by(F.struct("id", "rank"), F.struct("rank", -F.col("id"))).alias("p")
+    pairs = open_.join(open_.groupBy("bucket").agg(best), "bucket").where("id <> p.id")
+    pairs = pairs.groupBy(F.col("id").alias("y")).agg(F.max_by("p.id", F.struct("p.rank", -F.col("p.id"))).alias("x"))
+    pairs = saved(ordered(pairs), "pairs")
+    links = saved(linked(pairs, sets), "links")
+    open_, root = split_buckets(open_, components(links))
+    if open_.limit(1).count():
+        nth = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("rank"), "id"))
+        pivots = open_.withColumn("nth", nth).where(F.col("nth") <= PIVOTS).select("bucket", F.col("id").alias("x"), F.col("root").alias("xr"))
+        more = open_.join(pivots, "bucket").where("root <> xr").select("x", F.col("id").alias("y"))
+        more = saved(ordered(more).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        pairs = pairs.unionByName(more)
+        links = saved(links.unionByName(saved(linked(more, sets), "links")), "links")
+        open_, root = split_buckets(open_, components(links))
+    if open_.limit(1).count():
+        few = open_.where(F.col("size") <= SMALL)
+        more = few.select("bucket", F.col("id").alias("y"), F.col("root").alias("yr")).join(few.select("bucket", F.col("id").alias("x"), F.col("root").alias("xr")), "bucket")
+        more = ordered(more.where("xr < yr").select("x", "y")).distinct().join(pairs, ["a", "b"], "left_anti")
+        found = linked(saved(more, "pairs"), sets)
+        many = saved(open_.where(F.col("size") > SMALL), "crowds")
+        links = saved(links.unionByName(found).unionByName(searched(many, sets)), "links")
+    root = components(same.unionByName(links), "classes")
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(root, F.col("doc_id") == F.col("id"), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
