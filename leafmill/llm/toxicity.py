@@ -2,9 +2,9 @@
 
 A trigram language model over characters is counted on every document. Tokens that look disguised (symbols or digits for
 letters, letters spread out by spaces or punctuation, letters repeated) become lattices of what each character may stand
-for, and Viterbi decoding under the character model and the channel's costs restores them. Which restored words speak for
-the label is learned from labelled documents (a bounded sample, after exact copies are set aside); a logistic function of
-their summed log odds gives the score.
+for, and Viterbi decoding under the character model and the channel's costs restores them. Which plain and restored
+words, and which five-byte grams of them, speak for the label is learned from labelled documents (a bounded sample, after
+copies and near copies are set aside); a logistic function of their summed log odds gives the score.
 """
 
 from __future__ import annotations
@@ -22,8 +22,12 @@ from leafmill.llm.langid import fold
 
 #: Labelled rows learned from: at most so many, the first by a hash of their id.
 SAMPLE = 20_000
-#: Words of the lexicon at most; a word must be in this share of the sample's label-1 documents, and in MIN_DOCS of them.
-LEXICON, MIN_SHARE, MIN_DOCS = 500, 0.01, 5
+#: Entries of the lexicon at most; one must be in this share of the sample's label-1 documents, and in MIN_DOCS of them.
+LEXICON, MIN_SHARE, MIN_DOCS = 2000, 0.004, 5
+#: Least log odds ratio, less two standard errors.
+MIN_ODDS = 2.0
+WORD = np.uint64(1 << 63)
+GRAM = 5
 THRESHOLD = 0.3
 #: Characters of the longest token that is decoded; no word is longer.
 LONGEST = 30
@@ -38,8 +42,8 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c",
 }
 
-#: Channel costs, in nats: a symbol for a letter, a letter dropped from a run, a symbol that stands for nothing.
-COST_SYMBOL, COST_RUN, COST_DROP = 0.5, 0.7, 4.0
+#: Channel costs, in nats: a symbol for a letter, letters dropped from a run of three or of two, a symbol that stands for nothing.
+COST_SYMBOL, COST_RUN, COST_PAIR, COST_DROP = 0.5, 0.7, 3.0, 8.0
 
 N = 28  # 0: a word's edge, 1-26: letters, 27: anything else
 SYMBOL = np.full(256, 27, dtype=np.int64)
@@ -48,6 +52,11 @@ SYMBOL[97:123] = np.arange(1, 27)
 SYMBOL[65:91] = np.arange(1, 27)
 GAP = ts.SPACE.copy()
 GAP[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
+#: Bytes of words in lower case; anything else is a word's edge.
+NORM = np.arange(256, dtype=np.uint64)
+NORM[:128] = 0x20
+NORM[97:123] = np.arange(97, 123)
+NORM[65:91] = np.arange(97, 123)
 LETTER = np.zeros(256, dtype=bool)
 LETTER[97:123] = LETTER[65:91] = True
 MARK = np.zeros(256, dtype=bool)
@@ -120,7 +129,7 @@ def token_lattice(token: str) -> list[list[tuple[str, float]]]:
             if n == 1:
                 place.append((x, cost))
             elif n == 2:
-                place += [(x * 2, cost), (x, cost + COST_RUN)]
+                place += [(x * 2, cost), (x, cost + COST_PAIR)]
             else:
                 place += [(x, cost + COST_RUN), (x * 2, cost + COST_RUN)]
         out.append(place)
@@ -179,37 +188,82 @@ def restored(b: ts.Block, model: np.ndarray, memory: dict) -> list[tuple[int, st
 
 
 class Lexicon(NamedTuple):
-    words: list[str]
+    grams: np.ndarray  # sorted
     weights: np.ndarray
     bias: float
     slope: float
 
 
+def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and codes of the grams of all texts; an edge may stand at a gram's ends only. Text i begins at offsets[i] + i."""
+    s = np.append(np.insert(NORM[data], offsets[:-1], np.uint64(0x20)), np.uint64(0x20))
+    n = len(s) - GRAM + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    edge = s == 0x20
+    inner = edge[1 : 1 + n].copy()
+    code = s[:n].copy()
+    for i in range(1, GRAM):
+        code |= s[i : i + n] << np.uint64(8 * i)
+        if 1 < i < GRAM - 1:
+            inner |= edge[i : i + n]
+    at = np.flatnonzero(~inner)
+    return at, code[at]
+
+
+def of_words(found: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(document, gram) of restored words."""
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    raw = [x.encode() for _, x in found]
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
+    at, code = grams(np.frombuffer(b"".join(raw), dtype=np.uint8), offsets)
+    return np.array([d for d, _ in found])[np.searchsorted(offsets[:-1] + np.arange(len(raw)), at, side="right") - 1], code
+
+
+def features(b: ts.Block, model: np.ndarray, memory: dict, maybe: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(document, code) of all grams and words of a block, restored words among them; maybe: only codes whose bit is set."""
+    at, code = grams(b.data, b.offsets)
+    w = ts.words(b, ts.TABLE_LOWER, GAP)
+    word = w.hash | WORD
+    doc = w.doc
+    if maybe is not None:
+        near = np.flatnonzero(maybe[(code % np.uint64(len(maybe))).astype(np.int64)])
+        at, code = at[near], code[near]
+        near = np.flatnonzero(maybe[(word % np.uint64(len(maybe))).astype(np.int64)])
+        doc, word = doc[near], word[near]
+    docs, codes = [text_of(b, at), doc], [code, word]
+    found = restored(b, model, memory)
+    if found:
+        d, c = of_words(found)
+        docs += [d, np.array([d for d, _ in found])]
+        codes += [c, word_hash([x for _, x in found]) | WORD]
+    return np.concatenate(docs).astype(np.int64), np.concatenate(codes)
+
+
 def word_hash(words: list[str]) -> np.ndarray:
-    import pyarrow as pa
+    raw = [x.encode() for x in words]
+    ends = np.cumsum([len(x) for x in raw])
+    return ts.Hasher(np.frombuffer(b"".join(raw), dtype=np.uint8), ts.TABLE_LOWER).of(np.concatenate(([0], ends[:-1])), ends)
 
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    return np.concatenate([ts.words(b, ts.TABLE_LOWER, GAP).hash for b in ts.blocks(pa.array(words, pa.large_string()))])
 
+def text_of(b: ts.Block, at: np.ndarray) -> np.ndarray:
+    return np.searchsorted(b.offsets[:-1] + np.arange(len(b.offsets) - 1), at, side="right") - 1
 
-def hits(b: ts.Block, lexicon: dict[str, int], hashes: np.ndarray, order: np.ndarray, model: np.ndarray, memory: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(document, lexicon number) of the different lexicon words in each text of a block, restored words among them."""
-    t = ts.words(b, ts.TABLE_LOWER, GAP)
-    docs, nums = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if len(hashes) and len(t.hash):
-        at = np.minimum(np.searchsorted(hashes, t.hash), len(hashes) - 1)
-        found = hashes[at] == t.hash
-        docs, nums = t.doc[found], order[at[found]]
-    more = [(d, lexicon[x]) for d, x in restored(b, model, memory) if x in lexicon]
-    if more:
-        docs, nums = np.concatenate([docs, [d for d, _ in more]]), np.concatenate([nums, [n for _, n in more]])
-    both = np.unique(docs * (len(lexicon) + 1) + nums)
-    return both // (len(lexicon) + 1), both % (len(lexicon) + 1)
+
+def hits(b: ts.Block, lexicon: np.ndarray, maybe: np.ndarray, model: np.ndarray, memory: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(document, lexicon number) of the different lexicon entries in each text of a block."""
+    docs, codes = features(b, model, memory, maybe)
+    if not len(lexicon):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    num = np.minimum(np.searchsorted(lexicon, codes), len(lexicon) - 1)
+    ok = lexicon[num] == codes
+    both = np.unique(docs[ok] * len(lexicon) + num[ok])
+    return both // len(lexicon), both % len(lexicon)
 
 
 def sample_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, y of the labelled rows learned from; of exact copies with one label, the first."""
+    """doc_id, text, y of the labelled rows learned from."""
     known = labels.where("doc_id is not null and toxic is not null").where(fold(4) != 2).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).toArrow()
     ids = {int(i): int(y > 0) for i, y in zip(picked["doc_id"].to_pylist(), picked["y"].to_pylist(), strict=True)}
@@ -226,46 +280,68 @@ def sample_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
         return step
 
-    return map_text(docs, ["doc_id"], make, "doc_id long, text string, y int").withColumn("f", F.xxhash64("text"))
+    return map_text(docs, ["doc_id"], make, "doc_id long, text string, y int")
+
+
+def distinct_ids(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and labels of the sample's rows that share none of three min-hashes of word triples with a row before."""
+
+    def make():
+        def step(cols, texts):
+            for b in ts.blocks(texts):
+                n_docs = len(b.offsets) - 1
+                doc, h = ts.shingles(ts.words(b, ts.TABLE_LOWER), 3)
+                least = np.full((3, n_docs), np.iinfo(np.uint64).max, dtype=np.uint64)
+                for i in range(3):
+                    np.minimum.at(least[i], doc, ts.mix(h + np.uint64(i)))
+                yield [*[c.slice(b.first, n_docs) for c in cols], *(x.view(np.int64) for x in least)]
+
+        return step
+
+    t = map_text(rows, ["doc_id", "y"], make, "doc_id long, y int, m0 long, m1 long, m2 long").toArrow().sort_by("doc_id").to_pydict()
+    seen: set[tuple[int, int]] = set()
+    ids, ys = [], []
+    for d, y, *m in zip(*t.values(), strict=True):
+        keys = set(enumerate(m))
+        if not keys & seen:
+            ids.append(d)
+            ys.append(y)
+        seen |= keys
+    return np.array(ids, dtype=np.int64), np.array(ys, dtype=np.int64)
 
 
 def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray) -> Lexicon:
     rows = sample_rows(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    one = rows.groupBy("f", "y").agg(F.min("doc_id").alias("d")).toArrow()
-    first = np.sort(np.array(one["d"].to_pylist(), dtype=np.int64))
-    n1 = sum(y == 1 for y in one["y"].to_pylist())
-    n0 = len(one) - n1
+    first, labels_of = distinct_ids(rows)
+    n1 = int(labels_of.sum())
+    n0 = len(labels_of) - n1
 
     def make():
         char_model = shared.value
         memory: dict = {}
 
         def step(cols, texts):
-            counts: dict[str, list[int]] = {}
             ids = cols[0].to_numpy(zero_copy_only=False)
             y = cols[1].to_numpy(zero_copy_only=False)
             use = np.isin(ids, first)
             for b in ts.blocks(texts):
-                t = ts.words(b, ts.TABLE_LOWER, GAP)
-                raw = b.data.tobytes()
-                pairs = np.unique(np.stack([t.doc.astype(np.uint64), t.hash], axis=1), axis=0, return_index=True)[1] if len(t.hash) else []
-                seen: set[tuple[int, str]] = {(int(t.doc[i]), raw[t.start[i] : t.end[i]].decode("utf-8", "replace").lower()) for i in pairs}
-                seen.update(restored(b, char_model, memory))
-                for d, x in seen:
-                    if use[b.first + d] and len(x) <= LONGEST:
-                        counts.setdefault(x, [0, 0])[int(y[b.first + d])] += 1
-            yield [list(counts), [c[0] for c in counts.values()], [c[1] for c in counts.values()]]
+                doc, code = features(b, char_model, memory)
+                keep = use[b.first + doc]
+                pairs = np.unique(np.stack([code[keep], doc[keep].astype(np.uint64)]), axis=1) if keep.any() else np.zeros((2, 0), np.uint64)
+                code, number = np.unique(pairs[0], return_inverse=True)
+                label = y[b.first + pairs[1].astype(np.int64)]
+                yield [code.view(np.int64), np.bincount(number, weights=label == 0, minlength=len(code)).astype(np.int64), np.bincount(number, weights=label == 1, minlength=len(code)).astype(np.int64)]
 
         return step
 
-    words = map_text(rows, ["doc_id", "y"], make, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    found = map_text(rows, ["doc_id", "y"], make, "gram long, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     least = max(MIN_DOCS, int(MIN_SHARE * n1))
     odds = F.log((F.col("n1") + 0.5) / (n1 - F.col("n1") + 0.5)) - F.log((F.col("n0") + 0.5) / (n0 - F.col("n0") + 0.5))
     error = F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
-    best = words.where(F.col("n1") >= least).where((F.col("n1") <= n1) & (F.col("n0") <= n0)).select("word", "n1", odds.alias("w"), (odds - 2 * error).alias("low")).where("low > 1")
-    got = sorted(best.orderBy(F.desc("low"), "word").limit(LEXICON).collect(), key=lambda r: r["word"])
-    lex = Lexicon([r["word"] for r in got], np.array([r["w"] for r in got]), 0.0, 1.0)
+    best = found.where(F.col("n1") >= least).where((F.col("n1") <= n1) & (F.col("n0") <= n0)).select("gram", odds.alias("w"), (odds - 2 * error).alias("low")).where(F.col("low") > MIN_ODDS)
+    got = sorted(best.orderBy(F.desc("low"), "gram").limit(LEXICON).collect(), key=lambda r: r["gram"] % 2**64)
+    lex = Lexicon(np.array([r["gram"] for r in got], dtype=np.int64).view(np.uint64), np.array([r["w"] for r in got], dtype=float), 0.0, 1.0)
     table = sums(rows.select("doc_id", "text", "y"), lex, model, ["y"], "y int, x double").groupBy("y", F.round("x", 2).alias("x")).count().toArrow()
     x, y, n = (np.array(table[c].to_pylist(), dtype=float) for c in ("x", "y", "count"))
     return lex._replace(**dict(zip(("bias", "slope"), logistic(x, y, n), strict=True)))
@@ -284,20 +360,19 @@ def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]
 
 
 def sums(docs: DataFrame, lex: Lexicon, model: np.ndarray, keys: list, ddl: str, finish=None) -> DataFrame:
-    """keys and the summed weights of the different lexicon words of each text."""
+    """keys and the summed weights of the different lexicon grams of each text."""
     shared = docs.sparkSession.sparkContext.broadcast((lex, model))
 
     def make():
         lex, char_model = shared.value
-        number = {x: i for i, x in enumerate(lex.words)}
-        h = word_hash(lex.words)
-        order = np.argsort(h)
+        maybe = np.zeros(1 << 20, dtype=bool)
+        maybe[(lex.grams % np.uint64(len(maybe))).astype(np.int64)] = True
         memory: dict = {}
 
         def step(cols, texts):
             for b in ts.blocks(texts):
                 n_docs = len(b.offsets) - 1
-                doc, num = hits(b, number, h[order], order, char_model, memory)
+                doc, num = hits(b, lex.grams, maybe, char_model, memory)
                 x = np.bincount(doc, weights=lex.weights[num], minlength=n_docs) if len(doc) else np.zeros(n_docs)
                 yield [*[c.slice(b.first, n_docs) for c in cols], *([x] if finish is None else finish(x, lex))]
 
