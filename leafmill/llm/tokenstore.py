@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leafmill.llm import textscan as ts
 from leafmill.llm.arrowmap import arrow_schema, ship
 from leafmill.llm.scratch import new_path
 
@@ -36,53 +37,158 @@ END_ID = 2
 WINDOW = 16
 #: Chunks have about MEAN ids, at least LEAST and at most MOST; a document's last one may be shorter.
 MEAN, LEAST, MOST = 1024, 256, 4096
-#: Encoded pieces of text a task remembers; beyond that it starts afresh.
-CACHE = 300_000
-#: Chunk bytes for which a task remembers what it has sent already.
-SENT = 500_000
+#: Encoded pieces of text that a worker remembers, the first that it meets (about 40 MB); others are encoded each time.
+CACHE = 1_500_000
+RECENT = 100_000
+#: Chunks of which a task remembers that it has sent them.
+SENT = 300_000
+#: Documents whose chunks are sent together.
+GROUP = 2048
 #: Ids per recipe file, roughly.
 RECIPE_ROWS = 200_000
 GEAR = np.random.Generator(np.random.PCG64(5)).integers(0, 2**32, 1 << 16, dtype=np.uint64).astype(np.uint32)
-#: No token spans the place before a single space, unless white space stands on both sides of it. Splitting at every space
-#: is right then; texts where such a run may occur are split at spaces between visible characters only.
-CUT = re.compile(r"(?<=\S) (?=\S)")
-OTHER_SPACE = re.compile(r"[^\S \n]")
+#: White space other than the space and the newline; bytes that may begin it beyond ASCII.
+OTHER = np.zeros(256, dtype=bool)
+OTHER[[9, 11, 12, 13, 0x1C, 0x1D, 0x1E, 0x1F]] = True
+MAY_BE_SPACE = re.compile(r"[^\S \n]")
+BREAK = np.zeros(256, dtype=bool)
+BREAK[[0x20, 0x0A]] = True
 
 
-def pieces(text: str) -> list[str]:
-    odd = "  " in text or (" \n" in text and "\n " in text) or OTHER_SPACE.search(text)
-    first, *rest = CUT.split(text) if odd else text.split(" ")
-    return [first, *[f" {p}" for p in rest]]
+def odd_documents(b: ts.Block) -> np.ndarray:
+    """Documents whose white space is not made of single spaces and up to two newlines between visible characters.
+
+    In all others the tokenizer's own first step parts the text before each single space and around each newline, so that
+    the pieces there can be encoded by themselves.
+    """
+    d, n = b.data, len(b.data)
+    odd = np.zeros(len(b.offsets) - 1, dtype=bool)
+    if not n:
+        return odd
+    last = np.zeros(n + 2, dtype=bool)  # the next byte belongs to another document
+    last[b.offsets[1:] - 1] = True
+    last = last[:n]
+    space, line = d == 0x20, d == 0x0A
+    after = np.append(BREAK[d][1:], True)
+    bad = OTHER[d] | (space & (after | last)) | (line & ~last & np.append(space[1:], False))
+    two = line & np.append(line[1:], False) & ~last
+    end2 = np.append(last[1:], True)
+    bad |= two & (end2 | np.append(line[2:], [False, False])[:n] & ~end2)
+    at = np.flatnonzero(bad)
+    odd[np.searchsorted(b.offsets, at, side="right") - 1] = True
+    raw = b.data.tobytes()
+    wide = np.flatnonzero((d == 0xC2) | (d == 0xE1) | (d == 0xE2) | (d == 0xE3))  # first bytes of wider white space
+    for i in np.unique(np.searchsorted(b.offsets, wide, side="right") - 1).tolist():
+        if not odd[i] and MAY_BE_SPACE.search(raw[b.offsets[i] : b.offsets[i + 1]].decode("utf-8", "replace")):
+            odd[i] = True
+    return odd
 
 
 class Encoder:
-    """Whole texts to ids, piece by piece: a token never spans the place before a single space, so pieces are encoded once."""
+    """Whole texts to ids. Pieces between single spaces and newlines are encoded once and remembered by fingerprint."""
 
-    def __init__(self, path: str):
+    def __init__(self, vocabulary: bytes):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, pieces: list[str]) -> None:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        for i in range(0, len(pieces), 20_000):
-            part = pieces[i : i + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, dtype=self.kind).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as little-endian bytes of self.kind."""
-        split = [pieces(t) for t in texts]
-        new = set().union(*split).difference(self.known) if split else set()
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = set().union(*split)
-        self.learn(sorted(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        self.tokenizer = Tokenizer.from_str(vocabulary.decode("utf-8"))
+        words = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2") if len(words) <= 1 << 16 else np.dtype("<u4")
+        self.bytes = np.zeros(max(words.values()) + 1, dtype=np.int64)  # of each id's text: a character stands for a byte
+        for x, i in words.items():
+            self.bytes[i] = len(x)
+        self.flat = np.zeros(1 << 16, dtype=self.kind)
+        self.used = 0
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.old, self.new = none, none  # fingerprints in order, first ids in flat, numbers of ids
+
+    def _add(self, ids: np.ndarray) -> int:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), dtype=self.kind)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return self.used - len(ids)
+
+    def _pieces(self, raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes pieces; where their ids lie in flat, and how many."""
+        at, n = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        led = np.array([raw[i] == 0x20 for i in start.tolist()], dtype=bool)
+        spaced = np.flatnonzero(led)
+        for k in range(0, len(spaced), 5000):  # pieces that begin with a space stay apart when they are put together
+            part = spaced[k : k + 5000]
+            text = b"".join(raw[i:j] for i, j in zip(start[part].tolist(), end[part].tolist(), strict=True)).decode("utf-8")
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.int64)
+            ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(end[part] - start[part])) + 1
+            first = np.concatenate(([0], ends[:-1]))
+            at[part], n[part] = self._add(ids) + first, ends - first
+        for k in np.flatnonzero(~led).tolist():
+            ids = self.tokenizer.encode(raw[start[k] : end[k]].decode("utf-8"), add_special_tokens=False).ids
+            at[k], n[k] = self._add(np.array(ids, dtype=self.kind)), len(ids)
+        return at, n
+
+    def encode(self, b: ts.Block) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a block's documents one after another, and where each document's begin."""
+        n_docs = len(b.offsets) - 1
+        odd = odd_documents(b)
+        raw = b.data.tobytes()
+        whole = np.flatnonzero(odd)
+        w = ts.words(b, ts.TABLE, BREAK)
+        lines = np.flatnonzero(b.data == 0x0A)
+        start = np.concatenate([w.start, lines])
+        end = np.concatenate([w.end, lines + 1])
+        doc = np.concatenate([w.doc, np.searchsorted(b.offsets, lines, side="right") - 1])
+        h = np.concatenate([w.hash, np.full(len(lines), 10, dtype=np.uint64)])
+        if len(w.start):
+            led = (w.start > b.offsets[w.doc]) & (b.data[np.maximum(w.start - 1, 0)] == 0x20)
+            start[: len(led)] -= led
+            h[: len(led)] ^= np.where(led, np.uint64(0x5851F42D4C957F2D), np.uint64(0))
+        keep = ~odd[doc]
+        order = np.argsort(start[keep], kind="stable")
+        start, end, doc, h = (x[keep][order] for x in (start, end, doc, h))
+        mark = self.used
+        u, first, number = np.unique(h, return_index=True, return_inverse=True)
+        at, n = np.zeros(len(u), np.int64), np.full(len(u), -1)
+        for keys, places, sizes in (self.old, self.new):
+            if len(keys):
+                i = np.minimum(np.searchsorted(keys, u), len(keys) - 1)
+                ok = keys[i] == u
+                at[ok], n[ok] = places[i[ok]], sizes[i[ok]]
+        miss = np.flatnonzero(n < 0)
+        if len(miss):
+            at[miss], n[miss] = self._pieces(raw, start[first[miss]], end[first[miss]])
+        full = len(self.old[0]) + len(self.new[0]) + len(miss) > CACHE
+        if len(miss) and not full:
+            merged = [np.concatenate(x) for x in zip(self.new, (u[miss], at[miss], n[miss]), strict=True)]
+            if len(merged[0]) > RECENT:
+                merged = [np.concatenate(x) for x in zip(self.old, merged, strict=True)]
+                self.old = tuple(x[np.argsort(merged[0], kind="stable")] for x in merged)
+                self.new = tuple(x[:0] for x in merged)
+            else:
+                self.new = tuple(x[np.argsort(merged[0], kind="stable")] for x in merged)
+        sizes = n[number]
+        ids = self.flat[np.repeat(at[number] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+        counts = np.bincount(doc, weights=sizes, minlength=n_docs).astype(np.int64)
+        if full:
+            self.used = mark
+        if len(whole):
+            parts = np.split(ids, np.cumsum(counts)[:-1])
+            texts = [raw[b.offsets[i] : b.offsets[i + 1]].decode("utf-8") for i in whole.tolist()]
+            for i, e in zip(whole.tolist(), self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                parts[i] = np.array(e.ids, dtype=self.kind)
+            counts[whole] = [len(parts[i]) for i in whole.tolist()]
+            ids = np.concatenate(parts)
+        return ids, np.concatenate(([0], np.cumsum(counts)))
+
+
+_encoders: dict[bytes, Encoder] = {}
+
+
+def encoder(vocabulary: bytes) -> Encoder:
+    """This process's encoder for a vocabulary file's content; workers keep it from task to task."""
+    key = hashlib.sha256(vocabulary).digest()
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(vocabulary)
+    return _encoders[key]
 
 
 def cuts(ids: np.ndarray, mean: int = MEAN, least: int = LEAST, most: int = MOST) -> list[int]:
@@ -124,7 +230,7 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def chunk_rows(docs: DataFrame, tokenizer: str, end_id: int, tokenizer_bytes: bytes) -> DataFrame:
+def chunk_rows(docs: DataFrame, end_id: int, vocabulary) -> DataFrame:
     """digest, n, ids and where they occur, as (doc_id, row, nth): per task one row with ids for a chunk, then ids are null.
 
     row tells rows of one doc_id apart. Occurrences are packed by document batch, so a chunk that is everywhere makes a
@@ -136,30 +242,24 @@ def chunk_rows(docs: DataFrame, tokenizer: str, end_id: int, tokenizer_bytes: by
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tempfile
-
-        with tempfile.NamedTemporaryFile(suffix=".json") as f:  # the vocabulary came with the task; it is read once and goes
-            f.write(tokenizer_bytes)
-            f.flush()
-            enc = Encoder(f.name)
+        enc = encoder(vocabulary.value)
         sent: set[bytes] = set()
-        end = np.array([end_id], dtype=enc.kind).tobytes()
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in (b.slice(i, GROUP) for b in batches for i in range(0, b.num_rows, GROUP)):
             found: dict[bytes, tuple[int, bytes | None, list]] = {}
-            for lo in range(0, batch.num_rows, 512):
-                doc_ids = batch.column(0).slice(lo, 512).to_pylist()
-                texts = [t or "" for t in batch.column(1).slice(lo, 512).to_pylist()]
-                for doc_id, data in zip(doc_ids, enc.encode(texts), strict=True):
-                    data += end
-                    a = 0
-                    for nth, z in enumerate(cuts(np.frombuffer(data, dtype=enc.kind))):
+            doc_ids = batch.column(0).to_pylist()
+            for b in ts.blocks(batch.column(1)):
+                ids, bounds = enc.encode(b)
+                for i in range(len(bounds) - 1):
+                    own = np.append(ids[bounds[i] : bounds[i + 1]], enc.kind.type(end_id))
+                    data, a = own.tobytes(), 0
+                    for nth, z in enumerate(cuts(own)):
                         part = data[a * enc.kind.itemsize : z * enc.kind.itemsize]
                         d = digest(part)
                         if d not in found:
                             found[d] = (z - a, None if d in sent else part, [])
                             sent.add(d)
-                        found[d][2].append((doc_id, row, nth))
+                        found[d][2].append((doc_ids[b.first + i], row, nth))
                         a = z
                     row += 1
             if len(sent) > SENT:
@@ -199,7 +299,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     spark = docs.sparkSession
     with open(tokenizer, "rb") as f:
         vocabulary = f.read()
-    raw = chunk_rows(docs, tokenizer, end_id, vocabulary)
+    raw = chunk_rows(docs, end_id, spark.sparkContext.broadcast(vocabulary))  # a vocabulary file: a few megabytes
     # one reducer row with ids for each digest; the rows of a digest are as many as the tasks' batches that met it
     bound = Window.partitionBy("digest").orderBy(F.col("ids").isNull(), F.element_at("at", 1))
     raw.withColumn("__nth", F.row_number().over(bound)).select(
@@ -217,7 +317,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     files = part_roots(spark.read.parquet(f"{path}/recipes"))
     manifest = {
         "tokenizer_sha256": hashlib.sha256(vocabulary).hexdigest(), "end_id": end_id, "files": files,
-        "id_bytes": Encoder(tokenizer).kind.itemsize, "root": merkle([bytes.fromhex(x["root"]) for x in files]).hex(),
+        "id_bytes": encoder(vocabulary).kind.itemsize, "root": merkle([bytes.fromhex(x["root"]) for x in files]).hex(),
     }
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{path}/manifest")
 
