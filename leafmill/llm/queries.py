@@ -48,6 +48,12 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_index(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.repeats import remove_repeats
+
+    return remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm.langid import language_id
 
@@ -94,5 +100,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_token_store, op4_language_id, op5_site_quality, op6_near_dedup, op7_toxicity, op8_quality_rules, op9_mixing, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_token_store, op3_repeats, op4_language_id, op5_site_quality, op6_near_dedup, op7_toxicity, op8_quality_rules, op9_mixing, op10_decontamination)}
 ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL}
