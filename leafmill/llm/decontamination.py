@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructType
 
 from leafmill.llm import textscan as ts
 from leafmill.llm.arrowmap import map_text
@@ -148,20 +149,32 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = MIN_MATCH, lea
     return docs.select("doc_id").join(out, F.col("doc_id").eqNullSafe(F.col("__id"))).select("doc_id", "n_items", "b.*", "contaminated", (~F.col("contaminated")).alias("kept"))
 
 
-def one_pass(docs: DataFrame, x: Index, k: int, least: float) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, as they are, that no part of the benchmark contaminates."""
+    for s in slices(benchmark):
+        row = StructType().add("row", docs.schema)
+        got = one_pass(docs, index(*s), MIN_MATCH, MIN_COVERAGE, [F.struct(*docs.columns).alias("row")], row.add("kept", BooleanType()))
+        docs = got.where("kept").select("row.*")
+    return docs
+
+
+def one_pass(docs: DataFrame, x: Index, k: int, least: float, keys: list | None = None, ddl: str | StructType = OUT) -> DataFrame:
+    """A row of results for each row of docs; with other keys, those and the verdict alone."""
+    brief = keys is not None
     shared = docs.sparkSession.sparkContext.broadcast(x)
 
     def make():
         x = shared.value
 
-        def step(keys, texts):
+        def step(cols, texts):
             for b in ts.blocks(texts):
                 n_docs = len(b.offsets) - 1
                 got = scan(b, x, k, least)
                 rows = [got.get(i, (0, None, 0, 0, 0.0)) for i in range(n_docs)]
                 bad = [r[4] >= least for r in rows]
-                yield [keys[0].slice(b.first, n_docs), *map(list, zip(*rows, strict=True)), bad, [not r for r in bad]]
+                own = [c.slice(b.first, n_docs) for c in cols]
+                yield [*own, *([] if brief else [*map(list, zip(*rows, strict=True)), bad]), [not r for r in bad]]
 
         return step
 
-    return map_text(docs, ["doc_id"], make, OUT)
+    return map_text(docs, keys or ["doc_id"], make, ddl)

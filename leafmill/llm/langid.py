@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from leafmill.llm import textscan as ts
 from leafmill.llm.arrowmap import map_text
@@ -32,6 +33,8 @@ SAMPLE_CHARS = 8_000_000
 FEATURES = 1 << 17
 STEPS, RATE, SHRINK = 14, 0.6, 1e-5
 SEGMENT = 128
+#: A document whose best language has a lower mean posterior is rejected.
+MIN_SCORE = 0.3
 #: Words whose potentials a task remembers.
 CACHE = 400_000
 UND = "und"
@@ -218,8 +221,8 @@ def sample(docs: DataFrame, lang: str = "lang") -> tuple[list[str], list[str]]:
     return [r["t"] for r in rows], [r["l"] for r in rows]
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of each row of docs (doc_id, text)."""
+def predict(docs: DataFrame, model: Model, keys: list | None = None, ddl: str | StructType = OUT) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of each row of docs (doc_id, text); keys and ddl: other columns before the last two."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     k = max(1, len(model.langs))
 
@@ -261,11 +264,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 score = mass[np.arange(n_docs), best] / np.maximum(total, 1)
                 none = (total == 0) | (not langs)
                 best[none], score[none] = len(langs), 0.0
-                yield [keys[0].slice(b.first, n_docs), keys[1].slice(b.first, n_docs), names[best], np.clip(score, 0, 1)]
+                yield [*[c.slice(b.first, n_docs) for c in keys], names[best], np.clip(score, 0, 1)]
 
         return step
 
-    return map_text(docs, ["doc_id", (fold(5) == 0).alias("held_out")], make, OUT)
+    return map_text(docs, keys or ["doc_id", (fold(5) == 0).alias("held_out")], make, ddl)
 
 
 def language_id(docs: DataFrame) -> DataFrame:
@@ -276,3 +279,10 @@ def language_id(docs: DataFrame) -> DataFrame:
     text (held out). Repeated rows each get a row. Other columns are not read.
     """
     return predict(docs, train(*sample(docs)))
+
+
+def with_language(docs: DataFrame) -> DataFrame:
+    """The rows of docs, as they are, that are not rejected: a language is found, with a score of at least MIN_SCORE."""
+    row = StructType().add("row", docs.schema)
+    got = predict(docs, train(*sample(docs)), [F.struct(*docs.columns).alias("row")], row.add("lang_pred", StringType()).add("score", DoubleType()))
+    return got.where((F.col("lang_pred") != UND) & (F.col("score") >= MIN_SCORE)).select("row.*")

@@ -36,6 +36,8 @@ SIMILARITY = (75, 100)
 PIVOTS = 3
 #: Members of the largest bucket whose pairs across components are joined.
 SMALL = 32
+#: Ids up to which a list of documents is broadcast; a longer one is joined by shuffle.
+BROADCAST_IDS = 1_000_000
 #: Bytes of shingles in one block of the query set.
 QUERY_BYTES = 16_000_000
 
@@ -295,3 +297,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(root, F.col("doc_id") == F.col("id"), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of docs, as they are, without all but one document of each component; of rows of one doc_id one stays."""
+    found = saved(near_duplicates(docs), "found")
+    gone = found.where("not kept").select(F.col("doc_id").alias("__id")).distinct()
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    out = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    again = found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id")
+    n = again.limit(BROADCAST_IDS + 1).count()
+    if n:  # rows that share an id
+        many = F.broadcast(again) if n <= BROADCAST_IDS else again
+        same = F.col("doc_id") == F.col("__id")
+        first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
+        one = out.join(many, same, "left_semi").withColumn("__nth", F.row_number().over(first)).where("__nth = 1").select(*docs.columns)
+        out = out.join(many, same, "left_anti").unionByName(one)
+    return out
