@@ -20,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm import textscan as ts
 from leafmill.llm.arrowmap import arrow_schema, ship
+from leafmill.llm.tokenstore import encoder
 
 START, END = "<|im_start|>", "<|im_end|>"
 CONTROL = re.compile(r"<\|(\\*)(im_start|im_end)\|>")
@@ -46,41 +48,60 @@ def unescape_role(role: str) -> str:
     return ROLE.sub(lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
+def byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 itself, the others from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [x for x in range(256) if x not in plain]
+    return {chr(x): x for x in plain} | {chr(256 + i): x for i, x in enumerate(others)}
+
+
 class Coder:
     """The tokenizer with two reserved ids behind its vocabulary."""
 
     def __init__(self, vocabulary: bytes):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(vocabulary.decode("utf-8"))
-        self.tokenizer.encode_special_tokens = True  # the vocabulary's own special strings are ordinary text
-        self.start = self.tokenizer.get_vocab_size()
+        self.encoder = encoder(vocabulary, special_as_text=True)
+        words = self.encoder.tokenizer.get_vocab()
+        self.start = max(words.values()) + 1
         self.end = self.start + 1
-        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
-
-    def encode(self, roles: list[str], texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        self.newline = self.encoder.tokenizer.encode("\n", add_special_tokens=False).ids
+        byte = byte_of()
+        self.text = [b""] * self.start
+        for x, i in words.items():
+            self.text[i] = bytes(byte[c] for c in x)
+        self.roles: dict[str, list[int]] = {}
+
+    def role(self, role: str) -> list[int]:
+        if role not in self.roles:
+            if len(self.roles) > 1000:
+                self.roles.clear()
+            self.roles[role] = self.encoder.tokenizer.encode(escape_role(role), add_special_tokens=False).ids
+        return self.roles[role]
+
+    def encode(self, roles: list[str], texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids and loss mask of each turn."""
-        parts = self.tokenizer.encode_batch([escape_role(r) for r in roles] + [escape(t) for t in texts], add_special_tokens=False)
-        out = []
-        for role, head, body in zip(roles, parts[: len(roles)], parts[len(roles) :], strict=True):
-            runs = [[self.start], head.ids, self.newline, body.ids, [self.end], self.newline]
-            bounds = np.cumsum([0, *map(len, runs)])
-            step = np.zeros(bounds[-1] + 1, dtype=np.int8)
-            if role == "assistant":
-                step[bounds[3]] += 1
-                step[bounds[4]] -= 1
-            out.append((np.array([i for r in runs for i in r], dtype=np.int32), np.cumsum(step)[:-1].astype(np.int8)))
-        return out
+        for b in ts.blocks(pa.array([escape(t) for t in texts], pa.large_string())):
+            ids, bounds = self.encoder.encode(b)
+            for i in range(len(bounds) - 1):
+                role = roles[b.first + i]
+                runs = [[self.start], self.role(role), self.newline, ids[bounds[i] : bounds[i + 1]], [self.end], self.newline]
+                edges = np.cumsum([0, *map(len, runs)])
+                step = np.zeros(edges[-1] + 1, dtype=np.int8)
+                if role == "assistant":
+                    step[edges[3]] += 1
+                    step[edges[4]] -= 1
+                yield np.concatenate(runs).astype(np.int32), np.cumsum(step)[:-1].astype(np.int8)
+
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(map(self.text.__getitem__, ids.tolist())).decode("utf-8")
 
     def parse(self, ids: np.ndarray, mask: np.ndarray) -> tuple[str, str, str, int]:
         """Role, text, text under the loss mask, and characters of one turn's formatted form."""
         if ids[0] != self.start or np.count_nonzero(ids >= self.start) != 2:
             raise ValueError("a turn must hold its two reserved ids and no others")
         close = int(np.flatnonzero(ids == self.end)[0])
-        body = self.tokenizer.decode(ids[1:close].tolist(), skip_special_tokens=False)
-        tail = self.tokenizer.decode(ids[close + 1 :].tolist(), skip_special_tokens=False)
+        body, tail = self.decode(ids[1:close]), self.decode(ids[close + 1 :])
         role, _, text = body.partition("\n")
-        loss = self.tokenizer.decode(ids[mask > 0].tolist(), skip_special_tokens=False)
+        loss = self.decode(ids[mask > 0])
         return unescape_role(role), unescape(text), unescape(loss), len(START) + len(body) + len(END) + len(tail)
 
 

@@ -87,10 +87,11 @@ def odd_documents(b: ts.Block) -> np.ndarray:
 class Encoder:
     """Whole texts to ids. Pieces between single spaces and newlines are encoded once and remembered by fingerprint."""
 
-    def __init__(self, vocabulary: bytes):
+    def __init__(self, vocabulary: bytes, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary.decode("utf-8"))
+        self.tokenizer.encode_special_tokens = special_as_text
         words = self.tokenizer.get_vocab()
         self.kind = np.dtype("<u2") if len(words) <= 1 << 16 else np.dtype("<u4")
         self.bytes = np.zeros(max(words.values()) + 1, dtype=np.int64)  # of each id's text: a character stands for a byte
@@ -179,15 +180,15 @@ class Encoder:
         return ids, np.concatenate(([0], np.cumsum(counts)))
 
 
-_encoders: dict[bytes, Encoder] = {}
+_encoders: dict[tuple[bytes, bool], Encoder] = {}
 
 
-def encoder(vocabulary: bytes) -> Encoder:
+def encoder(vocabulary: bytes, special_as_text: bool = False) -> Encoder:
     """This process's encoder for a vocabulary file's content; workers keep it from task to task."""
-    key = hashlib.sha256(vocabulary).digest()
+    key = hashlib.sha256(vocabulary).digest(), special_as_text
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(vocabulary)
+        _encoders[key] = Encoder(vocabulary, special_as_text)
     return _encoders[key]
 
 
