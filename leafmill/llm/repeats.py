@@ -38,6 +38,8 @@ SUFFIX = LENGTH + RUN - 1
 #: Text bytes for each hash range, and the bounds on their number.
 RANGE_BYTES, RANGES = 4_000_000, (16, 1 << 16)
 BLOOM_BITS = 1 << 30
+#: Blocks of text whose anchors or contexts are packed together.
+PACKED = 8
 #: Windows handled at once within a range; ranges are cut between anchors.
 WINDOWS = 120_000
 
@@ -107,23 +109,27 @@ def shared_anchors(docs: DataFrame, ranges: int) -> DataFrame:
 
     def make():
         def step(keys, texts):
-            codes, rows = [], []
             ids = keys[0].fill_null(0).to_numpy(zero_copy_only=False)
+            codes, rows = [], []
             for b in ts.blocks(texts):
                 start, m = anchors(b)
                 new = changes(m) | changes(start - np.arange(len(start)))
                 codes.append(m[new] >> np.uint64(32 - bits))
                 rows.append(ids[b.first + np.searchsorted(b.offsets, start[new], side="right") - 1])
-            if not codes:
-                return
-            code, row = np.concatenate(codes), np.concatenate(rows)
+                if len(codes) == PACKED:
+                    yield from send(np.concatenate(codes), np.concatenate(rows))
+                    codes, rows = [], []
+            if codes:
+                yield from send(np.concatenate(codes), np.concatenate(rows))
+
+        def send(code, row):
             order = np.argsort(code)
             code, row = code[order], row[order]
             first = np.flatnonzero(changes(code))
             if not len(first):
                 return
-            many = np.minimum.reduceat(row, first) != np.maximum.reduceat(row, first)
             lone = np.minimum.reduceat(row, first)
+            many = lone != np.maximum.reduceat(row, first)
             code = code[first]
             bounds = np.searchsorted(code, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(32))
             parts = np.flatnonzero(np.diff(bounds))
@@ -176,13 +182,19 @@ def contexts(docs: DataFrame, words: np.ndarray, ranges: int) -> DataFrame:
                 number = np.empty(len(code), np.int64)
                 number[order] = np.cumsum(first) - 1
                 one = order[first]
-                out.append((b.data, at[one], size[one], h[one], number, ids[b.first + doc], (at - b.offsets[doc]) | marks[b.first + doc]))
-            if not out:
-                return
+                n = size[one]
+                text = b.data[np.repeat(at[one] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                out.append((text, n, h[one], number, ids[b.first + doc], (at - b.offsets[doc]) | marks[b.first + doc]))
+                if len(out) == PACKED:
+                    yield send(out)
+                    out = []
+            if out:
+                yield send(out)
+
+        def send(out):
             base = np.cumsum([0, *(len(x[1]) for x in out)])
-            number = np.concatenate([x[4] + n for x, n in zip(out, base[:-1], strict=True)])
-            size, h, doc, place = (np.concatenate([x[i] for x in out]) for i in (2, 3, 5, 6))
-            text = np.concatenate([x[0][np.repeat(x[1] - (np.cumsum(x[2]) - x[2]), x[2]) + np.arange(x[2].sum())] for x in out])
+            number = np.concatenate([x[3] + n for x, n in zip(out, base[:-1], strict=True)])
+            text, size, h, doc, place = (np.concatenate([x[i] for x in out]) for i in (0, 1, 2, 4, 5))
             part = (h >> np.uint64(64 - bits)).astype(np.int64)
             order, bounds = cut_by(part, ranges)
             begin = np.cumsum(size) - size
@@ -199,7 +211,7 @@ def contexts(docs: DataFrame, words: np.ndarray, ranges: int) -> DataFrame:
                 flat = text[np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
                 u = use[cuts[p] : cuts[p + 1]]
                 blobs.append(pack(flat, n.astype(np.uint8), h[own], (owner[cuts[p] : cuts[p + 1]] - bounds[p]).astype(np.int32), doc[u], place[u]))
-            yield [parts.astype(np.int32), blobs]
+            return [parts.astype(np.int32), blobs]
 
         return step
 
