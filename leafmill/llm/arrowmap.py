@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -21,11 +22,23 @@ def arrow_schema(ddl: str | StructType) -> pa.Schema:
 
 
 _shipped: set[str] = set()
+#: Rows in an Arrow batch, where the session still has Spark's default of 10000: whole texts make that too much memory.
+BATCH_ROWS = 2000
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: workers are kept from task to task, and others need it meanwhile."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def ship(spark: SparkSession) -> None:
     """Gives the executors this package, once for each application."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parents[1]
@@ -38,7 +51,9 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_text(docs: DataFrame, keys: list, make: Callable[[], Callable], ddl: str, text: str = "text") -> DataFrame:
-    """docs' key columns and text through make()(keys, texts) -> columns of ddl, or None; make runs once a task.
+    """docs' key columns and text through make()(keys, texts), which yields columns of ddl; make runs once a task.
+
+    If what make returns has an attribute done, done() yields what is left at the task's end.
 
     Only the named columns are read, so other columns, whatever their names, do not matter.
     """
@@ -48,10 +63,17 @@ def map_text(docs: DataFrame, keys: list, make: Callable[[], Callable], ddl: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
+
+        def rows(found) -> Iterator[pa.RecordBatch]:
+            for got in found:
+                yield pa.RecordBatch.from_arrays([to_arrow(c, f.type) for c, f in zip(got, schema, strict=True)], schema=schema)
+
         for batch in batches:
             n = batch.num_columns - 1
-            for got in step([batch.column(i) for i in range(n)], batch.column(n)):
-                yield pa.RecordBatch.from_arrays([to_arrow(c, f.type) for c, f in zip(got, schema, strict=True)], schema=schema)
+            yield from rows(step([batch.column(i) for i in range(n)], batch.column(n)))
+        if hasattr(step, "done"):
+            yield from rows(step.done())
+        trim()
 
     return df.mapInArrow(run, ddl)
 

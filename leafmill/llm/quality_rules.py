@@ -83,18 +83,23 @@ def ngram_counts(docs: DataFrame, trusted: np.ndarray) -> tuple[np.ndarray, np.n
     """Counts of every class over trusted documents and over all documents (BUCKETS rows reach the driver)."""
 
     def make():
+        raw = np.zeros(BUCKETS, dtype=np.int64)
+        target = np.zeros(BUCKETS, dtype=np.int64)
+
         def step(keys, texts):
             ids = keys[0].fill_null(-1).to_numpy(zero_copy_only=False)
             good = np.isin(ids, trusted) & keys[0].is_valid().to_numpy(zero_copy_only=False)
-            raw = np.zeros(BUCKETS, dtype=np.int64)
-            target = np.zeros(BUCKETS, dtype=np.int64)
             for b in ts.blocks(texts):
                 doc, c = ngrams(ts.words(b))
-                raw += np.bincount(c, minlength=BUCKETS)
-                target += np.bincount(c[good[b.first + doc]], minlength=BUCKETS)
+                np.add(raw, np.bincount(c, minlength=BUCKETS), out=raw)
+                np.add(target, np.bincount(c[good[b.first + doc]], minlength=BUCKETS), out=target)
+            return ()
+
+        def done():
             at = np.flatnonzero(raw)
             yield [at.astype(np.int32), target[at], raw[at]]
 
+        step.done = done
         return step
 
     got = map_text(docs, ["doc_id"], make, "c int, target long, raw long").groupBy("c").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toArrow()

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import textscan as ts
-from leafmill.llm.arrowmap import arrow_schema, map_text
+from leafmill.llm.arrowmap import arrow_schema, map_text, trim
 from leafmill.llm.scratch import bloom, in_bloom, saved
 
 LENGTH = 50
@@ -36,12 +36,12 @@ GRAM = 24
 RUN = 31
 SUFFIX = LENGTH + RUN - 1
 #: Text bytes for each hash range, and the bounds on their number.
-RANGE_BYTES, RANGES = 4_000_000, (16, 1 << 16)
+RANGE_BYTES, RANGES = 2_000_000, (16, 1 << 16)
 BLOOM_BITS = 1 << 30
 #: Blocks of text whose anchors or contexts are packed together.
 PACKED = 8
 #: Windows handled at once within a range; ranges are cut between anchors.
-WINDOWS = 120_000
+WINDOWS = 60_000
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -108,21 +108,25 @@ def shared_anchors(docs: DataFrame, ranges: int) -> DataFrame:
     bits = ranges.bit_length() - 1
 
     def make():
+        codes: list[np.ndarray] = []
+        rows: list[np.ndarray] = []
+
         def step(keys, texts):
             ids = keys[0].fill_null(0).to_numpy(zero_copy_only=False)
-            codes, rows = [], []
             for b in ts.blocks(texts):
                 start, m = anchors(b)
                 new = changes(m) | changes(start - np.arange(len(start)))
                 codes.append(m[new] >> np.uint64(32 - bits))
                 rows.append(ids[b.first + np.searchsorted(b.offsets, start[new], side="right") - 1])
                 if len(codes) == PACKED:
-                    yield from send(np.concatenate(codes), np.concatenate(rows))
-                    codes, rows = [], []
-            if codes:
-                yield from send(np.concatenate(codes), np.concatenate(rows))
+                    yield from done()
 
-        def send(code, row):
+        def done():
+            if not codes:
+                return
+            code, row = np.concatenate(codes), np.concatenate(rows)
+            codes.clear()
+            rows.clear()
             order = np.argsort(code)
             code, row = code[order], row[order]
             first = np.flatnonzero(changes(code))
@@ -135,6 +139,7 @@ def shared_anchors(docs: DataFrame, ranges: int) -> DataFrame:
             parts = np.flatnonzero(np.diff(bounds))
             yield [parts.astype(np.int32), [pack(code[i:j].astype(np.uint32), many[i:j], lone[i:j]) for i, j in zip(bounds[parts], bounds[parts + 1], strict=True)]]
 
+        step.done = done
         return step
 
     def meet(table: pa.Table) -> pa.Table:
@@ -158,11 +163,11 @@ def contexts(docs: DataFrame, words: np.ndarray, ranges: int) -> DataFrame:
 
     def make():
         filt = shared.value
+        out: list[tuple] = []
 
         def step(keys, texts):
             ids = keys[0].fill_null(0).to_numpy(zero_copy_only=False)
             marks = (keys[1].to_numpy(zero_copy_only=False).astype(np.int64) & 0x7FFF) << 44
-            out = []
             for b in ts.blocks(texts):
                 start, m = anchors(b)
                 if not len(start):
@@ -186,15 +191,15 @@ def contexts(docs: DataFrame, words: np.ndarray, ranges: int) -> DataFrame:
                 text = b.data[np.repeat(at[one] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
                 out.append((text, n, h[one], number, ids[b.first + doc], (at - b.offsets[doc]) | marks[b.first + doc]))
                 if len(out) == PACKED:
-                    yield send(out)
-                    out = []
-            if out:
-                yield send(out)
+                    yield from done()
 
-        def send(out):
+        def done():
+            if not out:
+                return
             base = np.cumsum([0, *(len(x[1]) for x in out)])
             number = np.concatenate([x[3] + n for x, n in zip(out, base[:-1], strict=True)])
             text, size, h, doc, place = (np.concatenate([x[i] for x in out]) for i in (0, 1, 2, 4, 5))
+            out.clear()
             part = (h >> np.uint64(64 - bits)).astype(np.int64)
             order, bounds = cut_by(part, ranges)
             begin = np.cumsum(size) - size
@@ -211,8 +216,9 @@ def contexts(docs: DataFrame, words: np.ndarray, ranges: int) -> DataFrame:
                 flat = text[np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
                 u = use[cuts[p] : cuts[p + 1]]
                 blobs.append(pack(flat, n.astype(np.uint8), h[own], (owner[cuts[p] : cuts[p + 1]] - bounds[p]).astype(np.int32), doc[u], place[u]))
-            return [parts.astype(np.int32), blobs]
+            yield [parts.astype(np.int32), blobs]
 
+        step.done = done
         return step
 
     return map_text(docs, ["doc_id", F.col("__mark")], make, "part int, packed binary")
@@ -311,7 +317,7 @@ def marks_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     del got
     size = size.astype(np.int64)
     begin = np.cumsum(size) - size
-    code = ts.Hasher(flat).of(begin, begin + size)
+    code = ts.range_hashes(flat, begin, size)
     order = np.lexsort((code, h))
     same = np.cumsum(changes(code[order]) | changes(h[order])) - 1
     rank = np.empty(len(order), np.int64)
@@ -351,6 +357,7 @@ def marked(packed: DataFrame, ranges: int) -> DataFrame:
 
     def mark(table: pa.Table) -> pa.Table:
         doc, place, size = marks_of(table)
+        trim()
         part = (ts.mix(doc.astype(np.uint64)) % np.uint64(ranges)).astype(np.int64)
         order, bounds = cut_by(part, ranges)
         parts = np.flatnonzero(np.diff(bounds))

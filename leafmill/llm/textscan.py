@@ -68,7 +68,7 @@ def _power(n: int, base: np.uint64, key: str) -> np.ndarray:
         steps = np.full(max(n, BLOCK + 1), base, dtype=np.uint64)
         steps[0] = 1
         got = np.multiply.accumulate(steps)
-        if len(got) <= 8 * BLOCK:
+        if len(got) <= 2 * BLOCK:
             _powers[key] = got
     return got[:n]
 
@@ -87,6 +87,16 @@ class Hasher:
         return mix(h + (end - start).astype(np.uint64) * U(0xA24BAED4963EE407))
 
 
+def range_hashes(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Fingerprints of ranges that follow one another, with the memory of one block."""
+    out, i, ends = np.zeros(len(begin), dtype=np.uint64), 0, begin + size
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(ends, begin[i] + BLOCK, side="right")))
+        out[i:j] = Hasher(data[begin[i] : ends[j - 1]]).of(begin[i:j] - begin[i], ends[i:j] - begin[i])
+        i = j
+    return out
+
+
 class Words(NamedTuple):
     doc: np.ndarray  # index of the document in the block
     start: np.ndarray

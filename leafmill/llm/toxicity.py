@@ -68,15 +68,20 @@ def character_model(docs: DataFrame) -> np.ndarray:
     """Log probabilities (28, 28, 28) of a symbol after two others, over every text; the cube's cells reach the driver."""
 
     def make():
+        counts = np.zeros(N**3, dtype=np.int64)
+
         def step(keys, texts):
-            counts = np.zeros(N**3, dtype=np.int64)
             for b in ts.blocks(texts):
                 s = SYMBOL[b.data]
                 if len(s) > 2:
-                    counts += np.bincount((s[:-2] * N + s[1:-1]) * N + s[2:], minlength=N**3)
+                    np.add(counts, np.bincount((s[:-2] * N + s[1:-1]) * N + s[2:], minlength=N**3), out=counts)
+            return ()
+
+        def done():
             at = np.flatnonzero(counts)
             yield [at.astype(np.int32), counts[at]]
 
+        step.done = done
         return step
 
     got = map_text(docs, [], make, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).toArrow()
