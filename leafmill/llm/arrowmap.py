@@ -28,6 +28,7 @@ BATCH_ROWS = 2000
 
 def trim() -> None:
     """Gives freed memory back to the system: workers are kept from task to task, and others need it meanwhile."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library

@@ -24,7 +24,7 @@ BASE = U(0x9E3779B97F4A7C15)
 BASE_INV = U(pow(int(BASE), -1, 2**64))
 STEPS = _rng.integers(1, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
 #: Bytes taken in one go; a longer document is one block of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:
