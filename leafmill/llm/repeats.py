@@ -36,11 +36,12 @@ GRAM = 24
 RUN = 31
 SUFFIX = LENGTH + RUN - 1
 #: Text bytes for each hash range, and the bounds on their number.
-RANGE_BYTES, RANGES = 4_000_000, (16, 1 << 16)
+RANGE_BYTES, RANGES = 4_000_000, (64, 1 << 16)
 BLOOM_BITS = 1 << 30
 #: Blocks of text whose anchors or contexts are packed together.
 PACKED = 8
-#: Windows handled at once within a range; ranges are cut between anchors.
+#: Suffixes sorted at once, and windows hashed at once within a range; ranges are cut between anchors.
+SORTED = 20_000
 WINDOWS = 60_000
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -68,7 +69,7 @@ def anchors(b: ts.Block) -> tuple[np.ndarray, np.ndarray]:
         m = np.minimum(m[: len(m) - (w - size)], m[w - size :])
     ends = np.repeat(b.offsets[1:], np.diff(b.offsets))[: len(m)]
     start = np.flatnonzero(np.arange(len(m)) + LENGTH <= ends)
-    return start, m[start]
+    return start, ts.mix(m[start] ^ np.uint64(0xB5026F5AA96619E9))  # least hashes are small ones: spread them again
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -267,11 +268,23 @@ def repeats_in(flat: np.ndarray, size: np.ndarray, low: np.ndarray, high: np.nda
     b = before[order]
     free = np.minimum.reduceat(b, first) != np.maximum.reduceat(b, first)
     free |= np.maximum.reduceat(b, first) > 255
-    keep = order[np.repeat(both & free, np.diff(np.append(first, len(order))))]
+    classes = np.flatnonzero(both & free)
+    n = np.diff(np.append(first, len(order)))
+    out, i = [[np.zeros(0, np.int64)] * 4], 0
+    upto = np.concatenate(([0], np.cumsum(n[classes])))
+    while i < len(classes):  # windows of one class stay together; classes are independent
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + SORTED, side="right")) - 1)
+        use = classes[i:j]
+        k = np.repeat(first[use] - (upto[i:j] - upto[i]), n[use]) + np.arange(upto[j] - upto[i])
+        keep = order[k]
+        out.append(maximal(flat, size, low, high, ctx[keep], rel[keep], at[keep], before[keep]))
+        i = j
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+
+def maximal(flat, size, low, high, ctx, rel, at, before) -> list[np.ndarray]:
+    """Marks from the suffixes that begin at some windows: the part of the enhanced suffix array that holds their classes."""
     none = [np.zeros(0, np.int64)] * 4
-    if not len(keep):
-        return none
-    ctx, rel, at, before = ctx[keep], rel[keep], at[keep], before[keep]
     length = np.minimum(size[ctx] - rel, SUFFIX)
     grid = np.arange(SUFFIX, dtype=np.int32)
     chars = np.append(flat, np.zeros(SUFFIX, np.uint8))[at.astype(np.int32)[:, None] + grid]
