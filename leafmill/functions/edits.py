@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.cluster import ship
+
 # Cost of an insertion, deletion, substitution or swap of neighbours, and of a confusable substitution.
 EDIT, CONFUSABLE = 10, 4
 
@@ -58,6 +60,8 @@ def pair_costs(a: list[str], b: list[str], confusable: bool = True) -> np.ndarra
 def edit_cost(a: Column, b: Column) -> Column:
     """Cost of turning one word into the other, in tenths of an edit."""
 
+    ship(SparkSession.active())
+
     @F.pandas_udf("int")
     def cost(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for x, y in batches:
