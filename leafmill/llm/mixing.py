@@ -21,6 +21,8 @@ BLOCKS = 256
 ROWS_PER_BLOCK = 1000
 MAX_REPEATS = 3
 SHARD_WORDS = 4_000_000
+#: Blocks of a source that are taken in part, and rounds in which their rows fill what is left.
+PARTIAL, ROUNDS = 4, 3
 #: Control rows up to which the plan is broadcast; a larger one is joined by shuffle on (source, block).
 BROADCAST_ROWS = 200_000
 SEED = 17
@@ -57,7 +59,7 @@ class Draw(NamedTuple):
     block: int
     shard: int
     nth: int  # which pass over the source
-    left: float | None  # words still wanted, for a source's last block
+    left: float | None  # words still wanted, for a source's last blocks
 
 
 def split(counts: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
@@ -86,11 +88,15 @@ def draws(blocks: dict[str | None, dict[int, int]], target: dict[str | None, flo
         whole = min(int(target[s] / total + 1e-9), MAX_REPEATS) if total else 0
         left = target[s] - whole * total
         got: list[tuple[int, int, float | None]] = [(int(b), nth, None) for nth in range(whole) for b in own.permutation(ids)]
+        rest = []
         for b in own.permutation(ids):
-            if left < 0.5:
-                break
-            got.append((int(b), whole, None if blocks[s][b] <= left else left))
-            left -= blocks[s][b]
+            if blocks[s][b] <= left:
+                got.append((int(b), whole, None))
+                left -= blocks[s][b]
+            else:
+                rest.append(int(b))
+        if left >= 0.5:  # less than any block left over: single rows of a few of them
+            got += [(b, whole, left) for b in rest[:PARTIAL]]
         lists.append(got)
     rng = np.random.Generator(np.random.PCG64(seed))
     dealt = split(np.array([len(x) for x in lists], dtype=np.int64), shards, rng)
@@ -106,7 +112,7 @@ class Plan(NamedTuple):
     sizes: dict[str | None, int]
     target: dict[str | None, float]
     draws: list[Draw]
-    cuts: dict[str | None, tuple[int, int]]  # of a source's last block: rows up to the first hash are taken, and the second hash
+    cuts: dict[str | None, list]  # of a source's last blocks: (greatest hash, greatest size) of the rows of each round; one more hash
     shards: int
 
 
@@ -120,21 +126,33 @@ def plan(rows: DataFrame, shard_words: int = SHARD_WORDS) -> Plan:
     shards = max(1, -(-sum(sizes.values()) // shard_words))
     got = draws(blocks, target, shards)
     last = [(d.source, d.block, d.left) for d in got if d.left is not None]
-    cuts: dict[str | None, tuple[int, int]] = {}
+    cuts: dict[str | None, list] = {}
     if last:
         part = rows.sparkSession.createDataFrame(last, "s string, b int, left double")
         on = F.col("source").eqNullSafe(F.col("s")) & (F.col("__block") == F.col("b"))
         near = rows.select("source", "__block", "__size", "__h").join(F.broadcast(part) if len(last) <= BROADCAST_ROWS else part, on)
-        near = near.groupBy("source", "__h", "left").agg(F.sum("__size").alias("n")).where("n > 0")
+        near = near.groupBy("source", "__h", "left").agg(F.sum("__size").alias("n"), F.max("__size").alias("z")).where("n > 0").withColumn("got", F.lit(False))
         own = Window.partitionBy("source")
-        near = near.withColumn("upto", F.sum("n").over(own.orderBy("__h"))).withColumn("rest", F.col("left") - F.coalesce(F.max(F.when(F.expr("upto <= left"), F.col("upto"))).over(own), F.lit(0)))
-        fits = F.expr("upto > left and abs(n - rest) < rest")  # the one further row that comes nearest
-        found = near.groupBy("source").agg(F.max(F.when(F.expr("upto <= left"), F.col("__h"))).alias("cut"), F.min_by("__h", F.when(fits, F.abs(F.col("n") - F.col("rest")))).alias("one"))
-        none = -(2**63)
-        cuts = {r["source"]: (none if r["cut"] is None else r["cut"], none if r["one"] is None else r["one"]) for r in found.collect()}
+        found = []
+        for i in range(ROUNDS):  # rows in order of hash that are no larger than what is left, as long as they fit
+            bound = F.when(F.col("left") >= 0, F.col("left"))
+            fits = ~F.col("got") & (F.col("z") <= bound)
+            upto = F.sum(F.when(fits, F.col("n"))).over(own.orderBy("__h"))
+            near = near.withColumns({f"b{i}": bound, "new": fits & (upto <= F.col("left"))})
+            near = near.withColumns({f"c{i}": F.max(F.when(F.col("new"), F.col("__h"))).over(own), "got": F.col("got") | F.col("new"), "left": F.col("left") - F.coalesce(F.sum(F.when(F.col("new"), F.col("n"))).over(own), F.lit(0))})
+            found += [F.first(f"c{i}").alias(f"c{i}"), F.first(f"b{i}").alias(f"b{i}")]
+        nearest = ~F.col("got") & (F.abs(F.col("n") - F.col("left")) < F.col("left"))  # the one further row that comes nearest
+        found.append(F.min_by("__h", F.when(nearest, F.struct(F.abs(F.col("n") - F.col("left")), "__h"))).alias("one"))
+        cuts = {r["source"]: list(r)[1:] for r in near.groupBy("source").agg(*found).collect()}
     return Plan(sizes, target, got, cuts, shards)
 
 
+CUTS = ", ".join(f"__c{i} long, __b{i} double" for i in range(ROUNDS)) + ", __one long"
+NO_CUT = [None] * (2 * ROUNDS + 1)
+#: Whether a row of a block that is taken in part is taken.
+TAKEN = " or ".join([f"coalesce(__h <= __c{i} and __size <= __b{i}, false)" for i in range(ROUNDS)] + ["coalesce(__h = __one, false)"])
+
+
 def _joined(rows: DataFrame, table: DataFrame, n: int) -> DataFrame:
     on = F.col("source").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b"))
     return rows.join(F.broadcast(table) if n <= BROADCAST_ROWS else table, on, "left")
@@ -150,15 +168,15 @@ def taken(docs: DataFrame) -> DataFrame:
     p = plan(rows)
     table: dict[tuple, list] = {}
     for s, b, _, _, left in p.draws:
-        x = table.setdefault((s, b), [0, None, None])
+        x = table.setdefault((s, b), [0, *NO_CUT])
         if left is None:
             x[0] += 1
         elif s in p.cuts:
             x[1:] = p.cuts[s]
     spark = docs.sparkSession
-    control = spark.createDataFrame([(*k, *x) for k, x in table.items()], "__s string, __b int, __n int, __cut long, __one long")
+    control = spark.createDataFrame([(*k, *x) for k, x in table.items()], f"__s string, __b int, __n int, {CUTS}")
     known = spark.createDataFrame([(s, n, p.target[s]) for s, n in p.sizes.items()], "__src string, source_size long, target double")
-    copies = F.coalesce("__n", F.lit(0)) + F.coalesce(F.expr("__h <= __cut or __h = __one").cast("int"), F.lit(0))
+    copies = F.coalesce("__n", F.lit(0)) + F.expr(TAKEN).cast("int")
     return (
         _joined(rows, control, len(table))
         .join(F.broadcast(known) if len(p.sizes) <= BROADCAST_ROWS else known, F.col("source").eqNullSafe(F.col("__src")))
@@ -173,12 +191,12 @@ def mixed(docs: DataFrame) -> DataFrame:
     """
     rows = sized(docs).withColumn("__source", F.col("source").cast("string"))
     p = plan(rows.select(F.col("__source").alias("source"), "__block", "__size", "__h"))
-    table = [(s, b, shard, nth, left is not None, *(p.cuts.get(s, (None, None)) if left is not None else (None, None))) for s, b, shard, nth, left in p.draws]
-    control = docs.sparkSession.createDataFrame(table, "__s string, __b int, __shard long, __nth int, __part boolean, __cut long, __one long")
+    table = [(s, b, shard, nth, left is not None, *(p.cuts.get(s, NO_CUT) if left is not None else NO_CUT)) for s, b, shard, nth, left in p.draws]
+    control = docs.sparkSession.createDataFrame(table, f"__s string, __b int, __shard long, __nth int, __part boolean, {CUTS}")
     on = F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b"))
     return (
         rows.join(F.broadcast(control) if len(table) <= BROADCAST_ROWS else control, on)
-        .where("__size > 0 and (not __part or __h <= __cut or __h = __one)")
+        .where(f"__size > 0 and (not __part or {TAKEN})")
         .withColumn("__order", F.xxhash64("__h", "__nth", F.lit(SEED)))
         .repartition(p.shards, "__shard")
         .sortWithinPartitions("__shard", "__order")
