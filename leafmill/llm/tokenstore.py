@@ -97,6 +97,8 @@ class Encoder:
         self.bytes = np.zeros(max(words.values()) + 1, dtype=np.int64)  # of each id's text: a character stands for a byte
         for x, i in words.items():
             self.bytes[i] = len(x)
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = [] if special_as_text else [t.content.encode() for t in added]  # where they stand, the text is parted first
         self.flat = np.zeros(1 << 16, dtype=self.kind)
         self.used = 0
         none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -131,6 +133,11 @@ class Encoder:
         n_docs = len(b.offsets) - 1
         odd = odd_documents(b)
         raw = b.data.tobytes()
+        for x in self.special:
+            k = raw.find(x)
+            while k >= 0:
+                odd[np.searchsorted(b.offsets, k, side="right") - 1] = True
+                k = raw.find(x, k + 1)
         whole = np.flatnonzero(odd)
         w = ts.words(b, ts.TABLE, BREAK)
         lines = np.flatnonzero(b.data == 0x0A)
