@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from leafmill import cluster
+
 
 def arrow_schema(ddl: str | StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -21,7 +20,6 @@ def arrow_schema(ddl: str | StructType) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl) if isinstance(ddl, str) else ddl)
 
 
-_shipped: set[str] = set()
 #: Rows in an Arrow batch, where the session still has Spark's default of 10000: whole texts make that too much memory.
 BATCH_ROWS = 2000
 
@@ -36,19 +34,10 @@ def trim() -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, once for each application."""
-    sc = spark.sparkContext
+    """Gives the executors this package, and bounds Arrow batches."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="leafmill-")) / "leafmill.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(str(path))
-    _shipped.add(sc.applicationId)
+    cluster.ship(spark)
 
 
 def map_text(docs: DataFrame, keys: list, make: Callable[[], Callable], ddl: str, text: str = "text") -> DataFrame:
