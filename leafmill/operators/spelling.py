@@ -31,12 +31,14 @@ def candidates(words: DataFrame, pool: DataFrame, confusable: bool = True) -> Da
     which folding makes vanish.
     """
     low = F.lower("word")
-    w = words.select("word", low.alias("wl"), fn.max_cost(low).alias("most"))
+    spark = words.sparkSession  # few rows with much work each: as many partitions as there is to run them
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    w = words.repartition(parts, "word").select("word", low.alias("wl"), fn.max_cost(low).alias("most"))
     w = w.withColumn("edits", (F.col("most") / EDIT).cast("int"))
     w = w.withColumn("len", F.explode(F.sequence(F.greatest(F.lit(1), F.length("wl") - F.col("edits")), F.length("wl") + F.col("edits"))))
     p = pool.select(F.col("word").alias("candidate"), F.col("low").alias("cl"), "len", "n", "caps")
     a, b = (folded(F.col("wl")), folded(F.col("cl"))) if confusable else (F.col("wl"), F.col("cl"))
-    near = w.join(p, "len").where((F.levenshtein(a, b) <= 2 * F.col("edits")) & (F.length("wl") > 0))
+    near = w.join(p, "len").where((F.call_function("levenshtein", a, b, 2 * F.col("edits")) >= 0) & (F.length("wl") > 0))
     priced = near.withColumn("cost", edit_cost(F.col("wl"), F.col("cl"))).where("cost <= most")
     other = F.substring("wl", 1, 1) != F.substring("cl", 1, 1)
     return priced.select("word", "candidate", "cost", "n", other.alias("other_first"), F.abs(F.length("cl") - F.length("wl")).alias("gap"), "caps")
