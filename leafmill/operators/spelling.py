@@ -23,34 +23,65 @@ def unknown(found: DataFrame, known: DataFrame) -> DataFrame:
     return found.where(F.length("core") > 1).join(words, F.lower("core") == F.col("__known"), "left_anti")
 
 
-def candidates(words: DataFrame, pool: DataFrame, confusable: bool = True) -> DataFrame:
-    """word, candidate, cost and ranking of every pool word within a word's greatest cost; words (word) are distinct.
+def letters(word: Column) -> Column:
+    """Two bits for each of 32 classes of letters: none, one, several. An edit changes at most one bit, a swap none."""
+    place = lambda c: F.pmod(F.ascii(c), F.lit(32)) * 2
+    left = lambda n, c: F.call_function("shiftleft", F.lit(n).cast("long"), place(c))
+    add = lambda seen, c: seen.bitwiseOR(F.when(seen.bitwiseAND(left(1, c)) == 0, left(1, c)).otherwise(left(3, c)))
+    return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), add)
 
-    Pairs meet on the candidate's length, are thinned by the built-in distance of the folded words (k edits of optimal string
-    alignment are at most 2k of it), and only then priced. Confusable changes are cheap: a cost of 10 k may hold 2.5 k of them,
-    which folding makes vanish.
+
+def candidates(words: DataFrame, pool: DataFrame, confusable: bool = True, tier: int = 3) -> DataFrame:
+    """word, candidate, cost and ranking of every pool word within a word's greatest cost, and within tier edits.
+
+    words (word) are distinct. Pairs meet on the candidate's length. They are thinned by their letters (k edits leave at most
+    k of one word's letters without a partner) and by the built-in distance of the folded words (k edits of optimal string
+    alignment are at most 2k of it), and only then priced. Folding makes confusable changes vanish, so that no such pair is lost.
     """
     low = F.lower("word")
     spark = words.sparkSession  # few rows with much work each: as many partitions as there is to run them
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    w = words.repartition(parts, "word").select("word", low.alias("wl"), fn.max_cost(low).alias("most"))
-    w = w.withColumn("edits", (F.col("most") / EDIT).cast("int"))
-    w = w.withColumn("len", F.explode(F.sequence(F.greatest(F.lit(1), F.length("wl") - F.col("edits")), F.length("wl") + F.col("edits"))))
-    p = pool.select(F.col("word").alias("candidate"), F.col("low").alias("cl"), "len", "n", "caps")
-    a, b = (folded(F.col("wl")), folded(F.col("cl"))) if confusable else (F.col("wl"), F.col("cl"))
-    near = w.join(p, "len").where((F.call_function("levenshtein", a, b, 2 * F.col("edits")) >= 0) & (F.length("wl") > 0))
+    w = words.repartition(parts, "word").select("word", low.alias("wl"), F.least(fn.max_cost(low), F.lit(tier * EDIT)).alias("most"))
+    fold = folded if confusable else (lambda c: c)
+    w = w.withColumns({"edits": (F.col("most") / EDIT).cast("int"), "wf": fold(F.col("wl"))})
+    w = w.withColumns({"wb": letters(F.col("wf")), "len": F.sequence(F.greatest(F.lit(1), F.length("wl") - F.col("edits")), F.length("wl") + F.col("edits"))})
+    w = w.where(F.length("wl") > 0).withColumn("len", F.explode("len"))
+    p = pool.select(F.col("word").alias("candidate"), F.col("low").alias("cl"), "len", "n", "caps", fold(F.col("low")).alias("cf"))
+    p = p.withColumn("cb", letters(F.col("cf")))
+    alone = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(y)))
+    near = w.join(p, "len").where((alone("wb", "cb") <= F.col("edits")) & (alone("cb", "wb") <= F.col("edits")))
+    near = near.where(F.call_function("levenshtein", F.col("wf"), F.col("cf"), 2 * F.col("edits")) >= 0)
     priced = near.withColumn("cost", edit_cost(F.col("wl"), F.col("cl"))).where("cost <= most")
     other = F.substring("wl", 1, 1) != F.substring("cl", 1, 1)
     return priced.select("word", "candidate", "cost", "n", other.alias("other_first"), F.abs(F.length("cl") - F.length("wl")).alias("gap"), "caps")
 
 
-def best(priced: DataFrame) -> DataFrame:
-    """word, suggestion, cost: the least by cost, frequency, first letter, length, capitals, then the word itself.
+def suggest(words: DataFrame, pool: DataFrame) -> DataFrame:
+    """best() over all candidates, searched one edit further at a time for the words that have none yet.
 
-    Where the least is the word itself (cost 0) there is no suggestion.
+    The cost leads the ranking, so what one tier finds is final, and a word that finds itself is done without a suggestion.
     """
+    out, left, pool = None, words, pool.persist()
+    for tier in (1, 2, 3):
+        found = ranked(candidates(left, pool, tier=tier)).persist()
+        out = found if out is None else out.unionByName(found)
+        left = left.join(found.select("word"), "word", "left_anti")
+    return suggested(out)
+
+
+def ranked(priced: DataFrame) -> DataFrame:
+    """Each word's least candidate (k) by cost, frequency, first letter, length, capitals, then the word itself."""
     key = F.struct("cost", (-F.col("n")).alias("f"), "other_first", "gap", "caps", "candidate")
-    return priced.groupBy("word").agg(F.min(key).alias("k")).where("k.cost > 0").select("word", F.col("k.candidate").alias("suggestion"), F.col("k.cost").cast("long").alias("cost"))
+    return priced.groupBy("word").agg(F.min(key).alias("k"))
+
+
+def suggested(least: DataFrame) -> DataFrame:
+    """word, suggestion, cost. Where the least is the word itself (cost 0) there is no suggestion."""
+    return least.where("k.cost > 0").select("word", F.col("k.candidate").alias("suggestion"), F.col("k.cost").cast("long").alias("cost"))
+
+
+def best(priced: DataFrame) -> DataFrame:
+    return suggested(ranked(priced))
 
 
 def first_language(found: list[DataFrame]) -> DataFrame:

@@ -260,7 +260,7 @@ def suggest_pairs(spark, d):
 
 @query()
 def suggest_best(spark, d):
-    return spelling.best(spelling.candidates(unknown_distinct(spark, d), lexicon.pool(freq(spark, d), "en")))
+    return spelling.suggest(unknown_distinct(spark, d), lexicon.pool(freq(spark, d), "en"))
 
 
 @query()
@@ -268,13 +268,13 @@ def suggest_confusable(spark, d):
     """The documents with every vowel's grave accent in place of its acute: a confusable change."""
     t = model.table(spark, d, "documents").where("lang = 'es'").select("doc_id", F.translate("text", "áéíóú", "àèìòù").alias("text"))
     w = spelling.unknown(spelling.tokens(t, ["doc_id"]), known(spark, d)).select(F.lower("core").alias("word")).distinct()
-    return spelling.best(spelling.candidates(w, lexicon.pool(freq(spark, d), "es", 2000)))
+    return spelling.suggest(w, lexicon.pool(freq(spark, d), "es", 2000))
 
 
 @query()
 def suggest_multilang(spark, d):
     w, f = unknown_distinct(spark, d), freq(spark, d)
-    return spelling.first_language([spelling.best(spelling.candidates(w, lexicon.pool(f, lang))) for lang in ("en", "fr")])
+    return spelling.first_language([spelling.suggest(w, lexicon.pool(f, lang)) for lang in ("en", "fr")])
 
 
 @query(f"""select distinct core, case when upper(core) = core and lower(core) <> core then upper(s) when upper(core[1]) = core[1] and lower(core[1]) <> core[1]
@@ -286,7 +286,7 @@ def match_case(spark, d):
 
 def corrections(spark, d, cap=spelling.CAP):
     found = spelling.unknown(spelling.tokens(model.dialogue(spark, d), ["doc_id", "page"]), known(spark, d))
-    best = spelling.best(spelling.candidates(found.select(F.col("core").alias("word")).distinct(), lexicon.pool(freq(spark, d), "en", 3000)))
+    best = spelling.suggest(found.select(F.col("core").alias("word")).distinct(), lexicon.pool(freq(spark, d), "en", 3000))
     return spelling.capped(found.join(best.select(F.col("word").alias("core"), "suggestion"), "core", "left"), ["doc_id", "page"], cap)
 
 

@@ -64,6 +64,8 @@ def test_suggestions_against_brute_force(spark):
         if keys and min(keys)[0] > 0:
             want[w] = (min(keys)[-1], min(keys)[0])
     assert got == want
+    tiered = spelling.suggest(spark.createDataFrame([(w,) for w in words], "word string"), pool(spark, list(freq.items())))
+    assert dict((r[0], r[1:]) for r in rows(tiered)) == want
 
 
 def scan(tokens, cap):
