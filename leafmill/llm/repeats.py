@@ -307,6 +307,21 @@ def maximal(flat, size, low, high, ctx, rel, at, before) -> list[np.ndarray]:
     return [ctx[s][use], rel[s][use], size_[use], doc[use]]
 
 
+def needed(ctx: np.ndarray, rel: np.ndarray, length: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The marks without those whose bytes others with no greater document cover: at most SUFFIX for each context."""
+    order = np.lexsort((-length, rel, least, ctx))
+    keep, now, covered = [], -1, 0
+    for i, c, r, n in zip(order.tolist(), ctx[order].tolist(), rel[order].tolist(), length[order].tolist(), strict=True):
+        if c != now:
+            now, covered = c, 0
+        mask = ((1 << n) - 1) << r
+        if mask & ~covered:
+            keep.append(i)
+            covered |= mask
+    at = np.array(keep, dtype=np.int64)
+    return ctx[at], rel[at], length[at], least[at]
+
+
 def union(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Disjoint runs of overlapping or touching ranges within each key (keys from 0)."""
     if not len(key):
@@ -351,7 +366,7 @@ def marks_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         j = int(edge[k])
         n = size[i:j]
         part = flat[np.repeat(begin[i:j] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        ctx, rel, length, least = repeats_in(part, n, low[i:j], high[i:j])
+        ctx, rel, length, least = needed(*repeats_in(part, n, low[i:j], high[i:j]))
         ctx = ctx + i
         m = first[ctx + 1] - first[ctx]
         o = np.repeat(first[ctx] - (np.cumsum(m) - m), m) + np.arange(m.sum())
