@@ -262,7 +262,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ship(spark)
     rows = saved(sketches(docs), "sketches")
     named = rows.where("doc_id is not null and n > 0")
-    reps = named.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"))
+    # a table of its own, so that the join below has an exchange of its own, which can be split where one text has many copies
+    reps = saved(named.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id")), "classes")
     same = named.join(reps, ["f1", "f2", "n"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct()
     first = rows.where("n > 0").dropDuplicates(["doc_id", "f1", "f2", "n"])
     heads = first.join(reps, (first.doc_id == reps.id) & (first.f1 == reps.f1) & (first.f2 == reps.f2)).select("id", first.f1, first.n, "bands")

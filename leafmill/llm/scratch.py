@@ -46,6 +46,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 #: Largest Bloom filter in bits (16 MiB). A fuller filter only lets more rows through; an exact join always follows.
 BLOOM_BITS = 1 << 27
+#: Words of a filter fetched at once (32 MB).
+FETCHED = 1 << 21
 
 
 def bloom(hashes: DataFrame, column: str, max_bits: int = BLOOM_BITS) -> np.ndarray:
@@ -63,10 +65,13 @@ def bloom(hashes: DataFrame, column: str, max_bits: int = BLOOM_BITS) -> np.ndar
         hashes.select(places.alias("p"))
         .groupBy(F.shiftright("p", 6).alias("w"))
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("b"))
-        .toArrow()
     )
     out = np.zeros(bits // 64, dtype=np.uint64)
-    out[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
+    if len(out) > FETCHED:
+        words = saved(words, "bloom")
+    for lo in range(0, len(out), FETCHED):
+        got = words.where(F.col("w").between(lo, lo + FETCHED - 1)).toArrow()
+        out[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
     return out
 
 
