@@ -31,3 +31,19 @@ def test_stages(spark):
 def test_every_operator_has_a_query():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "near_dedup", "decontamination", "mixing", "token_output"]
+
+
+def test_stages_on_odd_and_empty_rows(spark, docs, empty, corpus):
+    """Nulls in every column, empty, blank and long texts, repeated rows, further columns; and no rows at all."""
+    from pyspark.sql import functions as F
+
+    odd = docs.withColumns({"kept": F.lit(1), "score": F.lit("x"), "row": F.lit(2.5), "size": F.lit(None).cast("int")})
+    for start in (odd, empty):
+        before = start
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = saved(stage(spark, before, DATA), name)
+            assert after.columns == before.columns
+            assert {tuple(r) for r in after.collect()} <= {tuple(r) for r in before.collect()}
+            before = after
+        out = corpus_pipeline.STAGES[-1][1](spark, before, DATA)
+        assert out.count() == before.count()
