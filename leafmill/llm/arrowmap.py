@@ -21,7 +21,7 @@ def arrow_schema(ddl: str | StructType) -> pa.Schema:
 
 
 #: Rows in an Arrow batch, where the session still has Spark's default of 10000: whole texts make that too much memory.
-BATCH_ROWS = 2000
+BATCH_ROWS = 500
 
 
 def trim() -> None:
@@ -63,6 +63,7 @@ def map_text(docs: DataFrame, keys: list, make: Callable[[], Callable], ddl: str
             yield from rows(step([batch.column(i) for i in range(n)], batch.column(n)))
         if hasattr(step, "done"):
             yield from rows(step.done())
+        del step
         trim()
 
     return df.mapInArrow(run, ddl)

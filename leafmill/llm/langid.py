@@ -36,7 +36,7 @@ SEGMENT = 128
 #: A document whose best language has a lower mean posterior is rejected.
 MIN_SCORE = 0.3
 #: Words whose potentials a task remembers.
-CACHE = 400_000
+CACHE = 150_000
 UND = "und"
 EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 HEAD = 8

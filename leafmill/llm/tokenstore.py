@@ -37,13 +37,13 @@ END_ID = 2
 WINDOW = 16
 #: Chunks have about MEAN ids, at least LEAST and at most MOST; a document's last one may be shorter.
 MEAN, LEAST, MOST = 1024, 256, 4096
-#: Encoded pieces of text that a worker remembers, the first that it meets (about 40 MB); others are encoded each time.
-CACHE = 1_500_000
-RECENT = 100_000
+#: Encoded pieces of text that a worker remembers, the first that it meets (about 25 MB); others are encoded each time.
+CACHE = 1_200_000
+RECENT = 50_000
 #: Chunks of which a task remembers that it has sent them.
 SENT = 300_000
 #: Documents whose chunks are sent together.
-GROUP = 2048
+GROUP = 512
 #: Ids per recipe file, roughly.
 RECIPE_ROWS = 200_000
 GEAR = np.random.Generator(np.random.PCG64(5)).integers(0, 2**32, 1 << 16, dtype=np.uint64).astype(np.uint32)
@@ -101,12 +101,12 @@ class Encoder:
         self.special = [] if special_as_text else [t.content.encode() for t in added]  # where they stand, the text is parted first
         self.flat = np.zeros(1 << 16, dtype=self.kind)
         self.used = 0
-        none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.old, self.new = none, none  # fingerprints in order, first ids in flat, numbers of ids
 
     def _add(self, ids: np.ndarray) -> int:
         while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), dtype=self.kind)])
+            self.flat = np.concatenate([self.flat, np.zeros(max(1 << 20, len(ids)), dtype=self.kind)])
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
         return self.used - len(ids)
@@ -165,13 +165,15 @@ class Encoder:
             at[miss], n[miss] = self._pieces(raw, start[first[miss]], end[first[miss]])
         full = len(self.old[0]) + len(self.new[0]) + len(miss) > CACHE
         if len(miss) and not full:
-            merged = [np.concatenate(x) for x in zip(self.new, (u[miss], at[miss], n[miss]), strict=True)]
+            merged = [np.concatenate(x) for x in zip(self.new, (u[miss], at[miss].astype(np.int32), n[miss].astype(np.int32)), strict=True)]
             if len(merged[0]) > RECENT:
                 merged = [np.concatenate(x) for x in zip(self.old, merged, strict=True)]
-                self.old = tuple(x[np.argsort(merged[0], kind="stable")] for x in merged)
-                self.new = tuple(x[:0] for x in merged)
+                order = np.argsort(merged[0], kind="stable")
+                self.old = tuple(x[order] for x in merged)
+                self.new = tuple(x[:0].copy() for x in merged)
             else:
-                self.new = tuple(x[np.argsort(merged[0], kind="stable")] for x in merged)
+                order = np.argsort(merged[0], kind="stable")
+                self.new = tuple(x[order] for x in merged)
         sizes = n[number]
         ids = self.flat[np.repeat(at[number] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
         counts = np.bincount(doc, weights=sizes, minlength=n_docs).astype(np.int64)

@@ -32,7 +32,7 @@ THRESHOLD = 0.3
 #: Characters of the longest token that is decoded; no word is longer.
 LONGEST = 30
 #: Decoded tokens that a task remembers.
-CACHE = 200_000
+CACHE = 100_000
 
 OUT = "doc_id long, held_out boolean, score double, predicted int"
 
