@@ -39,7 +39,7 @@ WINDOW = 16
 MEAN, LEAST, MOST = 1024, 256, 4096
 #: Encoded pieces of text that a worker remembers, the first that it meets (about 25 MB); others are encoded each time.
 CACHE = 1_200_000
-RECENT = 50_000
+RECENT = 100_000
 #: Chunks of which a task remembers that it has sent them.
 SENT = 300_000
 #: Documents whose chunks are sent together.
@@ -84,6 +84,12 @@ def odd_documents(b: ts.Block) -> np.ndarray:
     return odd
 
 
+def _inserted(held: tuple, more: tuple) -> tuple:
+    """Columns ordered by the first, with more rows, in order too, put in their places."""
+    at = np.searchsorted(held[0], more[0])
+    return tuple(np.insert(x, at, y) for x, y in zip(held, more, strict=True))
+
+
 class Encoder:
     """Whole texts to ids. Pieces between single spaces and newlines are encoded once and remembered by fingerprint."""
 
@@ -165,15 +171,9 @@ class Encoder:
             at[miss], n[miss] = self._pieces(raw, start[first[miss]], end[first[miss]])
         full = len(self.old[0]) + len(self.new[0]) + len(miss) > CACHE
         if len(miss) and not full:
-            merged = [np.concatenate(x) for x in zip(self.new, (u[miss], at[miss].astype(np.int32), n[miss].astype(np.int32)), strict=True)]
-            if len(merged[0]) > RECENT:
-                merged = [np.concatenate(x) for x in zip(self.old, merged, strict=True)]
-                order = np.argsort(merged[0], kind="stable")
-                self.old = tuple(x[order] for x in merged)
-                self.new = tuple(x[:0].copy() for x in merged)
-            else:
-                order = np.argsort(merged[0], kind="stable")
-                self.new = tuple(x[order] for x in merged)
+            self.new = _inserted(self.new, (u[miss], at[miss].astype(np.int32), n[miss].astype(np.int32)))
+            if len(self.new[0]) > RECENT:
+                self.old, self.new = _inserted(self.old, self.new), tuple(x[:0].copy() for x in self.new)
         sizes = n[number]
         ids = self.flat[np.repeat(at[number] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
         counts = np.bincount(doc, weights=sizes, minlength=n_docs).astype(np.int64)
@@ -258,7 +258,7 @@ def chunk_rows(docs: DataFrame, end_id: int, vocabulary) -> DataFrame:
         for batch in (b.slice(i, GROUP) for b in batches for i in range(0, b.num_rows, GROUP)):
             found: dict[bytes, tuple[int, bytes | None, list]] = {}
             doc_ids = batch.column(0).to_pylist()
-            for b in ts.blocks(batch.column(1)):
+            for b in ts.blocks(batch.column(1), 1 << 20):
                 ids, bounds = enc.encode(b)
                 for i in range(len(bounds) - 1):
                     own = np.append(ids[bounds[i] : bounds[i + 1]], enc.kind.type(end_id))
