@@ -13,7 +13,7 @@ from leafmill.llm.decontamination import clean
 from leafmill.llm.langid import with_language
 from leafmill.llm.mixing import mixed
 from leafmill.llm.neardup import without_duplicates
-from leafmill.llm.scratch import saved
+from leafmill.llm.scratch import saved, settle
 from leafmill.llm.tokenstore import store_and_index
 
 
@@ -24,21 +24,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    settle(spark)
     return without_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    settle(spark)
     return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, shard by shard."""
+    settle(spark)
     return mixed(docs).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token store's index of every document of the mix."""
+    settle(spark)
     return store_and_index(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
