@@ -5,8 +5,8 @@ A word's potentials come from hashed features: its prefixes and suffixes (affixe
 shows as such in code-switched text. Forward-backward gives each word's posterior; a document's languages are the means of
 these over its words, weighted by their letters.
 
-Training takes a bounded sample of labelled documents (PER_LANGUAGE for each language, chosen by a hash of the id), whole
-texts, on the driver. Prediction is one Arrow pass. A document's chain is cut into segments whose transfer matrices are
+Training takes a bounded sample of labelled documents (PER_LANGUAGE for each language, chosen by a hash of the id) on the
+driver: whole texts, or windows of the longest where all would be more than SAMPLE_CHARS. Prediction is one Arrow pass. A document's chain is cut into segments whose transfer matrices are
 multiplied first, so that long documents run as fast as short ones; the result is that of the whole chain.
 """
 
@@ -28,7 +28,8 @@ from leafmill.llm.arrowmap import map_text
 PER_LANGUAGE = 300
 #: Languages learned: the most frequent ones.
 LANGUAGES = 200
-#: Characters of training text in all; documents beyond it, in the order of the hash, are left out of the sample.
+#: Characters of training text in all. Languages share it: what one leaves over, others may use, and so do a language's documents;
+#: of a document longer than its share a window is taken. None is left out.
 SAMPLE_CHARS = 8_000_000
 FEATURES = 1 << 17
 STEPS, RATE, SHRINK = 14, 0.6, 1e-5
@@ -214,13 +215,30 @@ def sample(docs: DataFrame, lang: str = "lang") -> tuple[list[str], list[str]]:
     h = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 40))
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], int((1 << 40) * min(1.0, PER_LANGUAGE / r["n"])))])
     got = known.withColumn("h", h).where(F.col("h") < share[F.col("l")])
-    sizes = sorted((r["h"], r["n"]) for r in got.select("h", F.length("t").alias("n")).collect())
-    upto = np.cumsum([n for _, n in sizes])
-    last = max([h for (h, _), n in zip(sizes, upto, strict=True) if n <= SAMPLE_CHARS], default=-1)
-    rows = got.where(F.col("h") <= last).orderBy("h", "doc_id", "t").collect()
+    sizes: dict[str, list[int]] = {}
+    for r in got.select("l", F.length("t").alias("n")).collect():
+        sizes.setdefault(r["l"], []).append(r["n"])
+    room = level([sum(x) for x in sizes.values()], SAMPLE_CHARS)
+    most = {x: level(n, room) for x, n in sizes.items() if sum(n) > room}
+    if most:
+        upto = F.coalesce(F.create_map(*[F.lit(x) for pair in most.items() for x in pair])[F.col("l")], F.length("t"))
+        begin = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.greatest(F.lit(1), F.length("t") - upto + 1)) + 1
+        got = got.withColumn("t", F.when(F.length("t") > upto, F.col("t").substr(begin.cast("int"), upto)).otherwise(F.col("t")))
+    rows = got.orderBy("h", "doc_id", "t").collect()
     return [r["t"] for r in rows], [r["l"] for r in rows]
 
 
+def level(sizes: list[int], total: int) -> int:
+    """The greatest bound (1 at least) at which sizes, each cut to it, sum up to total at most; the largest size if all fit."""
+    left = total
+    for i, n in enumerate(sorted(sizes)):
+        share = left // (len(sizes) - i)
+        if n > share:
+            return max(1, share)
+        left -= n
+    return max([1, *sizes])
+
+
 def predict(docs: DataFrame, model: Model, keys: list | None = None, ddl: str | StructType = OUT) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each row of docs (doc_id, text); keys and ddl: other columns before the last two."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -46,6 +46,26 @@ def test_languages_of_held_out_rows(docs, corpus, empty):
     assert {r.lang_pred for r in langid.language_id(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_sample_keeps_rare_languages_and_long_rows(spark, monkeypatch):
+    assert langid.level([5, 100, 100], 105) == 50 and langid.level([3, 4], 7) == 4 and langid.level([9, 9], 1) == 1
+    rows = [(i, "common " * 30, "cc") for i in range(2000)] + [(5000 + i, "seldom " * 30, "rr") for i in range(40)]
+    rows += [(6000 + i, "enormous " * 4000, "ll") for i in range(2)] + [(6002 + i, "enormous", "ll") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = df.where("lang <> 'll'")
+    t, lang = langid.sample(whole)
+    assert {len(x) for x in t} == {210}
+    count = {x: lang.count(x) for x in set(lang)}
+    want = {r["lang"]: r["n"] for r in df.where(langid.fold(5) != 0).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert count["rr"] == want["rr"] and 200 < count["cc"] < 400
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 9000)
+    t, lang = langid.sample(df)
+    assert sum(map(len, t)) <= 9000
+    assert lang.count("cc") == count["cc"] and lang.count("rr") == want["rr"] and lang.count("ll") == want["ll"]
+    chars = {x: sum(len(a) for a, b in zip(t, lang, strict=True) if b == x) for x in count}
+    assert all(n > 2500 for n in chars.values())
+    assert (t, lang) == langid.sample(df.repartition(3))
+
+
 def test_code_switched_words():
     rng = random.Random(4)
     words = {k: ["".join(rng.choices(a, k=6)) for _ in range(80)] for k, a in (("aa", "abcde"), ("bb", "klmno"))}
