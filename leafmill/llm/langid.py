@@ -1,7 +1,8 @@
 """Language ID with a linear-chain conditional random field over words.
 
 A word's potentials come from hashed features: its prefixes and suffixes (affixes), its character n-grams and itself
-(lexicon). Transition potentials between neighbouring words are learned with them, so a run of words in another language
+(lexicon). A word longer than PIECE is a run of pieces, each a link of the chain with its own posterior, so that texts without
+white space are read from end to end. Transition potentials between neighbouring words are learned with them, so a run of words in another language
 shows as such in code-switched text. Forward-backward gives each word's posterior; a document's languages are the means of
 these over its words, weighted by their letters.
 
@@ -13,6 +14,7 @@ multiplied first, so that long documents run as fast as short ones; the result i
 from __future__ import annotations
 
 import re
+import zlib
 from typing import NamedTuple
 
 import numpy as np
@@ -36,11 +38,13 @@ STEPS, RATE, SHRINK = 14, 0.6, 1e-5
 SEGMENT = 128
 #: A document whose best language has a lower mean posterior is rejected.
 MIN_SCORE = 0.3
-#: Words whose potentials a task remembers.
+#: Pieces of words whose potentials a task remembers.
 CACHE = 150_000
 UND = "und"
 EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
-HEAD = 8
+#: Characters of a piece, and how many of them the next one has too: no n-gram falls between two.
+PIECE, SHARED = 16, 2
+AFFIX = 4
 
 OUT = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -62,29 +66,61 @@ def cores(b: ts.Block, start: np.ndarray, end: np.ndarray) -> list[str]:
     return [EDGE.sub("", raw[s:e].decode("utf-8", "replace").lower()) for s, e in zip(start.tolist(), end.tolist(), strict=True)]
 
 
+def pieces(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of each word (1 at least), and the letters each piece counts for: those that the next one has not."""
+    step = PIECE - SHARED
+    size = np.array([len(w) for w in words], dtype=np.int64)
+    counts = np.maximum(1, -(-(size - SHARED) // step))
+    letters = np.full(counts.sum(), step, dtype=np.int64)
+    letters[np.cumsum(counts) - 1] = size - step * (counts - 1)
+    return counts, letters
+
+
+def sequence(w: ts.Words, start: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of all words' pieces (counts of them from start, for each word), their documents, and the documents' bounds."""
+    ends = np.cumsum(counts)
+    rows = np.repeat(start - (ends - counts), counts) + np.arange(counts.sum())
+    return rows, np.repeat(w.doc, counts), np.concatenate(([0], ends))[w.bounds]
+
+
 def features(words: list[str]) -> np.ndarray:
-    """Feature numbers (words, n) of each word; where a word is too short for a feature, number 0 stands."""
-    head = np.array([w[:HEAD] for w in words], dtype=f"U{HEAD}").view(np.uint32).reshape(len(words), HEAD).astype(np.uint64)
-    tail = np.array([w[: -HEAD - 1 : -1] for w in words], dtype=f"U{HEAD}").view(np.uint32).reshape(len(words), HEAD).astype(np.uint64)
+    """Feature numbers (pieces, n) of the words' pieces; where one is too short for a feature, number 0 stands.
+
+    Only a word's first piece has its prefixes and the word itself, only the last one its suffixes.
+    """
+    counts, _ = pieces(words)
+    step = PIECE - SHARED
+    cut = [w[i * step : i * step + PIECE] for w, n in zip(words, counts.tolist(), strict=True) for i in range(n)]
+    last = np.cumsum(counts) - 1
+    first = last - counts + 1
+    chars = np.array(cut, dtype=f"U{PIECE}").view(np.uint32).reshape(len(cut), PIECE).astype(np.uint64)
+    head, tail = np.zeros((len(cut), AFFIX), dtype=np.uint64), np.zeros((len(cut), AFFIX), dtype=np.uint64)
+    head[first] = chars[first, :AFFIX]
+    tail[last] = np.array([w[: -AFFIX - 1 : -1] for w in words], dtype=f"U{AFFIX}").view(np.uint32).reshape(len(words), AFFIX)
+    itself, size = np.zeros(len(cut), dtype=np.uint64), np.zeros(len(cut), dtype=np.uint64)
+    itself[first] = [zlib.crc32(w.encode("utf-8", "replace")) for w in words]
+    size[first] = [len(w) for w in words]
     out = []
 
     def add(kind: int, *chars: np.ndarray) -> None:
-        h = np.full(len(words), kind, dtype=np.uint64)
+        h = np.full(len(cut), kind, dtype=np.uint64)
         for c in chars:
             h = ts.mix(h * np.uint64(0x9E3779B97F4A7C15) + c)
         h = h % np.uint64(FEATURES - 1) + np.uint64(1)
         out.append(np.where(chars[-1] > 0, h, np.uint64(0)))
 
-    for n in (1, 2, 3, 4):
+    for n in range(1, AFFIX + 1):
         add(n, *(head[:, i] for i in range(n)))
         add(10 + n, *(tail[:, i] for i in range(n)))
-    for i in range(HEAD - 2):
-        add(20, *(head[:, i + j] for j in range(3)))
-        add(20, *(tail[:, i + j] for j in (2, 1, 0)))
-    for i in range(HEAD - 1):
-        add(21, *(head[:, i + j] for j in range(2)))
-    size = np.array([len(w) for w in words], dtype=np.uint64)
-    add(30, *(head[:, i] for i in range(HEAD)), *(tail[:, i] for i in range(HEAD)), size)
+    for i in range(PIECE - 2):
+        add(20, *(chars[:, i + j] for j in range(3)))
+    later = np.ones(len(cut), dtype=bool)  # a piece's first two characters are the last ones of the piece before
+    later[first] = False
+    for i in range(PIECE - 1):
+        add(21, *(chars[:, i + j] for j in range(2)))
+        if not i:
+            out[-1][later] = 0
+    add(30, itself, size)
     return np.stack(out, axis=1).astype(np.int64)
 
 
@@ -181,9 +217,11 @@ def train(texts: list[str], labels: list[str]) -> Model:
         first, number = unique_words(w)
         words = cores(b, w.start[first], w.end[first])
         f = features(words)
-        f[[i for i, x in enumerate(words) if not x]] = 0
-        truth = code[b.first + w.doc]
-        parts.append((chains(w.bounds), f, number, truth, np.bincount(truth[1:] + k * truth[:-1], minlength=k * k).reshape(k, k)))
+        counts, letters = pieces(words)
+        f[letters == 0] = 0
+        number, doc, bounds = sequence(w, (np.cumsum(counts) - counts)[number], counts[number])
+        truth = code[b.first + doc]
+        parts.append((chains(bounds), f, number, truth, np.bincount(truth[1:] + k * truth[:-1], minlength=k * k).reshape(k, k)))
     square, square2 = np.full((FEATURES, k), 1e-8), np.full((k, k), 1e-8)
     total = max(1, sum(len(p[2]) for p in parts))
     for _ in range(STEPS):
@@ -248,7 +286,7 @@ def predict(docs: DataFrame, model: Model, keys: list | None = None, ddl: str |
         langs, weights, steps = shared.value
         names = np.array([*langs, UND], dtype=object)
         known: dict[int, int] = {}
-        table = np.zeros((0, k + 1))
+        table = np.zeros((0, k + 2))  # potentials and letters of a piece, and how many pieces its word has
 
         def step(keys, texts):
             nonlocal table
@@ -257,27 +295,30 @@ def predict(docs: DataFrame, model: Model, keys: list | None = None, ddl: str |
                 w = ts.words(b, ts.TABLE_LOWER)
                 first, number = unique_words(w)
                 hashes = w.hash[first].tolist()
-                if len(known) > CACHE:
+                if len(table) > CACHE:
                     known.clear()
                     table = table[:0]
                 rows = np.array([known.get(h, -1) for h in hashes], dtype=np.int64)
                 new = np.flatnonzero(rows < 0)
                 if len(new):
                     words = cores(b, w.start[first[new]], w.end[first[new]])
-                    more = np.zeros((len(new), k + 1))
-                    size = np.array([len(x) for x in words])
+                    counts, size = pieces(words)
+                    begin = np.cumsum(counts) - counts
+                    more = np.zeros((len(size), k + 2))
                     more[:, k] = size
+                    more[begin, k + 1] = counts
                     if len(langs) > 1:
                         has = np.flatnonzero(size)
-                        more[has, :k] = potentials(weights, features([words[i] for i in has])) if len(has) else 0
-                    rows[new] = len(table) + np.arange(len(new))
+                        more[has, :k] = potentials(weights, features([x for x in words if x])) if len(has) else 0
+                    rows[new] = len(table) + begin
                     known.update(zip((hashes[i] for i in new), rows[new].tolist(), strict=True))
                     table = np.concatenate([table, more])
-                got = table[rows][number]
-                post, _ = forward_backward(chains(w.bounds), got[:, :k], steps if len(langs) > 1 else np.zeros((k, k)))
+                at, doc, bounds = sequence(w, rows[number], table[rows, k + 1].astype(np.int64)[number])
+                got = table[at]
+                post, _ = forward_backward(chains(bounds), got[:, :k], steps if len(langs) > 1 else np.zeros((k, k)))
                 letters = got[:, k]
-                mass = np.stack([np.bincount(w.doc, weights=post[:, j] * letters, minlength=n_docs) for j in range(k)], axis=1)
-                total = np.bincount(w.doc, weights=letters, minlength=n_docs)
+                mass = np.stack([np.bincount(doc, weights=post[:, j] * letters, minlength=n_docs) for j in range(k)], axis=1)
+                total = np.bincount(doc, weights=letters, minlength=n_docs)
                 best = mass.argmax(axis=1)
                 score = mass[np.arange(n_docs), best] / np.maximum(total, 1)
                 none = (total == 0) | (not langs)

@@ -77,6 +77,26 @@ def test_code_switched_words():
     assert (post.argmax(axis=1) == [0] * 30 + [1] * 30).mean() > 0.95 and m.steps[0, 0] > m.steps[0, 1]
 
 
+def test_words_are_read_from_end_to_end(spark):
+    word = "abcdefghijklmnopqrstuvwxyz0123456789αβγδ"
+    for n in range(1, len(word) + 1):
+        counts, letters = langid.pieces([word[:n]])
+        f = langid.features([word[:n]])
+        assert len(f) == counts[0] == len(letters) and letters.sum() == n and (letters > 0).all()
+        for i in range(n):  # another character anywhere changes each n-gram that it is in, and the word
+            g = langid.features([word[:i] + "ß" + word[i + 1 : n]])
+            new = (f[f > 0]).tolist(), (g[g > 0]).tolist()
+            gone = len(new[0]) - sum(x in set(new[1]) for x in new[0])
+            assert gone >= min(i, n - 3, 2, n - 1 - i) + 2 if n > 3 else gone
+    rng = random.Random(4)
+    run = lambda a, n: "".join(rng.choices(a, k=n))
+    rows = [(i, run("abcde" if i % 2 else "klmno", 200), "aa" if i % 2 else "bb") for i in range(80)]
+    mixed = run("abcde", 12) + run("klmno", 600) + run("abcde", 12)
+    got = {r.doc_id: r for r in langid.language_id(spark.createDataFrame([*rows, (99, mixed, None)], "doc_id long, text string, lang string")).collect()}
+    assert got[99].lang_pred == "bb" and got[99].score > 0.9
+    assert all(got[i].lang_pred == lang for i, _, lang in rows)
+
+
 def test_disguised_words_are_restored(spark):
     rng = random.Random(1)
     text = " ".join(rng.choices(["idiot", "moron", "the", "tion", "loser", "stupid", "scum", "and", "worthy", "paths", "clown"], k=4000))
