@@ -265,10 +265,14 @@ def suggest_best(spark, d):
 
 @query()
 def suggest_confusable(spark, d):
-    """The documents with every vowel's grave accent in place of its acute: a confusable change."""
-    t = model.table(spark, d, "documents").where("lang = 'es'").select("doc_id", F.translate("text", "áéíóú", "àèìòù").alias("text"))
-    w = spelling.unknown(spelling.tokens(t, ["doc_id"]), known(spark, d)).select(F.lower("core").alias("word")).distinct()
-    return spelling.suggest(w, lexicon.pool(freq(spark, d), "es", 2000))
+    """The documents with every vowel's grave accent in place of its acute: a confusable change. Each language has its own pool."""
+    f, out = freq(spark, d), None
+    for lang in [r["lang"] for r in f.where("lang is not null").select("lang").distinct().orderBy("lang").collect()]:
+        t = model.table(spark, d, "documents").where(F.col("lang") == lang).select("doc_id", F.translate("text", "áéíóú", "àèìòù").alias("text"))
+        w = spelling.unknown(spelling.tokens(t, ["doc_id"]), known(spark, d)).select(F.lower("core").alias("word")).distinct()
+        part = spelling.suggest(w, lexicon.pool(f, lang)).withColumn("lang", F.lit(lang))
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], "word string, suggestion string, cost long, lang string") if out is None else out
 
 
 @query()
@@ -286,7 +290,7 @@ def match_case(spark, d):
 
 def corrections(spark, d, cap=spelling.CAP):
     found = spelling.unknown(spelling.tokens(model.dialogue(spark, d), ["doc_id", "page"]), known(spark, d))
-    best = spelling.suggest(found.select(F.col("core").alias("word")).distinct(), lexicon.pool(freq(spark, d), "en", 3000))
+    best = spelling.suggest(found.select(F.col("core").alias("word")).distinct(), lexicon.pool(freq(spark, d), "en"))
     return spelling.capped(found.join(best.select(F.col("word").alias("core"), "suggestion"), "core", "left"), ["doc_id", "page"], cap)
 
 

@@ -47,3 +47,15 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_suggestions_come_from_the_whole_pool(spark, tmp_path):
+    """The right candidates rank after 3,100 more frequent words; two languages have words of their own."""
+    rest = " ".join("".join(chr(97 + i // 26**k % 26) for k in range(3)) + "qqqqqqqq" for i in range(3100))
+    docs = [(i, f"{rest} {rest}", lang) for i, lang in enumerate(("en", "es", "fr"))] + [(3, "jumpingly jumpingly", "en"), (4, "cañónico cañónico", "es"), (5, "vérifions vérifions", "fr")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, "some jumpingli here")], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.core: r.corrected for r in catalogue.QUERIES["correct_text_capped"](spark, str(tmp_path)).collect()}
+    assert got["jumpingli"] == "jumpingly"
+    found = {(r.lang, r.word): r.suggestion for r in catalogue.QUERIES["suggest_confusable"](spark, str(tmp_path)).collect()}
+    assert found["es", "cañònico"] == "cañónico" and found["fr", "vèrifions"] == "vérifions"
