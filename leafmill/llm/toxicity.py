@@ -29,8 +29,8 @@ MIN_ODDS = 2.0
 WORD = np.uint64(1 << 63)
 GRAM = 5
 THRESHOLD = 0.3
-#: Characters of the longest token that is decoded; no word is longer.
-LONGEST = 30
+#: No word is longer. Longer tokens are decoded in windows of WINDOW characters and as many of those before, and part by part.
+LONGEST, WINDOW = 30, 200
 #: Decoded tokens that a task remembers.
 CACHE = 100_000
 
@@ -61,6 +61,8 @@ LETTER = np.zeros(256, dtype=bool)
 LETTER[97:123] = LETTER[65:91] = True
 MARK = np.zeros(256, dtype=bool)
 MARK[[ord(c) for c in LEET]] = True
+STRETCHED = re.compile(r"(.)\1{3,}", re.S)
+PARTS = re.compile(r"[^\w" + re.escape("".join(LEET)) + r"]+|_+")
 TRIM = re.compile(r"([^\w\s])\1{2,}$|[.,;:?\"')\]}*%&#]+$")
 
 
@@ -142,15 +144,31 @@ def token_lattice(token: str) -> list[list[tuple[str, float]]]:
 
 
 def spaced_lattice(letters: str) -> list[list[tuple[str, float]]]:
-    """Single letters with gaps between them; a gap may part words or nothing."""
+    """Single letters, or symbols for them, with gaps between them; a gap may part words or nothing."""
     out = []
     for i, c in enumerate(letters):
         if i:
             out.append([("", 0.0), (" ", 0.0)])
-        out.append([(c, 0.0)])
+        out.append([(x, COST_SYMBOL) for x in LEET[c]] + [("", COST_DROP)] if c in LEET else [(c, 0.0)])
     return out
 
 
+def windows(text: str) -> list[str]:
+    """Overlapping windows: every LONGEST characters in a row are in one."""
+    return [text[max(0, k - LONGEST) : k + WINDOW] for k in range(0, len(text), WINDOW)]
+
+
+def disguised(token: str) -> list[str]:
+    """What is to be decoded of a lower-case token. More than three of a character mean what three do."""
+    token = STRETCHED.sub(r"\1\1\1", token)
+    token = token[:-64] + TRIM.sub("", token[-64:])
+    odd = lambda x: not (x.isalpha() and not re.search(r"(.)\1\1", x))
+    if len(token) <= LONGEST:
+        return [token] if odd(token) else []
+    parts = PARTS.split(token)
+    return [w for x in ([token] if len(parts) == 1 else [token, *parts]) if odd(x) and re.search("[a-z]", x) for w in windows(x)]
+
+
 def restored(b: ts.Block, model: np.ndarray, memory: dict) -> list[tuple[int, str]]:
     """(document, word) for the words that decoding restores from a block's disguised tokens."""
     out: list[tuple[int, str]] = []
@@ -175,20 +193,23 @@ def restored(b: ts.Block, model: np.ndarray, memory: dict) -> list[tuple[int, st
     three = np.cumsum(three)
     of = lambda x: x[w.end] - x[w.start]
     inner = three[np.maximum(w.end - 2, w.start)] - three[w.start]
-    odd = (w.end - w.start <= 2 * LONGEST) & (of(letters) > 0) & ((of(marks) > 0) | (inner > 0))
+    odd = (of(letters) > 0) & ((of(marks) > 0) | (inner > 0))
     for i in np.flatnonzero(odd).tolist():
-        token = TRIM.sub("", raw[w.start[i] : w.end[i]].decode("utf-8", "replace").lower())
-        if len(token) <= LONGEST and not (token.isalpha() and not re.search(r"(.)\1\1", token)):
-            out += [(int(w.doc[i]), x) for x in decode("token", token)]
-    t = ts.words(b, ts.TABLE_LOWER, GAP)
-    single = (t.end - t.start == 1) & LETTER[b.data[np.minimum(t.start, max(0, len(b.data) - 1))]] if len(b.data) else np.zeros(0, bool)
-    joined = single[1:] & single[:-1] & (t.doc[1:] == t.doc[:-1])
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], joined, [False])).astype(np.int8)))
-    for s, e in zip(edge[::2], edge[1::2], strict=True):  # words s..e stand alone and follow one another
-        if e - s >= 2:
-            text = "".join(chr(b.data[i] | 0x20) for i in t.start[s : e + 1])
-            for k in range(0, len(text), 200):
-                out += [(int(t.doc[s]), x) for x in decode("spaced", text[max(0, k - LONGEST) : k + 200])]
+        for part in disguised(raw[w.start[i] : w.end[i]].decode("utf-8", "replace").lower()):
+            out += [(int(w.doc[i]), x) for x in decode("token", part)]
+    if not len(b.data):
+        return out
+    for gap, alone in ((GAP, LETTER), (GAP & ~MARK, LETTER | MARK)):
+        t = ts.words(b, ts.TABLE_LOWER, gap)
+        single = (t.end - t.start == 1) & alone[b.data[t.start]]
+        joined = single[1:] & single[:-1] & (t.doc[1:] == t.doc[:-1])
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], joined, [False])).astype(np.int8)))
+        for s, e in zip(edge[::2], edge[1::2], strict=True):  # words s..e stand alone and follow one another
+            text = b.data[t.start[s : e + 1]].tobytes().decode("ascii").lower()
+            # of the second round only what the first one has not seen, and no rows of numbers
+            if e - s >= 2 and (gap is GAP or (not text.isalpha() and re.search("[a-z]", text))):
+                for part in windows(text):
+                    out += [(int(t.doc[s]), x) for x in decode("spaced", part)]
     return out
 
 

@@ -106,6 +106,27 @@ def test_disguised_words_are_restored(spark):
     assert toxicity.viterbi(toxicity.spaced_lattice("moron"), m) == "moron"
 
 
+def test_long_and_spaced_disguises_are_restored():
+    rng = random.Random(1)
+    known = ["idiot", "moron", "the", "tion", "loser", "stupid", "scum", "and", "worthy", "paths", "clown"]
+    sym = toxicity.SYMBOL[np.frombuffer(" ".join(rng.choices(known, k=4000)).encode(), dtype=np.uint8)]
+    counts = np.full((28, 28, 28), 0.01)
+    np.add.at(counts, (sym[:-2], sym[1:-1], sym[2:]), 1)
+    m = np.log(counts / counts.sum(axis=2, keepdims=True))
+
+    def of(text):
+        return [x for b in toxicity.ts.blocks(toxicity.ts.pa.array([text])) for _, x in toxicity.restored(b, m, {})]
+
+    assert of("st" + "u" * 40 + "pid") == ["stupid"] and of("stuuupid") == ["stupid"]
+    assert {"moron", "loser", "scum", "clown"} <= set(of("m0r0n_l0$er/the.5cum.and.cl0wn.worthy.paths"))
+    token = "".join(rng.choices("abcd0e1", k=700))
+    assert all(any(token[i : i + 30] in x for x in toxicity.windows(token)) for i in range(670))
+    assert of("ab1" * 100) and len(toxicity.disguised("ab1" * 100)) == 2
+    for spaced in ("1 d 1 0 t", "1 d i 0 t", "i d i o t", "1.d.1.0.t"):
+        assert "idiot" in of(spaced)
+    assert of("1 2 3 4 5 6") == [] and of("") == [] and of("x" + ".,!" * 50000 + "y")
+
+
 def brute_viterbi(lattice, m):
     best = None
 
