@@ -48,10 +48,9 @@ def native(text: Column) -> Column:
 
 
 def match_case(original: Column, suggestion: Column) -> Column:
-    """suggestion with the case of original: all upper, first upper, or as it is."""
-    first = F.substring(original, 1, 1)
-    upper = (F.upper(original) == original) & (F.lower(original) != original)
-    title = (F.upper(first) == first) & (F.lower(first) != first)
+    """suggestion with the case of original: upper if every letter is (one without case is not), first upper, or as it is."""
+    upper = original.rlike(r"\p{IsAlphabetic}") & ~original.rlike(r"[\p{IsAlphabetic}&&[^\p{IsUppercase}]]")
+    title = original.rlike(r"^\p{IsUppercase}")
     return F.when(upper, F.upper(suggestion)).when(title, F.concat(F.upper(F.substring(suggestion, 1, 1)), F.substring(suggestion, 2, 1 << 30))).otherwise(suggestion)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,17 @@ def metadata(states: DataFrame) -> DataFrame:
     return states.withColumn("json", F.to_json(F.struct(*states.columns), {"pretty": "true"}))
 
 
+def write_metadata(states: DataFrame, key: str, path: str) -> None:
+    """Each state as pretty JSON under path, by document; written again, a document's state takes the place of its last one."""
+    metadata(states).select(key, "json").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("lineSep", "\0").partitionBy(key).text(path)
+
+
+def read_metadata(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """States of schema from written metadata; what cannot be read as such is left out."""
+    rows = spark.read.text(path, lineSep="\0").select(F.from_json("value", schema).alias("s"))
+    return rows.where("s is not null").select("s.*")
+
+
 def prefixed(warnings: Column, prefix: str) -> Column:
     """What stands after the first colon in the warnings that start with prefix, distinct."""
     return F.array_distinct(F.transform(F.filter(warnings, lambda w: F.startswith(w, F.lit(prefix))), lambda w: F.element_at(F.split(w, ":"), 2)))
@@ -25,7 +36,7 @@ def prefixed(warnings: Column, prefix: str) -> Column:
 
 def write_markdown(pages: DataFrame, key: str, path: str) -> None:
     """Markdown texts as files under path, by document."""
-    markdown(pages, key).write.partitionBy(key).text(path)
+    markdown(pages, key).write.option("lineSep", "\0").partitionBy(key).text(path)
 
 
 def collisions(paths: DataFrame, stem: Column) -> DataFrame:

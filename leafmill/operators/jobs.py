@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.operators import pages as routing
+from leafmill.operators import spelling
+
 
 def spelling_warnings(corrected: Column, unresolved: Column) -> Column:
     return F.array_compact(F.array(
@@ -13,6 +18,11 @@ def spelling_warnings(corrected: Column, unresolved: Column) -> Column:
     ))
 
 
+def spelling_unavailable(languages: Column) -> Column:
+    """One warning for each language (array) that cannot be checked; to be given only where none of those requested can."""
+    return F.transform(languages, lambda x: F.concat(F.lit("spellcheck_unavailable:"), x))
+
+
 def unavailable(requested: DataFrame, available: DataFrame) -> DataFrame:
     """Requests (id, no, lang) without a dictionary, and whether none of the request's languages has one."""
     have = available.select(F.col("lang").alias("__lang")).distinct()
@@ -24,7 +34,10 @@ def unavailable(requested: DataFrame, available: DataFrame) -> DataFrame:
 
 
 def state(records: DataFrame, keys: list[str], final: bool = True) -> DataFrame:
-    """total, completed, failed pages in order, and the status of each document's page records (page, status)."""
+    """total, completed, failed pages in order, and the status of each document's page records (page, status).
+
+    Not final: the state at a checkpoint, of the pages seen so far.
+    """
     failed = F.sort_array(F.collect_list(F.when(F.col("status") == "failed", F.col("page"))))
     out = records.groupBy(*keys).agg(F.count(F.lit(1)).alias("pages"), F.count(F.when(F.col("status") == "completed", 1)).alias("completed"), failed.alias("failed"))
     done = F.when(F.size("failed") == 0, "COMPLETED").otherwise("COMPLETED_WITH_WARNINGS")
@@ -37,6 +50,69 @@ def usable(checkpoint: DataFrame, documents: DataFrame) -> DataFrame:
     return checkpoint.where("status = 'completed'").join(now, ["document_path", "total_pages"])
 
 
+class Run(NamedTuple):
+    records: DataFrame
+    states: DataFrame
+
+
+#: Columns of a page record.
+RECORD = ["document_path", "page", "source", "confidence", "status", "warnings", "suggested_corrections", "flagged_words"]
+
+
+def run_documents(pages: DataFrame, known: DataFrame, index: DataFrame, languages: list[str], checkpoint: DataFrame | None = None, cap: int = spelling.CAP) -> Run:
+    """Page records and job states of one run over pages (document_path, page, kind, text, confidence, error).
+
+    text and confidence are a page's own or recognised ones, error is null unless the page failed. A PDF page with enough text
+    is native, with confidence 1. Completed pages of a checkpoint (RECORD and total_pages) whose document has as many pages as then
+    are taken over as they are; the others are processed, and one that failed keeps its error as its warning, with no
+    confidence. Spelling is checked against known (word) and index (lang, word, n) in the languages that index has; if it has none of
+    those requested, each gives a warning and nothing is checked. Texts are not changed.
+    """
+    keys = ["document_path", "page"]
+    totals = pages.groupBy("document_path").agg(F.count(F.lit(1)).alias("total_pages"))
+    todo, prior = pages, None
+    if checkpoint is not None:
+        prior = usable(checkpoint, totals).select(*RECORD)
+        todo = pending(pages, prior)
+    have = index.select(F.col("lang").alias("__lang")).distinct()
+    asked = pages.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(languages)], "lang string")
+    ready = asked.join(have, F.col("lang") == F.col("__lang"), "left_semi").agg(F.count(F.lit(1)).alias("ready"))
+    routed = routing.route(todo.withColumnRenamed("confidence", "__read"))
+    own = F.col("source") == "native"
+    failed = F.col("error").isNotNull()
+    base = routed.select(
+        *keys, F.when(failed, "ocr").otherwise(F.col("source")).alias("source"), F.when(failed, "failed").otherwise("completed").alias("status"),
+        F.when(failed, 0.0).when(own, 1.0).otherwise(F.coalesce("__read", F.lit(0.0))).alias("confidence"),
+        F.when(failed, F.array("error")).when(own, F.array().cast("array<string>")).otherwise(routing.warnings(F.coalesce("text", F.lit("")), F.coalesce("__read", F.lit(0.0)))).alias("warnings"),
+    )
+    found = spelling.corrected(todo.where(~failed).select(*keys, "text"), keys, known, index, languages, cap)
+    item = F.struct("idx", F.col("core").alias("original"), F.col("suggestion").alias("corrected"))
+    lists = found.groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("suggestion").isNotNull(), item))), lambda x: F.struct(x["original"].alias("original"), x["corrected"].alias("corrected"))).alias("suggested_corrections"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("suggestion").isNull(), F.struct("idx", "core")))), lambda x: x["core"]).alias("flagged_words"),
+    )
+    none = lambda c, kind: F.coalesce(F.when(F.col("ready") > 0, F.col(c)), F.array().cast(kind))
+    one = F.lit(1)
+    full = base.join(lists, keys, "left").withColumn("__one", one).join(F.broadcast(ready.withColumn("__one", one)), "__one")  # one row
+    full = full.withColumns({"suggested_corrections": none("suggested_corrections", "array<struct<original:string,corrected:string>>"), "flagged_words": none("flagged_words", "array<string>")})
+    told = F.when(F.col("ready") > 0, spelling_warnings(F.size("suggested_corrections"), F.size("flagged_words"))).otherwise(spelling_unavailable(F.array(*[F.lit(x) for x in dict.fromkeys(languages)]).cast("array<string>")))
+    records = full.withColumn("warnings", F.when(F.col("status") == "failed", F.col("warnings")).otherwise(F.concat("warnings", told))).select(*RECORD)
+    records = records if prior is None else records.unionByName(prior)
+    return Run(records, state(records, ["document_path"]))
+
+
+def summarise(states: DataFrame) -> DataFrame:
+    """Of job states: jobs, pages, completed and failed pages by status."""
+    return states.groupBy("status").agg(
+        F.count(F.lit(1)).alias("jobs"), F.sum("pages").alias("pages"), F.sum("completed").alias("completed"), F.sum(F.size("failed")).cast("long").alias("failed"))
+
+
+def stress(log: DataFrame, key: str) -> DataFrame:
+    """Of logged pages (ts, memory) by run: pages, seconds, seconds a page and the peak of memory."""
+    spent = F.max("ts").cast("timestamp").cast("double") - F.min("ts").cast("timestamp").cast("double")
+    return log.groupBy(key).agg(F.count(F.lit(1)).alias("pages"), spent.alias("seconds"), (spent / F.count(F.lit(1))).alias("seconds_per_page"), F.max("memory").alias("peak"))
+
+
 def pending(pages: DataFrame, done: DataFrame) -> DataFrame:
     """Pages (document_path, page) still to be processed."""
     return pages.join(done.select("document_path", "page").distinct(), ["document_path", "page"], "left_anti")

@@ -52,6 +52,20 @@ def page_result(lines: DataFrame, pages: DataFrame, page: list[str]) -> DataFram
     return pages.select(*page).distinct().join(got, page, "left").select(*page, F.coalesce("text", F.lit("")).alias("text"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
+def page_texts(words: DataFrame, pages: DataFrame, page: list[str]) -> DataFrame:
+    """The same from word rows in one shuffle: a page's words meet as one array in order of pos, empty for a page without any."""
+    word = F.struct("pos", "block", "par", "line", "conf", "text")
+    rows = words.select(*page, word.alias("w"))
+    rows = rows.unionByName(pages.select(*page, F.lit(None).cast(rows.schema["w"].dataType).alias("w")))
+    got = rows.groupBy(*page).agg(F.array_sort(F.collect_list("w")).alias("w"))
+    key = lambda x: F.struct(x["block"], x["par"], x["line"])
+    gap = lambda x, i: F.when(i == 0, "").when(key(x) == key(F.get("w", i - 1)), " ").otherwise("\n")
+    text = F.array_join(F.transform("w", lambda x, i: F.concat(gap(x, i), x["text"])), "")
+    mean = F.aggregate("w", F.lit(0.0), lambda s, x: s + x["conf"]) / F.size("w") / 100
+    sure = F.when(F.size("w") == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), mean)))
+    return got.select(*page, text.alias("text"), sure.alias("confidence"))
+
+
 def warnings(text: Column, confidence: Column) -> Column:
     low = F.when(confidence < 0.5, "low_confidence")
     return F.array_compact(F.array(low, F.when(F.trim(text) == "", "no_text_detected")))

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as fn
-from leafmill.functions.edits import EDIT, edit_cost, folded
+from leafmill.functions.edits import EDIT, EDITS, edit_cost, folded, keyed
 
+# Suggestions and flagged words kept of a page, and the languages whose confusable letters are cheap.
 CAP = 50
+CONFUSED = ("vie",)
 
 
 def tokens(pages: DataFrame, keys: list[str], shape: Column | None = None) -> DataFrame:
@@ -18,79 +20,75 @@ def tokens(pages: DataFrame, keys: list[str], shape: Column | None = None) -> Da
 
 
 def unknown(found: DataFrame, known: DataFrame) -> DataFrame:
-    """Tokens of more than one character whose lower-cased core is not known."""
-    words = known.select(F.col("word").alias("__known"))
-    return found.where(F.length("core") > 1).join(words, F.lower("core") == F.col("__known"), "left_anti")
+    """Tokens (core) of more than one character that are not among known words (word).
 
+    A token is known as it stands, in lower case, or, if it is in upper case, as any of a word's spellings; a word with capitals of
+    its own is not known without them.
+    """
+    low = F.lower("word")
+    forms = known.groupBy(low.alias("__low")).agg(F.bool_or(F.col("word") == low).alias("__plain"), F.collect_set("word").alias("__forms"))
+    spelled = F.array_contains("__forms", F.col("core")) | ((F.upper("core") == F.col("core")) & F.array_contains(F.transform("__forms", F.upper), F.col("core")))
+    got = found.where(F.length("core") > 1).join(forms, F.lower("core") == F.col("__low"), "left")
+    return got.where(~F.coalesce(F.col("__plain") | spelled, F.lit(False))).select(*found.columns)
 
-def letters(word: Column) -> Column:
-    """Two bits for each of 32 classes of letters: none, one, several. An edit changes at most one bit, a swap none."""
-    place = lambda c: F.pmod(F.ascii(c), F.lit(32)) * 2
-    left = lambda n, c: F.call_function("shiftleft", F.lit(n).cast("long"), place(c))
-    add = lambda seen, c: seen.bitwiseOR(F.when(seen.bitwiseAND(left(1, c)) == 0, left(1, c)).otherwise(left(3, c)))
-    return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), add)
 
+def flaggable(found: DataFrame, known: DataFrame) -> DataFrame:
+    """Trimmed tokens (core) of more than one character, not of ASCII digits alone, that are not known."""
+    return unknown(found.where(~F.col("core").rlike("^[0-9]+$")), known)
 
-def candidates(words: DataFrame, pool: DataFrame, confusable: bool = True, tier: int = 3) -> DataFrame:
-    """word, candidate, cost and ranking of every pool word within a word's greatest cost, and within tier edits.
 
-    words (word) are distinct. Pairs meet on the candidate's length. They are thinned by their letters (k edits leave at most
-    k of one word's letters without a partner) and by the built-in distance of the folded words (k edits of optimal string
-    alignment are at most 2k of it), and only then priced. Folding makes confusable changes vanish, so that no such pair is lost.
+def candidates(words: DataFrame, index: DataFrame, lang: str = CONFUSED[0], confused: tuple[str, ...] | None = CONFUSED) -> DataFrame:
+    """word (and lang, if words have it), candidate, cost and ranking of every index word within a word's greatest cost.
+
+    words (word) are distinct, index has word and n; both may have lang, else they are of the language given. Confusable
+    changes are cheap in the languages confused, in all if that is None. Words meet on
+    deletion keys of high cardinality (see edits.deletion_keys), confusable letters folded where they are cheap, so that no
+    pair within reach is lost; each pair that meets is then priced once.
     """
-    low = F.lower("word")
     spark = words.sparkSession  # few rows with much work each: as many partitions as there is to run them
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    w = words.repartition(parts, "word").select("word", low.alias("wl"), F.least(fn.max_cost(low), F.lit(tier * EDIT)).alias("most"))
-    fold = folded if confusable else (lambda c: c)
-    w = w.withColumns({"edits": (F.col("most") / EDIT).cast("int"), "wf": fold(F.col("wl"))})
-    w = w.withColumns({"wb": letters(F.col("wf")), "len": F.sequence(F.greatest(F.lit(1), F.length("wl") - F.col("edits")), F.length("wl") + F.col("edits"))})
-    w = w.where(F.length("wl") > 0).withColumn("len", F.explode("len"))
-    p = pool.select(F.col("word").alias("candidate"), F.col("low").alias("cl"), "len", "n", "caps", fold(F.col("low")).alias("cf"))
-    p = p.withColumn("cb", letters(F.col("cf")))
-    alone = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(y)))
-    near = w.join(p, "len").where((alone("wb", "cb") <= F.col("edits")) & (alone("cb", "wb") <= F.col("edits")))
-    near = near.where(F.call_function("levenshtein", F.col("wf"), F.col("cf"), 2 * F.col("edits")) >= 0)
-    priced = near.withColumn("cost", edit_cost(F.col("wl"), F.col("cl"))).where("cost <= most")
+    low, own = F.lower("word"), lambda df: F.col("lang") if "lang" in df.columns else F.lit(lang)
+    cheap = F.lit(True) if confused is None else F.col("lang").isin(*confused)
+    bare = F.when(cheap, folded(F.col("low"))).otherwise(F.col("low"))
+    side = lambda df, *more: df.select(own(df).alias("lang"), "word", low.alias("low"), *more).where("low <> ''").withColumns(
+        {"id": F.xxhash64("lang", "word"), "salt": F.xxhash64("lang"), "bare": bare})
+    w = side(words).withColumn("edits", (fn.max_cost(F.col("low")) / EDIT).cast("int"))
+    c = side(index, "n")
+    asked = keyed(w.repartition(parts, "id").select("id", "salt", F.col("bare").alias("word"), "edits"))
+    size = F.length("low")
+    reached = F.filter(F.array(*[F.when(near, k) for k, near in zip(range(1, EDITS + 1), (size <= 4, size.between(2, 8), size >= 4), strict=True)]), lambda k: k.isNotNull())
+    offered = keyed(c.repartition(parts, "id").select("id", "salt", F.col("bare").alias("word"), F.explode(reached).alias("edits")))
+    met = asked.select(F.col("id").alias("wid"), "key", F.col("own").alias("longer")).join(offered, "key").where("longer or own")
+    met = met.select("wid", F.col("id").alias("cid")).repartition(parts, "wid").distinct()
+    near = met.join(w.select(F.col("id").alias("wid"), "lang", "word", F.col("low").alias("wl"), "edits"), "wid")
+    near = near.join(c.select(F.col("id").alias("cid"), F.col("lang").alias("cl_lang"), F.col("word").alias("candidate"), F.col("low").alias("cl"), "n"), "cid")
+    gap = F.abs(F.length("cl") - F.length("wl"))
+    near = near.where(F.col("lang").eqNullSafe(F.col("cl_lang")) & (gap <= F.col("edits")))
+    priced = near.withColumn("cost", edit_cost(F.col("wl"), F.col("cl"), F.coalesce(cheap, F.lit(False)), EDITS * EDIT)).where(F.col("cost") <= F.col("edits") * EDIT)
     other = F.substring("wl", 1, 1) != F.substring("cl", 1, 1)
-    return priced.select("word", "candidate", "cost", "n", other.alias("other_first"), F.abs(F.length("cl") - F.length("wl")).alias("gap"), "caps")
+    return priced.select(*(["lang"] if "lang" in words.columns else []), "word", "candidate", "cost", "n", other.alias("other_first"), gap.alias("gap"), (F.col("cl") != F.col("candidate")).alias("caps"))
 
 
-def suggest(words: DataFrame, pool: DataFrame) -> DataFrame:
-    """best() over all candidates, searched one edit further at a time for the words that have none yet.
+def suggest(words: DataFrame, index: DataFrame, lang: str = CONFUSED[0], confused: tuple[str, ...] | None = CONFUSED) -> DataFrame:
+    """word, suggestion and cost (lang too, if words have it): best() over all candidates of the whole index."""
+    return best(candidates(words, index, lang, confused))
 
-    The cost leads the ranking, so what one tier finds is final, and a word that finds itself is done without a suggestion.
-    """
-    out, left, pool = None, words, pool.persist()
-    for tier in (1, 2, 3):
-        found = ranked(candidates(left, pool, tier=tier)).persist()
-        out = found if out is None else out.unionByName(found)
-        left = left.join(found.select("word"), "word", "left_anti")
-    return suggested(out)
 
+def best(priced: DataFrame) -> DataFrame:
+    """Each word's least candidate by cost, frequency, first letter, length, capitals, then the word itself.
 
-def ranked(priced: DataFrame) -> DataFrame:
-    """Each word's least candidate (k) by cost, frequency, first letter, length, capitals, then the word itself."""
+    Where the least is the word itself (cost 0) there is no suggestion, whatever else is near.
+    """
     key = F.struct("cost", (-F.col("n")).alias("f"), "other_first", "gap", "caps", "candidate")
-    return priced.groupBy("word").agg(F.min(key).alias("k"))
-
+    by = [c for c in ("lang", "word") if c in priced.columns]
+    return priced.groupBy(*by).agg(F.min(key).alias("k")).where("k.cost > 0").select(*by, F.col("k.candidate").alias("suggestion"), F.col("k.cost").cast("long").alias("cost"))
 
-def suggested(least: DataFrame) -> DataFrame:
-    """word, suggestion, cost. Where the least is the word itself (cost 0) there is no suggestion."""
-    return least.where("k.cost > 0").select("word", F.col("k.candidate").alias("suggestion"), F.col("k.cost").cast("long").alias("cost"))
 
-
-def best(priced: DataFrame) -> DataFrame:
-    return suggested(ranked(priced))
-
-
-def first_language(found: list[DataFrame]) -> DataFrame:
-    """Of suggestions by language, in order of request: the first language that has one."""
-    out = None
-    for i, x in enumerate(found):
-        part = x.withColumn("lang_no", F.lit(i).cast("long"))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("word").agg(F.min(F.struct("lang_no", "suggestion", "cost")).alias("k")).select("word", "k.*")
+def first_language(found: DataFrame, languages: list[str]) -> DataFrame:
+    """Of suggestions by language: lang_no, suggestion and cost of the first language, in order of request, that has one."""
+    order = F.create_map(*[F.lit(x) for i, lang in enumerate(dict.fromkeys(languages)) for x in (lang, i)])
+    one = found.withColumn("lang_no", F.try_element_at(order, F.col("lang")).cast("long")).where("lang_no is not null")
+    return one.groupBy("word").agg(F.min(F.struct("lang_no", "suggestion", "cost")).alias("k")).select("word", "k.*")
 
 
 def capped(found: DataFrame, page: list[str], cap: int = CAP) -> DataFrame:
@@ -108,3 +106,16 @@ def flagged(found: DataFrame, page: list[str], cap: int = CAP) -> DataFrame:
     one = found.groupBy(*page, "core").agg(F.min("idx").alias("idx"))
     nth = F.row_number().over(Window.partitionBy(*page).orderBy("idx"))
     return one.withColumn("nth", nth).where(F.col("nth") <= max(cap, 1)).drop("nth")
+
+
+def corrected(pages: DataFrame, keys: list[str], known: DataFrame, index: DataFrame, languages: list[str], cap: int = CAP) -> DataFrame:
+    """keys, idx, core and suggestion (null if none, else in the core's case) of pages' (keys, text) unknown words, capped.
+
+    index (lang, word, n) has every language's words; the first of languages with a suggestion names it.
+    """
+    found = unknown(tokens(pages, keys), known)
+    words = found.select(F.col("core").alias("word")).distinct()
+    each = words.select(F.explode(F.array(*map(F.lit, dict.fromkeys(languages)))).alias("lang"), "word")
+    named = first_language(suggest(each, index.where(F.col("lang").isin(*languages))), languages)
+    met = found.join(named.select(F.col("word").alias("core"), "suggestion"), "core", "left")
+    return capped(met, keys, cap).select(*keys, "idx", "core", fn.match_case(F.col("core"), F.col("suggestion")).alias("suggestion"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as fn
 from leafmill.operators import export, imaging, jobs, lexicon, pages, spelling, structure
 from leafmill.plans import model
+from leafmill.sources import tools
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,7 +106,7 @@ def ocr_lines(spark, d):
 
 def results(spark, d):
     every = model.table(spark, d, "documents").select("doc_id", F.lit(1).cast("long").alias("page"))
-    return pages.page_result(pages.lines_of(words(spark, d), ["doc_id", "page"]), every, ["doc_id", "page"])
+    return pages.page_texts(words(spark, d), every, ["doc_id", "page"])
 
 
 @query(f"with {RESULT} select doc_id, text, round(confidence, 6) as confidence from results")
@@ -167,21 +168,26 @@ def tokens_flag(spark, d):
 
 FREQ = r"""freq as (select lang, word, count(*) as n from (select lang, unnest(regexp_extract_all(lower(text), '\S+')) as word from documents)
   where regexp_full_match(word, '\p{L}+') group by lang, word)"""
-DICT = f"""{FREQ}, dict_lines as (select row_number() over (order by word) as no, case when length(word) % 5 = 0 then word || '/AB' when length(word) % 7 = 0 then word || '9' when length(word) % 3 = 0 and regexp_matches(word, '^[a-z]')
-  then upper(word[1]) || word[2:] else word end as line from (select distinct word from freq where n >= 3)),
-dict as (select distinct trim(split_part(line, '/', 1)) as word from dict_lines where regexp_full_match(trim(split_part(line, '/', 1)), '[\\p{{L}}''-]+'))"""
-KNOWN = f"{FREQ}, known as (select distinct word from freq where n >= 2)"
+LINE = """case when length(word) % 5 = 0 then word || '/AB' when length(word) % 7 = 0 then word || '9' when length(word) % 3 = 0 and regexp_matches(word, '^[a-z]')
+  then upper(word[1]) || word[2:] else word end"""
+ENTRY = "trim(split_part(line, '/', 1))"
+LETTERS = "'[\\p{L}''-]+'"
+DICT = f"""{FREQ}, dict as (select distinct {ENTRY} as word from (select {LINE} as line from (select distinct word from freq where n >= 3)) where regexp_full_match({ENTRY}, {LETTERS}))"""
+KNOWN = f"""{DICT}, known as (select word from freq where n >= case lang when 'vie' then 2 else 1 end union select word from dict),
+known_forms as (select lower(word) as low, bool_or(word = lower(word)) as plain, list(distinct word) as forms from known group by 1)"""
 
 
 def freq(spark, d):
     return lexicon.frequencies(model.table(spark, d, "documents"))
 
 
-def dictionary(spark, d):
-    """Dictionary lines made of frequent words, some with affix flags, capitals or a digit."""
-    w = freq(spark, d).where("n >= 3").select("word").distinct()
+def dictionary(spark, d, by=()):
+    """Dictionary lines (of each language, if by has lang) made of frequent words after a heading, some with affix flags, capitals or a digit."""
+    w = freq(spark, d).where("n >= 3").select(*by, "word").distinct()
     line = F.expr("case when length(word) % 5 = 0 then concat(word, '/AB') when length(word) % 7 = 0 then concat(word, '9') when length(word) % 3 = 0 and word rlike '^[a-z]' then concat(upper(left(word, 1)), substring(word, 2)) else word end")
-    return lexicon.parse_dictionary(w.select(F.lit(1).alias("no"), line.alias("line"))).distinct()
+    head = w.select(*by).distinct() if by else spark.range(1).select()
+    lines = head.select(*by, F.lit(0).alias("no"), F.lit("heading").alias("line")).unionByName(w.select(*by, F.lit(1).alias("no"), line.alias("line")))
+    return lexicon.parse_dictionary(lines).distinct()
 
 
 @query(f"with {FREQ} select lang, word, n from freq")
@@ -221,83 +227,113 @@ def pool_size(spark, d):
 
 @query(f"with {KNOWN} select word from known")
 def known_words(spark, d):
-    return lexicon.known(freq(spark, d))
+    return known(spark, d)
 
 
-def unknown_sql(table: str, keys: str) -> str:
-    return f"(select {keys}, idx, core from {tokens_sql(table, keys)} t where length(core) > 1 and lower(core) not in (select word from known))"
+def unknown_sql(table: str, keys: str, shape: str = CORE) -> str:
+    return f"""(select {keys}, idx, core from {tokens_sql(table, keys, shape)} t left join known_forms kf on lower(t.core) = kf.low where length(core) > 1
+      and not coalesce(kf.plain or list_contains(kf.forms, core) or (upper(core) = core and list_contains(list_transform(kf.forms, lambda x: upper(x)), core)), false))"""
 
 
 def known(spark, d):
-    return lexicon.known(freq(spark, d))
+    return lexicon.known(freq(spark, d), dictionary(spark, d))
 
 
 @query(f"with {KNOWN} select core as word, count(*) as n from {unknown_sql('benchmark', 'item_id')} group by core")
 def unknown_words(spark, d):
-    return spelling.unknown(spelling.tokens(model.table(spark, d, "benchmark"), ["item_id"]), known(spark, d)).groupBy(F.col("core").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    n = spelling.tokens(model.table(spark, d, "benchmark"), ["item_id"]).groupBy("core").agg(F.count(F.lit(1)).alias("n"))
+    return spelling.unknown(n, known(spark, d)).select(F.col("core").alias("word"), "n")
 
 
-@query(f"""with {KNOWN}, {model.DIALOGUE}, firsts as (select doc_id, page, core, min(idx) as idx from {unknown_sql('dialogue', 'doc_id, page')} group by all)
-select doc_id, page, core, idx from (select *, row_number() over (partition by doc_id, page order by idx) as nth from firsts) where nth <= 3""")
+@query(f"""with {KNOWN}, {model.DIALOGUE}, firsts as (select doc_id, page, core, min(idx) as idx from {unknown_sql('dialogue', 'doc_id, page', TRIMMED)}
+  where not regexp_full_match(core, '[0-9]+') group by all)
+select doc_id, page, core, idx from (select *, row_number() over (partition by doc_id, page order by idx) as nth from firsts) where nth <= {spelling.CAP}""")
 def flag_words_capped(spark, d):
-    found = spelling.unknown(spelling.tokens(model.dialogue(spark, d), ["doc_id", "page"]), known(spark, d))
-    return spelling.flagged(found, ["doc_id", "page"], cap=3)
+    found = spelling.tokens(model.dialogue(spark, d), ["doc_id", "page"], fn.trimmed(F.col("word")))
+    return spelling.flagged(spelling.flaggable(found, known(spark, d)), ["doc_id", "page"])
 
 
-# ---- suggestions: the exact cost is beyond quick SQL on whole tables, so tests hold these against brute force
+# ---- suggestions: SQL prices the words of the benchmark; those of whole conversations and documents are too many for it, and tests
+# hold these against brute force
 
+#: Cost of turning a into b, by a fold over the letters of a of the last two rows of the table.
+COST = """list_last(list_reduce(range(1, length(a) + 1), lambda st, i: {'p2': st.p1, 'p1': list_reduce(range(1, length(b) + 1), lambda acc, j: list_append(acc, least(
+    st.p1[j + 1] + 10, acc[j] + 10, st.p1[j] + case when a[i] = b[j] then 0 else 10 end,
+    case when i > 1 and j > 1 and a[i] = b[j - 1] and a[i - 1] = b[j] then st.p2[j - 1] + 10 else 1000000 end)), [i * 10])},
+  {'p2': [0::bigint], 'p1': list_transform(range(0, length(b) + 1), lambda x: x * 10)}).p1)"""
+INDEX_L = f"""{KNOWN}, dict_l as (select distinct lang, {ENTRY} as word from (select lang, {LINE} as line from freq where n >= 3) where regexp_full_match({ENTRY}, {LETTERS})),
+index_l as (select lang, word, cast(arg_min(n, rank) as bigint) as n from (select d.lang, d.word, coalesce(f.n, 0) as n, 0 as rank from dict_l d left join freq f on d.lang = f.lang and lower(d.word) = f.word
+  union all select lang, word, n, 1 from freq) group by lang, word)"""
 
-def unknown_distinct(spark, d, table="benchmark", keys=("item_id",)):
-    t = model.dialogue(spark, d) if table == "dialogue" else model.table(spark, d, table)
-    return spelling.unknown(spelling.tokens(t, list(keys)), known(spark, d)).select(F.col("core").alias("word")).distinct()
 
+def priced_sql(words: str, languages: str) -> str:
+    """The unrestricted distance in bytes, with what letters beyond ASCII may add to it, is never above the cost in edits."""
+    return f"""{INDEX_L}, asked as (select lang, word, lower(word) as a, case when length(word) <= 3 then 1 when length(word) <= 6 then 2 else 3 end as k
+  from (select distinct core as word from {words}), (select unnest({languages}) as lang)),
+near as (select q.lang, q.word, a, k, i.word as candidate, lower(i.word) as b, n from asked q join index_l i on i.lang = q.lang and length(i.word) between length(a) - k and length(a) + k
+  and damerau_levenshtein(a, lower(i.word)) <= k + (strlen(a) - length(a)) + (strlen(i.word) - length(i.word))),
+priced as (select * from (select lang, word, k, candidate, cast({COST} as bigint) as cost, n, a[1] <> b[1] as other_first, abs(length(b) - length(a)) as gap, b <> candidate as caps from near) where cost <= 10 * k),
+best as (select lang, word, candidate as suggestion, cost from (select *, row_number() over (partition by lang, word order by cost, n desc, other_first, gap, caps, candidate) as nth from priced) where nth = 1 and cost > 0)"""
 
-@query()
+
+BENCH_WORDS = unknown_sql("benchmark", "item_id")
+
+
+def unknown_distinct(spark, d):
+    cores = spelling.tokens(model.table(spark, d, "benchmark"), ["item_id"]).select("core").distinct()
+    return spelling.unknown(cores, known(spark, d)).select(F.col("core").alias("word"))
+
+
+def index_by_language(spark, d):
+    return lexicon.word_index(dictionary(spark, d, ["lang"]), freq(spark, d))
+
+
+def english(spark, d):
+    return index_by_language(spark, d).where("lang = 'en'").select("word", "n")
+
+
+@query(f"""with {priced_sql(BENCH_WORDS, "['en']")} select word, count(*) as candidates, min(cost) as least from priced group by word""")
 def suggest_pairs(spark, d):
-    c = spelling.candidates(unknown_distinct(spark, d), lexicon.pool(freq(spark, d), "en"))
+    c = spelling.candidates(unknown_distinct(spark, d), english(spark, d), "en")
     return c.groupBy("word").agg(F.count(F.lit(1)).alias("candidates"), long(F.min("cost")).alias("least"))
 
 
-@query()
+@query(f"""with {priced_sql(BENCH_WORDS, "['en']")} select word, suggestion, cost from best""")
 def suggest_best(spark, d):
-    return spelling.suggest(unknown_distinct(spark, d), lexicon.pool(freq(spark, d), "en"))
+    return spelling.suggest(unknown_distinct(spark, d), english(spark, d), "en")
 
 
 @query()
 def suggest_confusable(spark, d):
-    """The documents with every vowel's grave accent in place of its acute: a confusable change. Each language has its own pool."""
-    f, out = freq(spark, d), None
-    for lang in [r["lang"] for r in f.where("lang is not null").select("lang").distinct().orderBy("lang").collect()]:
-        t = model.table(spark, d, "documents").where(F.col("lang") == lang).select("doc_id", F.translate("text", "áéíóú", "àèìòù").alias("text"))
-        w = spelling.unknown(spelling.tokens(t, ["doc_id"]), known(spark, d)).select(F.lower("core").alias("word")).distinct()
-        part = spelling.suggest(w, lexicon.pool(f, lang)).withColumn("lang", F.lit(lang))
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], "word string, suggestion string, cost long, lang string") if out is None else out
+    """The documents with every vowel's grave accent in place of its acute: a confusable change, here cheap in every language."""
+    t = model.table(spark, d, "documents").select("lang", F.translate("text", "áéíóú", "àèìòù").alias("text"))
+    cores = spelling.tokens(t, ["lang"]).select("lang", F.lower("core").alias("core")).distinct()
+    w = spelling.unknown(cores, known(spark, d)).where("lang is not null").select("lang", F.col("core").alias("word"))
+    return spelling.suggest(w, index_by_language(spark, d), confused=None)
 
 
-@query()
+@query(f"""with {priced_sql(BENCH_WORDS, "['en', 'fr']")}, numbered as (select word, cast(case lang when 'en' then 0 else 1 end as bigint) as lang_no, suggestion, cost from best)
+select word, min(lang_no) as lang_no, arg_min(suggestion, lang_no) as suggestion, arg_min(cost, lang_no) as cost from numbered group by word""")
 def suggest_multilang(spark, d):
-    w, f = unknown_distinct(spark, d), freq(spark, d)
-    return spelling.first_language([spelling.suggest(w, lexicon.pool(f, lang)) for lang in ("en", "fr")])
+    each = unknown_distinct(spark, d).select(F.explode(F.array(F.lit("en"), F.lit("fr"))).alias("lang"), "word")
+    return spelling.first_language(spelling.suggest(each, index_by_language(spark, d)), ["en", "fr"])
 
 
-@query(f"""select distinct core, case when upper(core) = core and lower(core) <> core then upper(s) when upper(core[1]) = core[1] and lower(core[1]) <> core[1]
-  then upper(s[1]) || s[2:] else s end as cased from (select core, lower(core) || 'x' as s from {tokens_sql('documents', 'doc_id')} where core <> '')""")
+def cased_sql(core: str, s: str) -> str:
+    return f"""case when regexp_matches({core}, '\\p{{L}}') and not regexp_matches({core}, '[\\p{{Ll}}\\p{{Lt}}\\p{{Lm}}\\p{{Lo}}]') then upper({s}) when regexp_matches({core}, '^\\p{{Lu}}')
+  then upper({s}[1]) || {s}[2:] else {s} end"""
+
+
+@query(f"""select distinct core, {cased_sql('core', 's')} as cased from (select core, lower(core) || 'x' as s from {tokens_sql('documents', 'doc_id')} where core <> '')""")
 def match_case(spark, d):
     t = spelling.tokens(model.table(spark, d, "documents"), ["doc_id"]).where("core <> ''").select("core").distinct()
     return t.withColumn("cased", fn.match_case(F.col("core"), F.concat(F.lower("core"), F.lit("x"))))
 
 
-def corrections(spark, d, cap=spelling.CAP):
-    found = spelling.unknown(spelling.tokens(model.dialogue(spark, d), ["doc_id", "page"]), known(spark, d))
-    best = spelling.suggest(found.select(F.col("core").alias("word")).distinct(), lexicon.pool(freq(spark, d), "en"))
-    return spelling.capped(found.join(best.select(F.col("word").alias("core"), "suggestion"), "core", "left"), ["doc_id", "page"], cap)
-
-
 @query()
 def correct_text_capped(spark, d):
-    c = corrections(spark, d)
-    return c.select("doc_id", "page", "idx", "core", fn.match_case(F.col("core"), F.col("suggestion")).alias("corrected"))
+    c = spelling.corrected(model.dialogue(spark, d), ["doc_id", "page"], known(spark, d), index_by_language(spark, d), ["en"])
+    return c.withColumnRenamed("suggestion", "corrected")
 
 
 # ---- jobs
@@ -316,18 +352,32 @@ def plain_records(spark, d):
     return model.dialogue(spark, d).withColumn("status", status).withColumn("source", F.when(fn.native(F.col("text")), "native").otherwise("ocr"))
 
 
-def records(spark, d):
-    found = spelling.unknown(spelling.tokens(model.dialogue(spark, d), ["doc_id", "page"]), known(spark, d))
-    flags = found.groupBy("doc_id", "page").agg(F.countDistinct("core").alias("flagged"))
-    return plain_records(spark, d).join(flags, ["doc_id", "page"], "left").withColumn("flagged", F.coalesce("flagged", F.lit(0)).cast("long"))
+RUN = f"""{priced_sql(BENCH_WORDS, "['en']")}, run_pages as (select item_id, 'bench/' || item_id as document_path, text, case when item_id % 3 = 0 then 'image' else 'pdf' end as kind,
+  cast(item_id % 10 as double) / 10 as read, item_id % 5 = 0 as bad, item_id % 4 <> 3 as ready from benchmark),
+firsts as (select item_id, core, min(idx) as idx from {BENCH_WORDS} group by item_id, core),
+items as (select item_id, idx, core, {cased_sql('core', 'b.suggestion')} as corrected from firsts f left join best b on b.word = f.core),
+lists as (select item_id, count(corrected) as c, count(*) - count(corrected) as u, coalesce(string_agg(core || '>' || corrected, ';' order by idx) filter (where corrected is not null), '') as corrections,
+  coalesce(string_agg(core, ';' order by idx) filter (where corrected is null), '') as flagged from items group by item_id),
+page_rows as (select document_path, case when bad then 'ocr' when kind = 'pdf' and {VISIBLE} >= 20 then 'native' else 'ocr' end as source, read, bad, ready, coalesce(c, 0) as c, coalesce(u, 0) as u,
+  coalesce(corrections, '') as corrections, coalesce(flagged, '') as flagged, text from run_pages left join lists using (item_id))"""
 
 
-@query(f"""with {RECORDS} select doc_id, page, source, case when status = 'failed' then 0.0 when source = 'native' then 1.0 else 0.5 end::double as confidence, status,
-  case when flagged > 0 then 'possible_spelling_errors:' || flagged else '' end as warnings from records""")
+@query(f"""with {RUN} select document_path, cast(1 as bigint) as page, source, case when bad then 0.0 when source = 'native' then 1.0 else read end::double as confidence,
+  case when bad then 'failed' else 'completed' end as status,
+  case when bad then 'unreadable' else concat_ws(',', case when source = 'ocr' and read < 0.5 then 'low_confidence' end, case when source = 'ocr' and trim(text) = '' then 'no_text_detected' end,
+    case when not ready then 'spellcheck_unavailable:xx,spellcheck_unavailable:yy' end, case when ready and c > 0 then 'suggested_corrections:' || c end,
+    case when ready and u > 0 then 'possible_spelling_errors:' || u end) end as warnings,
+  case when bad or not ready then '' else corrections end as corrections, case when bad or not ready then '' else flagged end as flagged from page_rows""")
 def page_records(spark, d):
-    conf = F.when(F.col("status") == "failed", 0.0).when(F.col("source") == "native", 1.0).otherwise(0.5)
-    warn = F.array_join(jobs.spelling_warnings(F.lit(0).cast("long"), F.col("flagged")), ",")
-    return records(spark, d).select("doc_id", "page", "source", conf.alias("confidence"), "status", warn.alias("warnings"))
+    """Runs over benchmark texts as documents of a page: some are images, some fail, some ask for languages that there are none of."""
+    t = model.table(spark, d, "benchmark").select(
+        "item_id", F.concat(F.lit("bench/"), F.col("item_id").cast("string")).alias("document_path"), F.lit(1).cast("long").alias("page"), F.expr("case when item_id % 3 = 0 then 'image' else 'pdf' end").alias("kind"),
+        "text", (F.col("item_id") % 10 / 10).alias("confidence"), F.expr("case when item_id % 5 = 0 then 'unreadable' end").alias("error"))
+    words, own = known(spark, d), index_by_language(spark, d)
+    run = lambda rows, languages: jobs.run_documents(t.where(rows).drop("item_id"), words, own, languages).records
+    r = run("item_id % 4 <> 3", ["en"]).unionByName(run("item_id % 4 = 3", ["xx", "yy"]))
+    pair = F.transform("suggested_corrections", lambda x: F.concat(x["original"], F.lit(">"), x["corrected"]))
+    return r.select("document_path", "page", "source", "confidence", "status", F.array_join("warnings", ",").alias("warnings"), F.array_join(pair, ";").alias("corrections"), F.array_join("flagged_words", ";").alias("flagged"))
 
 
 def states(spark, d):
@@ -372,6 +422,26 @@ def resume_merge(spark, d):
     return jobs.resumed(p, done)
 
 
+@query(f"""with {RECORDS} select doc_id, count(*) as pages, count(case when status = 'completed' then 1 end) as completed,
+  coalesce(string_agg(case when status = 'failed' then cast(page as varchar) end, ',' order by page), '') as failed, 'INTERRUPTED' as status from records where page <= 2 group by doc_id""")
+def checkpoint_state(spark, d):
+    """Job states as they stand after two pages."""
+    s = jobs.state(plain_records(spark, d).where("page <= 2"), ["doc_id"], final=False)
+    return s.withColumn("failed", F.array_join(F.transform("failed", lambda x: x.cast("string")), ","))
+
+
+@query(f"""with {RECORDS} select status, count(*) as jobs, cast(sum(pages) as bigint) as pages, cast(sum(completed) as bigint) as completed, cast(sum(pages - completed) as bigint) as failed from states group by status""")
+def run_summary(spark, d):
+    return jobs.summarise(jobs.state(plain_records(spark, d), ["doc_id"]))
+
+
+@query("""select user_id, count(*) as pages, round(epoch(max(ts)) - epoch(min(ts)), 6) as seconds, round((epoch(max(ts)) - epoch(min(ts))) / count(*), 6) as seconds_per_page, max(value) as peak from events group by user_id""")
+def stress_report(spark, d):
+    """Every user's events as the pages of a run, their value as the memory."""
+    r = jobs.stress(model.table(spark, d, "events").select("user_id", "ts", F.col("value").alias("memory")), "user_id")
+    return r.withColumns({c: F.round(c, 6) for c in ("seconds", "seconds_per_page")})
+
+
 @query(f"""with {model.DIALOGUE}, r as (select doc_id, page, case when (doc_id * 7 + page - 1) % 5 = 0 then 'failed' else 'completed' end as status from dialogue)
 select doc_id, page, count(case when status = 'completed' then 1 end) over w as completed, coalesce(string_agg(case when status = 'failed' then cast(page as varchar) end, ',') over w, '') as failed
 from r window w as (partition by doc_id order by page rows between unbounded preceding and current row)""")
@@ -474,13 +544,33 @@ def binarize(spark, d):
     return imaging.binarise(model.pixels(spark, d), 2).select("image_id", "x", "y", long("out").alias("v"))
 
 
+PAGE_PIXELS = """pixels as (select vec_id // 64 as image_id, i as x, vec_id % 64 as y,
+  cast(greatest(0, least(255, floor(cast(embedding[i + 1] as double) * 128 + 128))) as bigint) as v
+  from (select vec_id, embedding, unnest(range(0, len(embedding))) as i from embeddings))"""
+PAGE_BOX = BOX.replace(model.PIXELS, PAGE_PIXELS).replace("2 preceding and 2 following", f"{imaging.HALF} preceding and {imaging.HALF} following")
+
+
+def page_pixels(spark, d):
+    """Images 64 pixels wide and up to 64 high: an embedding a row."""
+    p = model.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 64).alias("image_id"), (F.col("vec_id") % 64).alias("y"), F.posexplode("embedding").alias("x", "e"))
+    v = F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.col("e").cast("double") * 128 + 128))).cast("long")
+    return p.select("image_id", long("x").alias("x"), "y", v.alias("v"))
+
+
+@query(f"with {PAGE_BOX} select image_id, x, y, round(mean, 6) as mean, round(sd, 6) as sd from stats")
+def box_stats_page(spark, d):
+    return imaging.box(page_pixels(spark, d)).select("image_id", "x", "y", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
+@query(f"with {PAGE_BOX} select image_id, x, y, cast(case when v > mean * (1 + {imaging.WEIGHT}::double * (sd / 128 - 1)) then 255 else 0 end as bigint) as v from stats")
+def binarize_page(spark, d):
+    """With the window of 25 pixels."""
+    return imaging.binarise(page_pixels(spark, d)).select("image_id", "x", "y", long("out").alias("v"))
+
+
 # ---- host and report
 
-# The packages that a host needs.
-PACKAGES = [
-    (1, "Tesseract OCR engine", "tesseract-ocr"), (2, "Tesseract English language data", "tesseract-ocr-eng"), (3, "Tesseract Vietnamese language data", "tesseract-ocr-vie"),
-    (4, "PDF tools (poppler-utils)", "poppler-utils"), (5, "English spelling dictionary", "hunspell-en-us"), (6, "Vietnamese spelling dictionary", "hunspell-vi"),
-]
+PACKAGES = tools.PACKAGES
 PACK_SQL = "packs(no, name, package) as (values " + ", ".join(f"({n}, '{a}', '{b}')" for n, a, b in PACKAGES) + ")"
 MISSING = f"{PACK_SQL}, missing as (select user_id, no, package from (select distinct user_id from events) cross join packs where (user_id + no) % 3 <> 0)"
 
@@ -497,6 +587,22 @@ def missing_packages(spark, d):
     return missing(spark, d).select("user_id", long("no").alias("no"), "package")
 
 
+@query(f"with {PACK_SQL} select user_id, cast(no as bigint) as no, name, package, (user_id + no) % 3 = 0 as installed from (select distinct user_id from events) cross join packs")
+def dependency_report(spark, d):
+    """The six packages with their state on every host."""
+    p = F.array(*[F.struct(F.lit(n).cast("long").alias("no"), F.lit(a).alias("name"), F.lit(b).alias("package")) for n, a, b in PACKAGES])
+    hosts = model.table(spark, d, "events").select("user_id").distinct().select("user_id", F.explode(p).alias("p")).select("user_id", "p.*")
+    return hosts.withColumn("installed", (F.col("user_id") + F.col("no")) % 3 == 0)
+
+
+@query(f"""{"with " + model.DIALOGUE} select doc_id, coalesce(string_agg(distinct w, ',' order by w), '') as langs from (select doc_id, case when page % 2 = 0 then 'l' || (page % 4) end as w from dialogue) group by doc_id""")
+def warning_prefix(spark, d):
+    """Languages named by the pages' warnings of one prefix."""
+    w = F.array(F.lit("low_confidence"), F.when(F.col("page") % 2 == 0, F.concat(F.lit("spellcheck_unavailable:l"), (F.col("page") % 4).cast("string"), F.lit(":x"))).otherwise("possible_spelling_errors:3"))
+    all_ = model.dialogue(spark, d).groupBy("doc_id").agg(F.flatten(F.collect_list(w)).alias("w"))
+    return all_.select("doc_id", F.array_join(F.array_sort(export.prefixed(F.col("w"), "spellcheck_unavailable:")), ",").alias("langs"))
+
+
 @query(f"with {MISSING} select user_id, 'sudo apt-get install -y ' || string_agg(package, ' ' order by no) as command from missing group by user_id")
 def install_command(spark, d):
     packs = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "package"))), lambda x: x["package"]), " ")
@@ -594,12 +700,45 @@ def cer_score(spark, d):
     return t.select("item_id", F.round(structure.character_error_rate(F.replace(F.col("t"), F.lit("th"), F.lit("tl")), F.col("t")), 6).alias("cer"))
 
 
-@query()
+WORD_COST = """list_last(list_reduce(range(1, len(a) + 1), lambda st, i: list_reduce(range(1, len(b) + 1), lambda acc, j: list_append(acc, least(
+  st[j + 1] + 1, acc[j] + 1, st[j] + case when a[i] = b[j] then 0 else 1 end)), [i]), range(0, len(b) + 1)))"""
+
+
+@query(rf"""select item_id, round({WORD_COST} / cast(greatest(1, len(b)) as double), 6) as wer from (
+  select item_id, regexp_extract_all(regexp_replace(text, '\bof\b', 'on', 'g'), '\S+') as a, regexp_extract_all(text, '\S+') as b from benchmark)""")
 def wer_score(spark, d):
+    """Benchmark texts against a reading that takes of for on."""
     t = model.table(spark, d, "benchmark").select("item_id", "text")
     return t.select("item_id", F.round(structure.word_error_rate(F.regexp_replace("text", r"\bof\b", "on"), F.col("text")), 6).alias("wer"))
 
 
+TITLE = r"substring(regexp_replace(regexp_replace(line, '[^\p{L}\p{N}]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 60)"
+
+
+@query(rf"""with {TITLED}, c as (select doc_id, no, line, sum(case when {HEAD} is not null then 1 else 0 end) over (partition by doc_id order by no) as chapter from titled)
+select doc_id, cast(chapter as bigint) as chapter, printf('%02d_%s', cast(chapter as int), case when chapter = 0 then 'Front' when arg_min({TITLE}, no) = '' then 'Chapter' else arg_min({TITLE}, no) end) as folder,
+  string_agg(line, chr(10) order by no) as text from c group by doc_id, chapter""")
+def chapter_export(spark, d):
+    t = titled(spark, d).withColumn("heading", F.col("heading").isNotNull())
+    return structure.chapter_names(t, "doc_id").withColumn("chapter", long("chapter"))
+
+
+@query(rf"""with {TITLED}, l as (select doc_id, no, {HEAD} is not null as said, (cast(length(line) <= 60 as int) + cast(not regexp_matches(line, '[.,;:!?]\s*$') as int)
+  + cast(trim(coalesce(lag(line) over (partition by doc_id order by no), '')) = '' as int) + cast(regexp_matches(line, '^\s*[\p{{Lu}}\p{{N}}]') as int)) / 4.0 as layout from titled)
+select doc_id, no, round(0.6 * cast(said as int) + 0.4 * layout, 6)::double as vote, case when round(0.6 * cast(said as int) + 0.4 * layout, 6) >= 0.8 then 'heading' when not said and layout >= 0.75 then 'ask' else 'body' end as route from l""")
+def layout_vote(spark, d):
+    v = structure.vote(structure.layout(titled(spark, d), "doc_id"))
+    return v.select("doc_id", "no", F.round("vote", 6).alias("vote"), "route")
+
+
+@query("""select p_partkey as host, need <= free as ok, need as required, free as available, greatest(0, need - free) as short, least(60.0, pow(2.0, p_partkey % 8))::double as wait
+  from (select p_partkey, cast(p_size as bigint) * 20 as need, (p_partkey * 37) % 1000 as free from part)""")
+def disk_preflight(spark, d):
+    """Whether an artifact fits a host's disk, and how long to wait before a further try."""
+    p = model.table(spark, d, "part").select("p_partkey", (long("p_size") * 20).alias("need"), (F.col("p_partkey") * 37 % 1000).alias("free"))
+    return p.select(F.col("p_partkey").alias("host"), structure.preflight(F.col("need"), F.col("free")).alias("c"), structure.backoff(F.col("p_partkey") % 8).alias("wait")).select("host", "c.*", "wait")
+
+
 @query("""select c_custkey, case when c_custkey % 12 >= 8 then 'Large' when c_custkey % 40 >= 16 then 'Medium' else 'Small' end as tier from customer""")
 def model_tier(spark, d):
     return model.table(spark, d, "customer").select("c_custkey", structure.model_tier(F.col("c_custkey") % 40, F.col("c_custkey") % 12).alias("tier"))

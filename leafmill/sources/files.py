@@ -50,5 +50,5 @@ def read_words(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_pages(pages: DataFrame, path: str) -> None:
-    """Untouched page texts (doc_id, page, text), by document."""
-    pages.write.mode("append").partitionBy("doc_id").parquet(path)
+    """Untouched page texts (doc_id, page, text), by document; written again, a document's pages take the place of its last ones."""
+    pages.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(path)

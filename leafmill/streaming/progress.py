@@ -21,9 +21,22 @@ def fold(events: DataFrame) -> DataFrame:
     return events.withColumn("entry", entry).groupBy("doc_id", "page").agg(F.max_by("entry", "seq").alias("latest"), F.min("seq").alias("first"), F.max("total").alias("total"))
 
 
-def run_once(events: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Folds everything that has come since the last run into a memory table, and stops."""
-    return fold(events).writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Folds everything that has come since the last run, writes the pages that changed under path, and stops.
+
+    Each batch is a folder of its own, written again if the batch is repeated; nothing passes through the driver.
+    """
+
+    def put(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return fold(events).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def folded(spark: SparkSession, path: str) -> DataFrame:
+    """What run_once has written: of every page the state of the last batch that changed it."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    return rows.groupBy("doc_id", "page").agg(F.max_by(F.struct("latest", "first", "total"), "batch").alias("s")).select("doc_id", "page", "s.*")
 
 
 def process_new(pages: DataFrame, step, path: str, checkpoint: str) -> StreamingQuery:

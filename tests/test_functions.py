@@ -37,6 +37,11 @@ def test_tokens_and_case(spark):
     assert [r[0] for r in df.select(fn.match_case(F.col("o"), F.col("s"))).collect()] == ["SIMPLE", "Simple", "Simple"]
 
 
+def test_case_of_letters_without_case(spark):
+    df = spark.createDataFrame([("A中", "ab"), ("A1B", "ab"), ("中", "ab"), ("1", "ab"), ("", "ab")], "o string, s string")
+    assert [r[0] for r in df.select(fn.match_case(F.col("o"), F.col("s"))).collect()] == ["Ab", "AB", "ab", "ab", "ab"]
+
+
 def test_names(spark):
     assert column(spark, ["a/b.c.pdf", "a/", "x\\y.png", ".hidden"], fn.stem) == ["b.c", "document", "y", "document"]
     assert column(spark, [7, 1234], fn.page_name, "int") == ["page-007", "page-1234"]
@@ -75,3 +80,49 @@ def test_costs_as_a_column(spark):
     rows = [("".join(random.choices("abcơờ", k=random.randint(0, 6))), "".join(random.choices("abcơờ", k=random.randint(0, 6)))) for _ in range(200)]
     df = spark.createDataFrame(rows, "a string, b string")
     assert [r.c for r in df.select(edits.edit_cost(F.col("a"), F.col("b")).alias("c")).collect()] == [plain_cost(a, b) for a, b in rows]
+
+
+def test_costs_within_a_bound_and_by_pair():
+    random.seed(3)
+    make = lambda: "".join(random.choices("abcơờ", k=random.randint(0, 12)))
+    pairs = [(make(), make()) for _ in range(400)]
+    a, b = [x for x, _ in pairs], [y for _, y in pairs]
+    full = edits.pair_costs(a, b)
+    near = edits.pair_costs(a, b, most=30)
+    assert all(x == y if x <= 30 else y > 30 for x, y in zip(full, near, strict=True))
+    flags = [i % 2 == 0 for i in range(400)]
+    plain = edits.pair_costs(a, b, False)
+    assert edits.pair_costs(a, b, edits.np.array(flags)).tolist() == [x if f else y for f, x, y in zip(flags, full, plain, strict=True)]
+
+
+def changed(rng, word, k):
+    for _ in range(k):
+        i, kind = rng.randrange(len(word) + 1), rng.randrange(4)
+        if kind == 0:
+            word = word[:i] + rng.choice("abcde") + word[i:]
+        elif kind == 1:
+            word = word[:i] + word[i + 1 :]
+        elif kind == 2:
+            word = word[:i] + rng.choice("abcde") + word[i + 1 :]
+        else:
+            word = word[:i] + word[i : i + 2][::-1] + word[i + 2 :]
+    return word
+
+
+def test_near_words_meet_on_a_deletion_key():
+    """Whatever up to k edits do to a word, also beyond the first letters that keys are made of."""
+    rng = random.Random(5)
+    for _ in range(1500):
+        a = "".join(rng.choices("abcde", k=rng.randint(1, 18)))
+        k = 1 if len(a) <= 3 else 2 if len(a) <= 6 else 3
+        b = changed(rng, a, rng.randint(0, k))
+        if not b or plain_cost(a, b) > 10 * k:
+            continue
+        salt = edits.np.zeros(1, dtype=edits.np.uint64)
+        sides = []
+        for w in (a, b):
+            _, key, own = edits.deletion_keys([w], edits.np.array([k]), salt)
+            sides.append({(x, o) for x, o in zip(key.tolist(), own.tolist(), strict=True)})
+        assert any(x == y and (o or p) for x, o in sides[0] for y, p in sides[1]), (a, b)
+    _, key, _ = edits.deletion_keys(["abcdefghijklmnop"], edits.np.array([3]), edits.np.zeros(1, dtype=edits.np.uint64))
+    assert len(key) == 299

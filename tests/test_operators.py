@@ -1,8 +1,12 @@
+import random
+import stat
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from leafmill.operators import export, imaging, jobs, lexicon, pages, recognition, spelling, structure
-from leafmill.sources import files
+from leafmill.sources import files, tools
 from tests.test_functions import plain_cost
 
 
@@ -175,3 +179,191 @@ def test_error_rates_and_headings(spark):
     assert [r[0] for r in df.select(structure.word_error_rate(F.col("r"), F.col("t"))).collect()] == [0.25, 1.0]
     lines = spark.createDataFrame([("Chapter 3 x",), ("Chương 2",), ("第3章",), ("1.2 Intro",), ("text",)], "l string")
     assert [r[0] for r in lines.select(structure.heading(F.col("l"))).collect()] == ["en", "vi", "ja_zh", "numbered", None]
+
+
+def test_known_words_by_language_and_spelling(spark):
+    freq = spark.createDataFrame([("en", "once", 1), ("vie", "hóa", 1), ("vie", "hòa", 2)], "lang string, word string, n long")
+    words = lexicon.known(freq, spark.createDataFrame([("Paris",), ("NASA",)], "word string"))
+    assert [r.word for r in words.orderBy("word").collect()] == ["NASA", "Paris", "hòa", "once"]
+    t = spark.createDataFrame([(x,) for x in ("Once", "ONCE", "paris", "Paris", "PARIS", "nasa", "Nasa", "NASA", "hóa", "x")], "core string")
+    assert {r.core for r in spelling.unknown(t, words).collect()} == {"paris", "nasa", "Nasa", "hóa"}
+    f = spark.createDataFrame([("3rd",), ("123",), ("Once",), ("a",)], "core string")
+    assert [r.core for r in spelling.flaggable(f, words).collect()] == ["3rd"]
+
+
+def test_confusable_letters_are_cheap_in_vietnamese_alone(spark):
+    w = spark.createDataFrame([("vie", "hỏa"), ("eng", "hỏa")], "lang string, word string")
+    index = spark.createDataFrame([(x, y, n) for x in ("vie", "eng") for y, n in (("hòa", 1), ("hỏ", 9))], "lang string, word string, n long")
+    got = {r.lang: (r.suggestion, r.cost) for r in spelling.suggest(w, index).collect()}
+    assert got == {"vie": ("hòa", 4), "eng": ("hỏ", 10)}
+
+
+def test_first_language_against_brute_force(spark):
+    rng = random.Random(2)
+    make = lambda: "".join(rng.choices("abcd", k=rng.randint(3, 7)))
+    words = sorted({make() for _ in range(30)})
+    stock = {lang: {make(): rng.randint(1, 4) for _ in range(25)} for lang in ("xx", "yy", "zz")}
+    index = spark.createDataFrame([(lang, x, n) for lang, own in stock.items() for x, n in own.items()], "lang string, word string, n long")
+    order = ["yy", "xx"]
+    each = spark.createDataFrame([(lang, w) for lang in order for w in words], "lang string, word string")
+    got = {r.word: (r.lang_no, r.suggestion, r.cost) for r in spelling.first_language(spelling.suggest(each, index), order).collect()}
+    want = {}
+    for w in words:
+        most = 10 if len(w) <= 3 else 20 if len(w) <= 6 else 30
+        for i, lang in enumerate(order):
+            keys = [(c, -n, w[0] != x[0], abs(len(x) - len(w)), False, x) for x, n in stock[lang].items() if (c := plain_cost(w, x)) <= most]
+            if keys and min(keys)[0] > 0:
+                want[w] = (i, min(keys)[-1], min(keys)[0])
+                break
+    assert got == want
+
+
+def test_page_texts_equal_lines(spark):
+    rng = random.Random(1)
+    w = [(d, i, 1, 1, rng.randint(0, 2), float(rng.randint(0, 99)), rng.choice("abc")) for d in range(20) for i in range(rng.randint(0, 9))]
+    df = spark.createDataFrame(w, "doc long, pos long, block long, par long, line long, conf double, text string")
+    every = spark.range(20).select(F.col("id").alias("doc"))
+    one, two = (rows(x.select("doc", "text", F.round("confidence", 9)), "doc") for x in (pages.page_texts(df, every, ["doc"]), pages.page_result(pages.lines_of(df, ["doc"]), every, ["doc"])))
+    assert one == two and len(one) == 20
+
+
+PAGE = "document_path string, page long, kind string, text string, confidence double, error string"
+
+
+def test_runs_isolate_failures_and_resume(spark):
+    freq = spark.createDataFrame([("eng", x, 9) for x in ("simple", "plain", "words", "and", "more", "that", "stand", "here")], "lang string, word string, n long")
+    known, index = lexicon.known(freq), freq
+    text = "smple words and plain words that stand here xzqvvt"
+    first = [("d", 1, "pdf", text, None, None), ("d", 2, "pdf", "", None, "boom"), ("d", 3, "pdf", "too short", 0.4, None), ("i", 1, "image", " ", 0.0, None)]
+    run = jobs.run_documents(spark.createDataFrame(first, PAGE), known, index, ["eng", "xx"])
+    got = {(r.document_path, r.page): r for r in run.records.collect()}
+    assert got["d", 1].warnings == ["suggested_corrections:1", "possible_spelling_errors:1"] and got["d", 1].source == "native" and got["d", 1].confidence == 1.0
+    assert [tuple(x) for x in got["d", 1].suggested_corrections] == [("smple", "simple")] and got["d", 1].flagged_words == ["xzqvvt"]
+    assert (got["d", 2].status, got["d", 2].source, got["d", 2].confidence, got["d", 2].warnings) == ("failed", "ocr", 0.0, ["boom"])
+    assert got["d", 3].warnings[0] == "low_confidence" and got["d", 3].confidence == 0.4
+    assert got["i", 1].warnings == ["low_confidence", "no_text_detected"]
+    state = {r.document_path: r for r in run.states.collect()}
+    assert (state["d"].status, state["d"].failed, state["i"].status) == ("COMPLETED_WITH_WARNINGS", [2], "COMPLETED")
+    assert {r.status: r.failed for r in jobs.summarise(run.states).collect()} == {"COMPLETED": 0, "COMPLETED_WITH_WARNINGS": 1}
+    old = spark.createDataFrame(run.records.withColumn("total_pages", F.when(F.col("document_path") == "d", 3).otherwise(2).cast("long")).collect())
+    again = [("d", 1, "pdf", "changed", None, None), ("d", 2, "pdf", text, None, None), ("d", 3, "pdf", "", None, "boom"), ("i", 1, "image", "here", 0.9, None)]
+    run = jobs.run_documents(spark.createDataFrame(again, PAGE), known, index, ["eng"], old)
+    got = {(r.document_path, r.page): r for r in run.records.collect()}
+    assert len(got) == 4 and got["d", 1].flagged_words == ["xzqvvt"] and got["d", 2].source == "native" and got["d", 3].status == "completed"
+    assert got["i", 1].confidence == 0.9  # its page count has changed
+    none = jobs.run_documents(spark.createDataFrame(first, PAGE), known, index, ["xx", "yy"])
+    got = {(r.document_path, r.page): r for r in none.records.collect()}
+    assert got["d", 1].warnings == ["spellcheck_unavailable:xx", "spellcheck_unavailable:yy"] and got["d", 1].flagged_words == [] and got["d", 2].warnings == ["boom"]
+
+
+def test_sinks_are_read_back(spark, tmp_path):
+    p = spark.createDataFrame([("a", 1, "one\n\ntwo "), ("a", 2, ""), ("b", 1, "x")], "doc_id string, page long, text string")
+    files.write_pages(p, f"{tmp_path}/raw")
+    files.write_pages(p.where("doc_id = 'a'"), f"{tmp_path}/raw")
+    assert rows(spark.read.parquet(f"{tmp_path}/raw").select("doc_id", "page", "text"), "doc_id", "page") == rows(p, "doc_id", "page")
+    export.write_markdown(p, "doc_id", f"{tmp_path}/md")
+    back = {r.doc_id: r.value.rstrip("\0") for r in spark.read.text(f"{tmp_path}/md", wholetext=True).collect()}
+    assert back == {r.doc_id: r.markdown for r in export.markdown(p, "doc_id").collect()}
+    s = spark.createDataFrame([("a", 2, [1]), ("b", 1, [])], "doc string, pages long, failed array<long>")
+    export.write_metadata(s, "doc", f"{tmp_path}/meta")
+    export.write_metadata(s.where("doc = 'a'").withColumn("pages", F.lit(5).cast("long")), "doc", f"{tmp_path}/meta")
+    assert rows(export.read_metadata(spark, f"{tmp_path}/meta", "doc string, pages long, failed array<long>"), "doc") == [("a", 5, [1]), ("b", 1, [])]
+    lines = spark.createDataFrame([("d", i, t, h) for i, (t, h) in enumerate([("intro", False), ("Chapter 1: A/b", True), ("text", False), ("***", True)])], "doc string, no long, line string, heading boolean")
+    structure.write_chapters(lines, "doc", f"{tmp_path}/chapters")
+    assert {(r.folder, r.value.rstrip("\0")) for r in spark.read.text(f"{tmp_path}/chapters", wholetext=True).collect()} == {("00_Front", "intro"), ("01_Chapter_1_A_b", "Chapter 1: A/b\ntext"), ("02_Chapter", "***")}
+
+
+def test_readers(spark, tmp_path):
+    info = spark.createDataFrame([("a", "Title: Pages: 9"), ("a", "Pages:          12"), ("b", "Pages: many"), ("b", "x")], "path string, line string")
+    assert rows(files.page_counts(info), "path") == [("a", 12), ("b", None)]
+    (tmp_path / "w.tsv").write_text("level\tx\n5\t1\t1\t1\t2\t0\t0\t0\t9\t9\t90\tHello\n")
+    got = files.read_words(spark, str(tmp_path / "w.tsv"))
+    assert [r.pos for r in got.orderBy("pos").collect()] == [0, 1, 2]
+    assert rows(pages.parse_words(got.drop("path"))) == [(1, 1, 1, 2, 90.0, "Hello")]
+
+
+def test_images_are_read_and_written(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    image = rng.integers(0, 256, (30, 41), dtype=np.uint8)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.png").write_bytes(imaging.png(image))
+    (tmp_path / "in/bad.png").write_bytes(b"no image")
+    px = imaging.read_luma(spark, str(tmp_path / "in"))
+    got = np.zeros_like(image)
+    for r in px.collect():
+        got[r.y, r.x] = r.v
+    assert (got == image).all() and px.count() == image.size
+    out = imaging.binarise(px)
+    want = np.zeros_like(image)
+    for y in range(30):
+        for x in range(41):
+            w = image[max(0, y - 12) : y + 13, max(0, x - 12) : x + 13].astype(float)
+            want[y, x] = 255 if image[y, x] > w.mean() * (1 + imaging.WEIGHT * (w.std() / 128 - 1)) else 0
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out/b.png").write_bytes(imaging.as_png(out, "out").first().png)
+    back = np.zeros_like(image)
+    for r in imaging.read_luma(spark, str(tmp_path / "out")).collect():
+        back[r.y, r.x] = r.v
+    assert (back == want).all()
+
+
+def test_rendering_errors_stay_with_their_page(spark):
+    def renderer(content, page):
+        if page == 2:
+            raise ValueError("no such page")
+        return content + bytes([page])
+
+    df = spark.createDataFrame([("d", 1, bytearray(b"x")), ("d", 2, bytearray(b"x"))], "doc string, page long, content binary")
+    assert rows(recognition.render(df, ["doc", "page"], renderer), "page") == [("d", 1, bytearray(b"x\1"), None), ("d", 2, None, "no such page")]
+
+
+def test_host_programs(spark, tmp_path, monkeypatch):
+    """Programs that stand in for the real ones say what those would."""
+    def program(name, script):
+        p = tmp_path / name
+        p.write_text("#!/bin/sh\n" + script)
+        p.chmod(p.stat().st_mode | stat.S_IXUSR)
+
+    monkeypatch.setenv("PATH", f"{tmp_path}:/usr/bin:/bin")
+    with pytest.raises(tools.ToolMissing):
+        tools.page_count(b"x")
+    assert tools.installed_languages() == [] and tools.dependencies(spark).where("installed").count() == 0
+    program("pdfinfo", "printf 'Title: t\\nPages:   7\\n'")
+    program("pdftotext", "printf ' caf\\303\\251 \\377 page %s \\n' \"$3\"")
+    program("pdftoppm", 'eval out=\\${$#}; printf "page $6 at $2" > "$out.png"')
+    program("tesseract", 'if [ "$1" = --list-langs ]; then printf "List\\neng\\nosd\\n\\n"; else cat "$1"; fi')
+    assert tools.page_count(b"x") == 7 and tools.native_text(b"x", 3) == "café \ufffd page 3"
+    assert tools.rendered(b"x", 4) == b"page 4 at 200" and tools.word_lines(b"a\tb\nc", "eng") == ["a\tb", "c"]
+    assert tools.installed_languages() == ["eng"]
+    (tmp_path / "en_US.aff").touch()
+    (tmp_path / "en_US.dic").touch()
+    got = tools.dependencies(spark, str(tmp_path))
+    assert [r.installed for r in got.orderBy("no").collect()] == [True, True, False, True, True, False]
+    program("pdfinfo", "echo broken >&2; exit 3")
+    with pytest.raises(RuntimeError, match="broken"):
+        tools.page_count(b"x")
+
+
+def test_host_state(tmp_path):
+    assert tools.free_space("/data/docs", {"/": 5, "/data": 3, "/dat": 9}) == 3 and tools.free_space("x", {"/a": 5, "/b": 9}) == 9 and tools.free_space("x", {}) == 0
+    assert tools.runtime_state(str(tmp_path), "onnx", "linux-x64") == "missing"
+    (tmp_path / "runtime/onnx/linux-x64").mkdir(parents=True)
+    assert tools.runtime_state(str(tmp_path), "onnx", "linux-x64") == "installed"
+    assert {"os", "arch", "cpu_cores", "ram_bytes", "disk_free_bytes"} == set(tools.hardware("/")) and tools.hardware("/")["ram_bytes"] > 0
+
+
+def test_preflight_and_layout(spark):
+    df = spark.createDataFrame([(5, 9, 0), (9, 5, 10)], "n long, f long, a int")
+    assert [tuple(r.c) for r in df.select(structure.preflight(F.col("n"), F.col("f")).alias("c")).collect()] == [(True, 5, 9, 0), (False, 9, 5, 4)]
+    assert [r[0] for r in df.select(structure.backoff(F.col("a"))).collect()] == [1.0, 60.0]
+    lines = spark.createDataFrame([("d", 0, "Chapter 1", "en"), ("d", 1, "it goes on like this, and on.", None), ("d", 2, "", None), ("d", 3, "A Short Line", None)], "doc string, no long, line string, heading string")
+    assert [r.route for r in structure.vote(structure.layout(lines, "doc")).orderBy("no").collect()] == ["heading", "body", "body", "ask"]
+
+
+def test_word_error_rate_of_many_different_words(spark, monkeypatch):
+    monkeypatch.setattr(structure, "FIRST_CODE", 0xD7F0)  # so that a few words reach past the surrogates
+    words = [f"w{i}" for i in range(60)]
+    df = spark.createDataFrame([(" ".join(words[:50]), " ".join([*words[:40], *words[50:]]))], "r string, t string")
+    assert df.select(structure.word_error_rate(F.col("r"), F.col("t"))).first()[0] == pytest.approx(10 / 50)
+    monkeypatch.setattr(structure, "FIRST_CODE", 0x110000 - 0x800 - 50)
+    assert df.select(structure.word_error_rate(F.col("r"), F.col("t"))).first()[0] is None

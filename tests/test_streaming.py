@@ -12,8 +12,8 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     table = {}
     for run, part in enumerate((events[:7], events[7:])):
         (folder / f"{run}.json").write_text("\n".join(map(json.dumps, part)))
-        progress.run_once(progress.event_stream(spark, str(folder)), "latest_pages", str(tmp_path / "cp")).awaitTermination()
-        table = {(r.doc_id, r.page): (r.latest, r.first) for r in spark.table("latest_pages").collect()}
+        progress.run_once(progress.event_stream(spark, str(folder)), str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination()
+        table = {(r.doc_id, r.page): (r.latest, r["first"]) for r in progress.folded(spark, str(tmp_path / "state")).collect()}
     batch = progress.fold(spark.read.schema(progress.EVENT).json(str(folder)))
     assert table == {(r.doc_id, r.page): (r.latest, r["first"]) for r in batch.collect()}
 
