@@ -6,13 +6,16 @@ chunks in order; its Merkle root is built over their digests. Recipes lie in asc
 of its first id in the whole stream; the manifest names the roots of all recipe files and one root over them.
 
 Format, under one folder:
-  chunks/     Parquet, zstd: digest binary(16), n int, ids binary (little-endian unsigned 16- or 32-bit, see manifest; on one
-              row of a digest, else null), at array<struct<doc_id, row, nth>> (where it occurs)
+  chunks/     Parquet, zstd: digest binary(16), n int, held (whether the row has the ids: one row of a digest), ids binary
+              (little-endian unsigned 16- or 32-bit, see manifest; else null), at array<struct<doc_id, row, nth>> (where it occurs)
   recipes/    Parquet, zstd, files (part) in ascending doc_id order: doc_id, row, n_tokens, start (in its file),
               chunks array<struct<digest, n>>, root
-  manifest/   JSON: tokenizer digest, id width, for each recipe file its ids, documents and root, and the root over these
+  manifest/   JSON: tokenizer digest, id width, number of chunks and a sum of their digests, for each recipe file its ids,
+              documents and root, and the root over these
 
-Reading checks every chunk against its digest, every recipe against its Merkle root, and the manifest's root.
+Reading checks every chunk against its digest, every recipe against its Merkle root, the recipe files against the manifest, and
+the manifest's root. A document with a chunk that is missing or damaged is not verified; a recipe file that is missing, or chunks
+that no manifest knows of, are errors.
 """
 
 from __future__ import annotations
@@ -304,17 +307,19 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     """Writes docs (doc_id, text) to the store at path.
 
     A null text counts as empty: its stream is the end id alone. Rows of one doc_id are documents of their own, in the
-    order in which they were read; a null doc_id comes first. Other columns are not read. An empty table gives an empty store.
+    order in which they were read; a null doc_id comes first. A text of any length is cut into chunks of at most MOST ids. Equal
+    texts share their chunks. Other columns are not read. An empty table gives an empty store.
     """
     spark = docs.sparkSession
     with open(tokenizer, "rb") as f:
         vocabulary = f.read()
     raw = chunk_rows(docs, end_id, spark.sparkContext.broadcast(vocabulary))  # a vocabulary file: a few megabytes
-    # one reducer row with ids for each digest; the rows of a digest are as many as the tasks' batches that met it
-    bound = Window.partitionBy("digest").orderBy(F.col("ids").isNull(), F.element_at("at", 1))
-    raw.withColumn("__nth", F.row_number().over(bound)).select(
-        "digest", "n", F.when(F.col("__nth") == 1, F.col("ids")).alias("ids"), "at"
-    ).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    # one row with ids for each digest: those that have them meet, at most one for a task and digest (and for SENT chunks of a
+    # task); the others, which only say where a chunk occurs, are spread by their first place, however common the chunk is
+    raw = raw.withColumn("__spread", F.when(F.col("ids").isNull(), F.xxhash64(F.element_at("at", 1))).otherwise(F.lit(0).cast("long")))
+    bound = Window.partitionBy("digest", "__spread").orderBy(F.element_at("at", 1))
+    held = (F.row_number().over(bound) == 1) & F.col("ids").isNotNull()
+    raw.withColumn("held", held).select("digest", "n", "held", F.when(F.col("held"), F.col("ids")).alias("ids"), "at").write.option("compression", "zstd").parquet(f"{path}/chunks")
     kept = spark.read.parquet(f"{path}/chunks")
     flat = kept.select(F.explode("at").alias("at"), "digest", "n").select("at.*", "digest", "n")
     recipe = flat.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("nth", "digest", "n"))).alias("c"))
@@ -326,12 +331,19 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     _finished(recipe).write.option("compression", "zstd").parquet(f"{path}/recipes")
     files = part_roots(spark.read.parquet(f"{path}/recipes"))
     manifest = {
-        "tokenizer_sha256": hashlib.sha256(vocabulary).hexdigest(), "end_id": end_id, "files": files,
+        "tokenizer_sha256": hashlib.sha256(vocabulary).hexdigest(), "end_id": end_id, "files": files, "chunks": chunk_sum(kept),
         "id_bytes": encoder(vocabulary).kind.itemsize, "root": merkle([bytes.fromhex(x["root"]) for x in files]).hex(),
     }
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{path}/manifest")
 
 
+def chunk_sum(chunks: DataFrame) -> list[int]:
+    """Number of held chunks, and two sums over their digests that do not depend on order."""
+    held = chunks.where("held").select(F.xxhash64("digest").alias("a"), F.xxhash64("digest", F.lit(1)).alias("b"))
+    r = held.agg(F.count(F.lit(1)).alias("n"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b")).first()
+    return [r["n"], r["a"] or 0, r["b"] or 0]
+
+
 def part_roots(recipes: DataFrame) -> list[dict]:
     """Ids, documents and Merkle root of each recipe file in order; a row for each file reaches the driver."""
     ddl = "part int, ids long, docs long, root string"
@@ -391,13 +403,34 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
     return m
 
 
+def _checked(spark: SparkSession, path: str) -> tuple[dict, DataFrame, DataFrame, set[int], bool]:
+    """The manifest, chunks and recipes of a store, the recipe files as the manifest has them, and whether the chunks are all.
+
+    Recipe files that are missing or not in the manifest, and chunks that are in no recipe or there twice, are errors.
+    """
+    m = read_manifest(spark, path)
+    chunks = spark.read.parquet(f"{path}/chunks")
+    recipes = spark.read.parquet(f"{path}/recipes")
+    want, have = {x["part"]: x for x in m["files"]}, {x["part"]: x for x in part_roots(recipes)}
+    if set(want) != set(have):
+        raise ValueError(f"recipe files that are missing: {sorted(set(want) - set(have))}, that the manifest does not name: {sorted(set(have) - set(want))}")
+    whole = chunk_sum(chunks) == m["chunks"]
+    if not whole:
+        held = chunks.where("held").groupBy("digest").count()
+        used = recipes.select(F.explode("chunks.digest").alias("digest")).distinct()
+        if held.where("count > 1").limit(1).count() or held.join(used, "digest", "left_anti").limit(1).count():
+            raise ValueError("chunks that are there twice or in no recipe")
+    return m, chunks.where("held").select("digest", "ids"), recipes, {p for p, x in want.items() if have[p] == x}, whole
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and verified for each document, from the files alone.
 
     Every chunk's ids are read, held against their digest, and summed up; a document's checksum is put together from those
-    of its chunks in the recipe's order. verified also says that the recipe has its Merkle root and its file the manifest's.
+    of its chunks in the recipe's order, and is null if one of them is missing. verified says that all are there and intact, that
+    the recipe has its Merkle root and its file the manifest's. Of rows of one doc_id each has its row; an empty store has none.
     """
-    m = read_manifest(spark, path)
+    m, held, recipes, good_files, _ = _checked(spark, path)
     kind = np.dtype("<u2") if m["id_bytes"] == 2 else np.dtype("<u4")
     chunk_ddl = "digest binary, size int, crc long, good boolean"
     chunk_schema = arrow_schema(chunk_ddl)
@@ -407,15 +440,13 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
             ids = b.column(1).to_pylist()
             crc = [zlib.crc32(np.frombuffer(x, dtype=kind).astype("<u4").tobytes()) for x in ids]
             good = [digest(x) == d for x, d in zip(ids, b.column(0).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // kind.itemsize for x in ids], pa.int32()), pa.array(crc, pa.int64()), pa.array(good)], schema=chunk_schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // kind.itemsize for x in ids], pa.int32()), pa.array(crc, pa.int64()), pa.array(good, pa.bool_())], schema=chunk_schema)
 
-    chunks = spark.read.parquet(f"{path}/chunks").where("ids is not null").select("digest", "ids").mapInArrow(sums, chunk_ddl)
-    recipes = spark.read.parquet(f"{path}/recipes")
+    chunks = held.mapInArrow(sums, chunk_ddl)
     base, at = {}, 0
     for x in m["files"]:
         base[x["part"]] = at
         at += x["ids"]
-    good_files = {x["part"] for x in m["files"]} if part_roots(recipes) == m["files"] else set()
     use_ddl = "doc_id long, row long, start long, n_tokens long, intact boolean, digest binary, n int, after long"
     use_schema = arrow_schema(use_ddl)
 
@@ -434,17 +465,25 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     def shift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             crc = crc_shift(b.column(5).to_numpy(), b.column(6).to_numpy() * 4).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(crc)], names=["doc_id", "row", "start", "n_tokens", "good", "crc"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(crc), b.column(7)], names=["doc_id", "row", "start", "n_tokens", "good", "crc", "there"])
 
-    met = recipes.mapInArrow(uses, use_ddl).join(chunks, "digest")
-    met = met.select("doc_id", "row", "start", "n_tokens", F.expr("good and intact and size = n").alias("good"), "crc", "after")
-    met = met.mapInArrow(shift, "doc_id long, row long, start long, n_tokens long, good boolean, crc long")
-    return met.groupBy("doc_id", "row", "start", "n_tokens").agg(F.bit_xor("crc").alias("ids_crc32"), F.min("good").alias("verified")).drop("row")
+    met = recipes.mapInArrow(uses, use_ddl).join(chunks, "digest", "left")
+    good = F.coalesce(F.expr("good and intact and size = n"), F.lit(False))
+    met = met.select("doc_id", "row", "start", "n_tokens", good.alias("good"), F.coalesce("crc", F.lit(0)).alias("crc"), "after", F.col("crc").isNotNull().alias("there"))
+    met = met.mapInArrow(shift, "doc_id long, row long, start long, n_tokens long, good boolean, crc long, there boolean")
+    out = met.groupBy("doc_id", "row", "start", "n_tokens").agg(F.bit_xor("crc").alias("crc"), F.min("there").alias("there"), F.min("good").alias("verified"))
+    return out.select("doc_id", "start", "n_tokens", F.when(F.col("there"), F.col("crc")).alias("ids_crc32"), "verified")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start and ids (array<int>) of each document, put together from the store."""
-    m = read_manifest(spark, path)
+    """doc_id, start and ids (array<int>) of each document, put together from the store.
+
+    Nothing is given out unchecked: a chunk that is missing, surplus or damaged, or a recipe that is not what the manifest names, is
+    an error, when the store is opened or when the rows are read. An empty store has no rows; rows of one doc_id each have theirs.
+    """
+    m, held, files, good_files, whole = _checked(spark, path)
+    if not whole or good_files != {x["part"] for x in m["files"]}:
+        raise ValueError("chunks are missing or recipe files differ from the manifest")
     kind = np.dtype("<u2") if m["id_bytes"] == 2 else np.dtype("<u4")
     ddl = "doc_id long, start long, ids array<int>"
     schema = arrow_schema(ddl)
@@ -452,22 +491,25 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     for x in m["files"]:
         base[x["part"]] = at
         at += x["ids"]
-    recipes = spark.read.parquet(f"{path}/recipes").select("part", "doc_id", "row", "start", F.posexplode("chunks").alias("nth", "c"))
-    chunks = spark.read.parquet(f"{path}/chunks").where("ids is not null").select("digest", "ids")
-    met = recipes.join(chunks, F.col("c.digest") == F.col("digest"))
-    rows = met.groupBy("part", "doc_id", "row", "start").agg(F.sort_array(F.collect_list(F.struct("nth", "ids"))).alias("c"))
+    recipes = files.select("part", "doc_id", "row", "start", "root", F.posexplode("chunks").alias("nth", "c"))
+    met = recipes.join(held, F.col("c.digest") == F.col("digest"), "left").select("part", "doc_id", "row", "start", "root", "nth", F.col("c.digest").alias("digest"), F.col("c.n").alias("n"), "ids")
+    rows = met.groupBy("part", "doc_id", "row", "start", "root").agg(F.sort_array(F.collect_list(F.struct("nth", "digest", "n", "ids"))).alias("c"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [np.frombuffer(b"".join(x["ids"] for x in c), dtype=kind).astype(np.int32) for c in b.column(3).to_pylist()]
+            ids = []
+            for c, root in zip(b.column(4).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if any(x["ids"] is None or len(x["ids"]) != x["n"] * kind.itemsize or digest(x["ids"]) != x["digest"] for x in c) or merkle([x["digest"] for x in c]) != root:
+                    raise ValueError("a chunk is missing or damaged, or a recipe is not that of its root")
+                ids.append(np.frombuffer(b"".join(x["ids"] for x in c), dtype=kind).astype(np.int32))
             start = [base[p] + v for p, v in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(start, pa.int64()), pa.array(ids, schema.field("ids").type)], schema=schema)
 
-    return rows.select("part", "doc_id", "start", F.col("c")).mapInArrow(run, ddl)
+    return rows.select("part", "doc_id", "start", "root", "c").mapInArrow(run, ddl)
 
 
 def store_and_index(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """Writes docs to a new store in the shared folder and reads its index back."""
+    """Writes docs to a new store in the shared folder and reads its index back; see write_store for odd rows, read_index for the result."""
     path = new_path(docs.sparkSession, "store")
     write_store(docs, path, tokenizer, end_id)
     return read_index(docs.sparkSession, path)

@@ -289,7 +289,7 @@ def test_store_round_trip(spark, docs, corpus, empty, tmp_path):
     ids = {(r.doc_id, r.start): r.ids for r in tokenstore.read_ids(spark, path).collect()}
     assert all(zlib.crc32(np.array(ids[d, s], "<u4").tobytes()) == c for d, s, _, c, _ in want)
     kept = spark.read.parquet(f"{path}/chunks").where("ids is not null")
-    assert kept.count() == kept.select("digest").distinct().count()
+    assert kept.count() == kept.select("digest").distinct().count() == kept.where("held").count()
     tokenstore.write_store(empty, f"file://{tmp_path}/none", PATH)
     assert tokenstore.read_index(spark, f"file://{tmp_path}/none").count() == 0
 
@@ -306,6 +306,68 @@ def test_damage_shows(spark, tmp_path):
     shutil.rmtree(f"{path}/chunks")
     shutil.move(f"{tmp_path}/other", f"{path}/chunks")
     assert tokenstore.read_index(spark, path).where("not verified").count() == 1
+    with pytest.raises(Exception, match="damaged"):
+        tokenstore.read_ids(spark, path).collect()
+
+
+def rewritten(spark, path, name, change):
+    """A store's table read, changed, and put in its place."""
+    import shutil
+
+    df = spark.read.parquet(f"{path}/{name}")
+    spark.createDataFrame(change(df.toPandas()), df.schema).write.parquet(f"{path}-new")
+    shutil.rmtree(f"{path}/{name}")
+    shutil.move(f"{path}-new", f"{path}/{name}")
+
+
+def test_lost_and_surplus_parts_show(spark, tmp_path):
+    import shutil
+
+    rng = random.Random(1)
+    texts = [" ".join(rng.choices(["one", "two", "three", "four", "five"], k=3000)) if i == 2 else f"text number {i}" for i in range(6)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = f"{tmp_path}/store"
+    tokenstore.write_store(df, path, PATH)
+    whole = {r.doc_id: r.ids_crc32 for r in tokenstore.read_index(spark, path).collect()}
+    owner = {bytes(d): r.doc_id for r in spark.read.parquet(f"{path}/recipes").collect() for d in [c.digest for c in r.chunks]}
+
+    def lost(chunks):
+        return chunks[[owner[bytes(d)] not in (0, 2) or (owner[bytes(d)] == 2 and i % 2 == 0) for i, d in enumerate(chunks.digest)]]
+
+    one = f"{tmp_path}/lost"
+    shutil.copytree(path, one)
+    rewritten(spark, one, "chunks", lost)
+    got = {r.doc_id: r for r in tokenstore.read_index(spark, one).collect()}
+    assert set(got) == set(whole) and {d for d, r in got.items() if not r.verified} == {0, 2}
+    assert got[0].ids_crc32 is None and got[2].ids_crc32 is None and all(got[d].ids_crc32 == whole[d] for d in (1, 3, 4, 5))
+    with pytest.raises(ValueError, match="missing"):
+        tokenstore.read_ids(spark, one)
+
+    import pandas as pd
+
+    for change in (lambda c: pd.concat([c, c[c.held].head(1)]), lambda c: pd.concat([c, c[c.held].head(1).assign(digest=[b"x" * 16])])):
+        two = f"{tmp_path}/more{change(spark.read.parquet(f'{path}/chunks').toPandas()).digest.nunique()}"
+        shutil.copytree(path, two)
+        rewritten(spark, two, "chunks", change)
+        for read in (tokenstore.read_index, tokenstore.read_ids):
+            with pytest.raises(ValueError, match="twice or in no recipe"):
+                read(spark, two)
+
+    three = f"{tmp_path}/norecipes"
+    shutil.copytree(path, three)
+    rewritten(spark, three, "recipes", lambda r: r[:0])
+    for read in (tokenstore.read_index, tokenstore.read_ids):
+        with pytest.raises(ValueError, match="recipe files that are missing"):
+            read(spark, three)
+    four = f"{tmp_path}/manifest"
+    shutil.copytree(path, four)
+    shutil.rmtree(f"{four}/manifest")
+    import json
+
+    m = tokenstore.read_manifest(spark, path)
+    spark.createDataFrame([(json.dumps(m | {"files": []}),)], "value string").coalesce(1).write.text(f"{four}/manifest")
+    with pytest.raises(ValueError, match="root"):
+        tokenstore.read_index(spark, four)
 
 
 def test_encoder_on_odd_white_space():
