@@ -2,13 +2,16 @@
 
 A word's potentials come from hashed features: its prefixes and suffixes (affixes), its character n-grams and itself
 (lexicon). A word longer than PIECE is a run of pieces, each a link of the chain with its own posterior, so that texts without
-white space are read from end to end. Transition potentials between neighbouring words are learned with them, so a run of words in another language
-shows as such in code-switched text. Forward-backward gives each word's posterior; a document's languages are the means of
-these over its words, weighted by their letters.
+white space are read from end to end. Transition potentials between neighbouring words are learned with them, so a run of
+words in another language shows as such in code-switched text. Before a chain's first word any language is as likely as another.
+Forward-backward gives each word's posterior; a document's languages are the means of these over its words, weighted by
+their letters.
 
 Training takes a bounded sample of labelled documents (PER_LANGUAGE for each language, chosen by a hash of the id) on the
-driver: whole texts, or windows of the longest where all would be more than SAMPLE_CHARS. Prediction is one Arrow pass. A document's chain is cut into segments whose transfer matrices are
-multiplied first, so that long documents run as fast as short ones; the result is that of the whole chain.
+driver: whole texts, or windows of the longest where all would be more than SAMPLE_CHARS. Prediction is one Arrow pass. A
+document's chain is cut into segments whose transfer matrices are multiplied first, so that long documents run as fast as
+short ones; the result is that of the whole chain. Segments are worked on CELLS numbers at a time, however many languages
+there are and however long a chain is.
 """
 
 from __future__ import annotations
@@ -28,12 +31,15 @@ from leafmill.llm.arrowmap import map_text
 
 #: Labelled documents a language in the training sample (about: a hash picks them).
 PER_LANGUAGE = 300
-#: Languages learned: the most frequent ones.
+#: Languages learned: the most frequent ones. A link of the chain costs their number squared, so this bounds the fit.
 LANGUAGES = 200
 #: Characters of training text in all. Languages share it: what one leaves over, others may use, and so do a language's documents;
 #: of a document longer than its share a window is taken. None is left out.
 SAMPLE_CHARS = 8_000_000
-FEATURES = 1 << 17
+#: Features, and the most weights (features times languages): with more than 128 languages there are fewer features.
+FEATURES, WEIGHTS = 1 << 17, 1 << 24
+#: Numbers that forward-backward holds of segments at a time, in each of its tables.
+CELLS = 1 << 22
 STEPS, RATE, SHRINK = 14, 0.6, 1e-5
 SEGMENT = 128
 #: A document whose best language has a lower mean posterior is rejected.
@@ -83,8 +89,8 @@ def sequence(w: ts.Words, start: np.ndarray, counts: np.ndarray) -> tuple[np.nda
     return rows, np.repeat(w.doc, counts), np.concatenate(([0], ends))[w.bounds]
 
 
-def features(words: list[str]) -> np.ndarray:
-    """Feature numbers (pieces, n) of the words' pieces; where one is too short for a feature, number 0 stands.
+def features(words: list[str], size_of: int = FEATURES) -> np.ndarray:
+    """Feature numbers (pieces, n), below size_of, of the words' pieces; where one is too short for a feature, number 0 stands.
 
     Only a word's first piece has its prefixes and the word itself, only the last one its suffixes.
     """
@@ -106,7 +112,7 @@ def features(words: list[str]) -> np.ndarray:
         h = np.full(len(cut), kind, dtype=np.uint64)
         for c in chars:
             h = ts.mix(h * np.uint64(0x9E3779B97F4A7C15) + c)
-        h = h % np.uint64(FEATURES - 1) + np.uint64(1)
+        h = h % np.uint64(size_of - 1) + np.uint64(1)
         out.append(np.where(chars[-1] > 0, h, np.uint64(0)))
 
     for n in range(1, AFFIX + 1):
@@ -149,53 +155,77 @@ def chains(bounds: np.ndarray) -> Chains:
 
 
 def forward_backward(c: Chains, emit: np.ndarray, steps: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    """Posteriors (words, languages) of all words of the chains, and expected counts of transitions if pairs."""
+    """Posteriors (words, languages) of all words of the chains, and expected counts of transitions if pairs.
+
+    The step into a chain's first word counts as one from a language before it that nothing is known of.
+    """
     k = emit.shape[1]
     S = len(c.index)
     post = np.zeros((len(emit), k))
-    if not S:
-        return post, np.zeros((k, k)) if pairs else None
+    counts = np.zeros((k, k))
     A = np.exp(steps - steps.max())
-    E = np.ones((SEGMENT, S, k))
-    at = c.index.T
-    on = at >= 0
-    E[on] = np.exp(emit[at[on]] - emit[at[on]].max(axis=1, keepdims=True))
-    many = c.rank.max() > 0
+    size = max(1, CELLS // (k * max(k, SEGMENT)))
+    groups = [slice(i, min(i + size, S)) for i in range(0, S, size)]
     into, back = np.full((S, k), 1 / k), np.full((S, k), 1 / k)
-    if many:
-        M = np.broadcast_to(np.eye(k), (S, k, k)).copy()
+    follows = np.append(c.rank[1:] > 0, False)  # the next segment is of the same chain
+    held: list = []
+    if follows.any():
+        for g in groups:  # what is known at each segment's start, from all before it
+            M = _transfer(c, g, emit, A)
+            for r in np.unique(c.rank[g]).tolist():
+                s = np.flatnonzero((c.rank[g] == r) & follows[g])
+                v = np.einsum("sk,skl->sl", into[g][s], M[s])
+                into[g.start + s + 1] = v / v.sum(axis=1, keepdims=True)
+            held = [M]
+        for i, g in enumerate(reversed(groups)):  # and at its end, from all behind it
+            M = held[0] if not i else _transfer(c, g, emit, A)
+            for r in np.unique(c.rank[g])[::-1].tolist():
+                s = np.flatnonzero((c.rank[g] == r) & (c.rank[g] > 0))
+                v = np.einsum("skl,sl->sk", M[s], back[g][s])
+                back[g.start + s - 1] = v / v.sum(axis=1, keepdims=True)
+    for g in groups:
+        on, E, at = _potentials(c, g, emit)
+        alpha = np.empty(E.shape)
+        a = into[g]
         for t in range(SEGMENT):
+            new = (a @ A) * E[t]
+            new /= new.sum(axis=1, keepdims=True)
+            a = alpha[t] = np.where(on[t][:, None], new, a)
+        b = back[g]
+        for t in range(SEGMENT - 1, -1, -1):
             live = on[t]
-            M[live] = (M[live] @ A) * E[t][live][:, None, :]
-            M[live] /= M[live].sum(axis=(1, 2), keepdims=True)
-        for r in range(1, int(c.rank.max()) + 1):
-            s = np.flatnonzero(c.rank == r)
-            into[s] = np.einsum("sk,skl->sl", into[s - 1], M[s - 1])
-            into[s] /= into[s].sum(axis=1, keepdims=True)
-        for r in range(int(c.rank.max()), 0, -1):
-            s = np.flatnonzero(c.rank == r)
-            back[s - 1] = np.einsum("skl,sl->sk", M[s], back[s])
-            back[s - 1] /= back[s - 1].sum(axis=1, keepdims=True)
-    alpha = np.empty((SEGMENT, S, k))
-    a = into
+            p = alpha[t] * b
+            post[at[t][live]] = (p / p.sum(axis=1, keepdims=True))[live]
+            eb = E[t] * b
+            if pairs:
+                before = (alpha[t - 1] if t else into[g])[live]
+                xi = before[:, :, None] * A * eb[live][:, None, :]
+                counts += (xi / xi.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+            new = eb @ A.T
+            new /= new.sum(axis=1, keepdims=True)
+            b = np.where(live[:, None], new, b)
+    return post, counts if pairs else None
+
+
+def _potentials(c: Chains, g: slice, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the segments g: which places have a word (place, segment), the words' potentials there, and the words."""
+    at = c.index[g].T
+    on = at >= 0
+    E = np.ones((*at.shape, emit.shape[1]))
+    E[on] = np.exp(emit[at[on]] - emit[at[on]].max(axis=1, keepdims=True))
+    return on, E, at
+
+
+def _transfer(c: Chains, g: slice, emit: np.ndarray, A: np.ndarray) -> np.ndarray:
+    """Transfer matrices of the segments g, each scaled to sum up to 1."""
+    on, E, at = _potentials(c, g, emit)
+    k = emit.shape[1]
+    M = np.broadcast_to(np.eye(k), (at.shape[1], k, k)).copy()
     for t in range(SEGMENT):
-        new = (a @ A) * E[t]
-        new /= new.sum(axis=1, keepdims=True)
-        a = alpha[t] = np.where(on[t][:, None], new, a)
-    b, counts = back, np.zeros((k, k))
-    for t in range(SEGMENT - 1, -1, -1):
         live = on[t]
-        p = alpha[t] * b
-        post[at[t][live]] = (p / p.sum(axis=1, keepdims=True))[live]
-        eb = E[t] * b
-        if pairs:
-            before = (alpha[t - 1] if t else into)[live]
-            xi = before[:, :, None] * A * eb[live][:, None, :]
-            counts += (xi / xi.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-        new = eb @ A.T
-        new /= new.sum(axis=1, keepdims=True)
-        b = np.where(live[:, None], new, b)
-    return post, counts if pairs else None
+        M[live] = (M[live] @ A) * E[t][live][:, None, :]
+        M[live] /= M[live].sum(axis=(1, 2), keepdims=True)
+    return M
 
 
 def unique_words(w: ts.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -204,39 +234,71 @@ def unique_words(w: ts.Words) -> tuple[np.ndarray, np.ndarray]:
     return first, number
 
 
-def train(texts: list[str], labels: list[str]) -> Model:
-    langs = sorted(set(labels))
-    k = len(langs)
-    weights, steps = np.zeros((FEATURES, k)), np.zeros((k, k))
-    if k < 2:
-        return Model(langs, weights, steps)
-    code = np.array([langs.index(x) for x in labels])
+class Part(NamedTuple):
+    """Training texts of one block."""
+
+    chains: Chains
+    features: np.ndarray  # of each different piece
+    number: np.ndarray  # which of these each link of the chains is
+    truth: np.ndarray  # each link's language
+    moves: np.ndarray  # transitions between links of one chain, (languages, languages)
+    starts: np.ndarray  # chains by the language of their first link
+
+
+def prepared(texts: list[str], code: np.ndarray, k: int, size_of: int) -> list[Part]:
     parts = []
     for b in ts.blocks(pa.array(texts, pa.large_string())):
         w = ts.words(b, ts.TABLE_LOWER)
         first, number = unique_words(w)
         words = cores(b, w.start[first], w.end[first])
-        f = features(words)
+        f = features(words, size_of)
         counts, letters = pieces(words)
         f[letters == 0] = 0
         number, doc, bounds = sequence(w, (np.cumsum(counts) - counts)[number], counts[number])
         truth = code[b.first + doc]
-        parts.append((chains(bounds), f, number, truth, np.bincount(truth[1:] + k * truth[:-1], minlength=k * k).reshape(k, k)))
-    square, square2 = np.full((FEATURES, k), 1e-8), np.full((k, k), 1e-8)
-    total = max(1, sum(len(p[2]) for p in parts))
+        same = doc[1:] == doc[:-1]
+        moves = np.bincount(truth[1:][same] + k * truth[:-1][same], minlength=k * k).reshape(k, k)
+        begin = bounds[:-1][np.diff(bounds) > 0]
+        parts.append(Part(chains(bounds), f, number, truth, moves, np.bincount(truth[begin], minlength=k)))
+    return parts
+
+
+def gradient(parts: list[Part], weights: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the mean log likelihood of a link's true language: by weights, and by transition potentials."""
+    size_of, k = weights.shape
+    total = max(1, sum(len(p.number) for p in parts))
+    grad, grad2 = np.zeros((size_of, k)), np.zeros((k, k))
+    entry = np.exp(steps - steps.max())
+    entry /= entry.sum(axis=0)  # from which language, if from any, a chain came into its first link's
+    for p in parts:
+        post, pairs = forward_backward(p.chains, potentials(weights, p.features)[p.number], steps, pairs=True)
+        diff = -post
+        diff[np.arange(len(p.truth)), p.truth] += 1
+        own = np.stack([np.bincount(p.number, weights=diff[:, j], minlength=len(p.features)) for j in range(k)], axis=1)
+        for i in range(p.features.shape[1]):
+            for j in range(k):
+                grad[:, j] += np.bincount(p.features[:, i], weights=own[:, j], minlength=size_of) / total
+        grad2 += (p.moves + entry * p.starts - pairs) / total
+    grad[0] = 0
+    return grad, grad2
+
+
+def train(texts: list[str], labels: list[str]) -> Model:
+    """The model of labelled texts; their order does not matter. Without two languages it has no weights."""
+    langs = sorted(set(labels))
+    k = len(langs)
+    size_of = FEATURES
+    while size_of * k > WEIGHTS:
+        size_of //= 2
+    weights, steps = np.zeros((size_of, k)), np.zeros((k, k))
+    if k < 2:
+        return Model(langs, weights, steps)
+    number = {x: i for i, x in enumerate(langs)}
+    parts = prepared(texts, np.array([number[x] for x in labels]), k, size_of)
+    square, square2 = np.full((size_of, k), 1e-8), np.full((k, k), 1e-8)
     for _ in range(STEPS):
-        grad, grad2 = -SHRINK * weights, np.zeros((k, k))
-        for c, f, number, truth, moves in parts:
-            emit = potentials(weights, f)[number]
-            post, pairs = forward_backward(c, emit, steps, pairs=True)
-            diff = -post
-            diff[np.arange(len(truth)), truth] += 1
-            own = np.stack([np.bincount(number, weights=diff[:, j], minlength=len(f)) for j in range(k)], axis=1)
-            for i in range(f.shape[1]):
-                for j in range(k):
-                    grad[:, j] += np.bincount(f[:, i], weights=own[:, j], minlength=FEATURES) / total
-            grad2 += (moves * (pairs.sum() / max(1, moves.sum())) - pairs) / total
-        grad[0] = 0
+        grad, grad2 = gradient(parts, weights, steps)
+        grad -= SHRINK * weights
         square += grad**2
         square2 += grad2**2
         weights += RATE * grad / np.sqrt(square)
@@ -309,7 +371,7 @@ def predict(docs: DataFrame, model: Model, keys: list | None = None, ddl: str |
                     more[begin, k + 1] = counts
                     if len(langs) > 1:
                         has = np.flatnonzero(size)
-                        more[has, :k] = potentials(weights, features([x for x in words if x])) if len(has) else 0
+                        more[has, :k] = potentials(weights, features([x for x in words if x], len(weights))) if len(has) else 0
                     rows[new] = len(table) + begin
                     known.update(zip((hashes[i] for i in new), rows[new].tolist(), strict=True))
                     table = np.concatenate([table, more])
@@ -335,13 +397,18 @@ def language_id(docs: DataFrame) -> DataFrame:
 
     Learned from text and lang of rows that have both and whose crc32(doc_id) modulo 5 is not 0. A text that is null or has
     no letter gives und with score 0, and so does every text if nothing could be learned; a null doc_id counts as the empty
-    text (held out). Repeated rows each get a row. Other columns are not read.
+    text (held out). Of languages that score alike the first by name is given. Texts of any length are read whole. Repeated
+    rows each get a row. Other columns are not read. An empty table gives an empty result.
     """
     return predict(docs, train(*sample(docs)))
 
 
 def with_language(docs: DataFrame) -> DataFrame:
-    """The rows of docs, as they are, that are not rejected: a language is found, with a score of at least MIN_SCORE."""
+    """The rows of docs, as they are, that are not rejected: a language is found, with a score of at least MIN_SCORE.
+
+    Null and blank texts and those without a letter are rejected; repeated rows fare alike; columns of any name stay. Without a
+    row that has a language nothing is learned and every row is rejected. An empty table stays empty.
+    """
     row = StructType().add("row", docs.schema)
     got = predict(docs, train(*sample(docs)), [F.struct(*docs.columns).alias("row")], row.add("lang_pred", StringType()).add("score", DoubleType()))
     return got.where((F.col("lang_pred") != UND) & (F.col("score") >= MIN_SCORE)).select("row.*")

@@ -32,6 +32,67 @@ def test_forward_backward():
     assert np.allclose(total, pairs)
 
 
+def likelihood(parts, weights, steps):
+    """Mean log probability of the true languages, by the plain forward recursion over each chain."""
+    out, n, k = 0.0, 0, len(steps)
+    for p in parts:
+        emit = langid.potentials(weights, p.features)[p.number]
+        links = [[] for _ in range(int(p.chains.chain.max()) + 1)]
+        for chain, row in zip(p.chains.chain.tolist(), p.chains.index.tolist(), strict=True):
+            links[chain] += [i for i in row if i >= 0]
+        for own in links:
+            a = np.zeros(k)  # log weight of all paths, and of the true one
+            true = 0.0
+            for t, i in enumerate(own):
+                into = np.logaddexp.reduce(steps, axis=0) if not t else None
+                a = into + emit[i] if not t else np.logaddexp.reduce(a[:, None] + steps, axis=0) + emit[i]
+                y = p.truth[i]
+                true += emit[i, y] + (into[y] if not t else steps[p.truth[own[t - 1]], y])
+            out += true - (np.logaddexp.reduce(a) if own else 0.0)
+            n += len(own)
+    return out / n
+
+
+def test_gradient_against_finite_differences():
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices(a, k=rng.randint(2, 6))) for _ in range(rng.randint(1, 200))) for a in ("abcd", "cdef", "efab") * 5]
+    code = np.array([0, 1, 2] * 5)
+    parts = langid.prepared(texts, code, 3, 257)
+    gen = np.random.default_rng(1)
+    weights, steps = gen.normal(size=(257, 3)) * 0.2, gen.normal(size=(3, 3))
+    weights[0] = 0
+    g, g2 = langid.gradient(parts, weights, steps)
+    e = 1e-5
+    for i in range(3):
+        for j in range(3):
+            d = np.zeros((3, 3))
+            d[i, j] = e
+            assert (likelihood(parts, weights, steps + d) - likelihood(parts, weights, steps - d)) / (2 * e) == pytest.approx(g2[i, j], abs=1e-6)
+    for i in gen.integers(1, 257, 12).tolist():
+        d = np.zeros((257, 3))
+        d[i, i % 3] = e
+        assert (likelihood(parts, weights + d, steps) - likelihood(parts, weights - d, steps)) / (2 * e) == pytest.approx(g[i, i % 3], abs=1e-6)
+
+
+def test_learned_steps_do_not_depend_on_order():
+    rng = random.Random(2)
+    words = {k: ["".join(rng.choices(a, k=5)) for _ in range(60)] for k, a in (("aa", "abcdefg"), ("bb", "efghijk"))}
+    rows = [(" ".join(rng.choices(words[k], k=8)), k) for k in ("aa", "bb") * 100]
+    one, two = (langid.train(*map(list, zip(*r, strict=True))) for r in (rows, sorted(rows, key=lambda x: x[1])))
+    assert np.allclose(one.steps, two.steps, atol=1e-6) and np.allclose(one.weights, two.weights, atol=1e-4)
+    assert one.steps[0, 0] > one.steps[0, 1] and one.steps[1, 1] > one.steps[1, 0]
+
+
+def test_long_chains_in_small_pieces(monkeypatch):
+    rng = np.random.default_rng(2)
+    bounds = np.array([0, 700, 700, 705, 1500])
+    emit, steps = rng.normal(size=(1500, 3)), rng.normal(size=(3, 3))
+    whole = langid.forward_backward(langid.chains(bounds), emit, steps, True)
+    monkeypatch.setattr(langid, "CELLS", 3 * langid.SEGMENT * 2)
+    cut = langid.forward_backward(langid.chains(bounds), emit, steps, True)
+    assert np.allclose(whole[0], cut[0]) and np.allclose(whole[1], cut[1])
+
+
 def test_languages_of_held_out_rows(docs, corpus, empty):
     got = langid.language_id(clashing(docs)).collect()
     assert len(got) == len(corpus)
