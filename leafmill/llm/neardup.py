@@ -8,8 +8,8 @@
    in one component is done. In a small bucket that is not, the pairs across components follow. In a large one the members
    outside its main component become a query set, which is held in blocks of bounded size against the sets of all members
    of such buckets by an inverted index; so no link is lost, and no group's pairs are ever rows.
-4. Components: a union-find in each partition shrinks the links to a forest, then minimum labels are spread over what is
-   left, by large-star and small-star steps.
+4. Components: a union-find in each partition shrinks the links to a forest; large-star and small-star steps turn what is left
+   into stars, each a component around its least member.
 
 Tables between steps are written to the shared folder. Nothing about single documents reaches the driver.
 """
@@ -20,12 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import textscan as ts
 from leafmill.llm.arrowmap import arrow_schema, lists, map_text, ship
-from leafmill.llm.scratch import bloom, in_bloom, saved
+from leafmill.llm.scratch import bloom, in_bloom, new_path, saved
 from leafmill.llm.superminhash import bands, signatures
 
 WORDS = 5
@@ -75,8 +75,15 @@ def sketches(docs: DataFrame) -> DataFrame:
     return map_text(docs, ["doc_id"], make, "doc_id long, n long, f1 long, f2 long, bands array<long>")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, f1 and the sorted shingle set of the rows named by wanted (id, f1, key), key a hash of both.
+def once(rows: DataFrame, again: DataFrame, id_: str, f: str) -> DataFrame:
+    """rows with one row of each (id_, f), where again (id, f1) has those that there are more of: only these are aggregated."""
+    same = (F.col(id_) == F.col("__id")) & (F.col(f) == F.col("__f"))
+    many = again.select(F.col("id").alias("__id"), F.col("f1").alias("__f"))
+    return rows.join(many, same, "left_anti").unionByName(rows.join(many, same, "left_semi").dropDuplicates([id_, f]))
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, again: DataFrame) -> DataFrame:
+    """id, f1 and the sorted shingle set of the rows named by wanted (id, f1, key), key a hash of both; again as in once().
 
     A bounded Bloom filter keeps the other rows' sets from being shuffled; an exact join follows.
     """
@@ -101,7 +108,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         return step
 
     got = map_text(docs, ["doc_id"], make, "sid long, sf long, items array<long>")
-    return got.join(wanted.select("id", "f1"), (F.col("sid") == F.col("id")) & (F.col("sf") == F.col("f1")), "left_semi").dropDuplicates(["sid", "sf"])
+    return once(got.join(wanted.select("id", "f1"), (F.col("sid") == F.col("id")) & (F.col("sf") == F.col("f1")), "left_semi"), again, "sid", "sf")
 
 
 def _key(ids: DataFrame) -> DataFrame:
@@ -141,10 +148,16 @@ def forest(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, ddl).where("a <> b")
 
 
+def stars(links: DataFrame) -> bool:
+    """Whether each id of links (a, b), b below a, is either linked to one other or others are linked to it."""
+    ends = links.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(id, root) for every id on a link (a, b): root is the least id that can be reached."""
+    """(id, root) for every id on a link (a, b) but the roots: root is the least id that can be reached."""
     e = saved(forest(edges).distinct(), name)
-    while True:
+    while not stars(e):
         # large star: larger neighbours of each id are linked to its least neighbour (or itself)
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -153,10 +166,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         down = large.where("a > b")
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        new = saved(small, name)
-        if not new.exceptAll(e).limit(1).count() and new.count() == e.count():
-            break
-        e = new
+        e = saved(small, name)
     return e.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
@@ -179,12 +189,19 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b")
 
 
-def split_buckets(open_: DataFrame, root: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The buckets whose members are in more than one component, with each member's component; and the components."""
+def split_buckets(open_: DataFrame, root: DataFrame) -> DataFrame:
+    """The buckets whose members are in more than one component, with each member's component."""
     now = open_.drop("root").join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    now = saved(now, "roots")
     split = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    return saved(now.join(split, "bucket", "left_semi"), "open"), root
+    return saved(now.join(split, "bucket", "left_semi"), "open")
+
+
+def central(open_: DataFrame, n: int) -> DataFrame:
+    """(bucket, x, xr): up to n members of each bucket with their components, the most central one of each n-th of its ids."""
+    nth = F.pmod(F.xxhash64("id"), F.lit(n))
+    picks = [F.max_by(F.struct(F.col("id").alias("x"), F.col("root").alias("xr")), F.when(nth == i, F.struct("rank", -F.col("id")))).alias(f"p{i}") for i in range(n)]
+    got = open_.groupBy("bucket").agg(*picks).select("bucket", F.explode(F.array_compact(F.array(*[f"p{i}" for i in range(n)]))).alias("p"))
+    return got.select("bucket", "p.*")
 
 
 def searched(open_: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -192,30 +209,33 @@ def searched(open_: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SI
 
     Any such pair has a member outside its bucket's main component. Those members are the query set; blocks of it, of at
     most QUERY_BYTES, are indexed by shingle and met with the sets of all members, which counts what each pair has in common.
+    Each block's links are written as they are found.
     """
     spark = sets.sparkSession
-    out = spark.createDataFrame([], "a long, b long")
     mass = open_.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     main = mass.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
     asked = open_.join(main, "bucket").where("root <> main").select("id").distinct()
-    bytes_ = sets.join(asked, F.col("sid") == F.col("id"), "left_semi").agg(F.sum(F.size("items") * 8)).first()[0]
+    asked_sets = sets.join(asked, F.col("sid") == F.col("id"), "left_semi").select("sid", "items")
+    bytes_ = asked_sets.agg(F.sum(F.size("items") * 8)).first()[0]
     if not bytes_:
-        return out
+        return spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
     blocks = -(-bytes_ // QUERY_BYTES)
     part = F.pmod(F.xxhash64("sid"), F.lit(blocks))
-    asked_sets = sets.join(asked, F.col("sid") == F.col("id"), "left_semi")
-    all_sets = saved(sets.join(open_.select("id").distinct(), F.col("sid") == F.col("id"), "left_semi").select("sid", "items").repartition(max(1, spark.sparkContext.defaultParallelism)), "crowd-sets")
+    asked_sets = saved(asked_sets.withColumn("part", part), "asked")
+    all_sets = saved(sets.join(open_.select("id").distinct(), F.col("sid") == F.col("id"), "left_semi").select("sid", "items"), "crowds")
+    path = new_path(spark, "found")
     for i in range(blocks):
-        t = asked_sets.where(part == i).select("sid", "items").orderBy("sid").toArrow()
+        t = asked_sets.where(F.col("part") == i).select("sid", "items").orderBy("sid").toArrow()  # QUERY_BYTES, or one set
         if not len(t):
             continue
         items = t["items"].combine_chunks()
         sizes = np.diff(items.offsets.to_numpy())
         flat = items.flatten().to_numpy()
         order = np.argsort(flat, kind="stable")
-        query = (t["sid"].to_numpy(), sizes, flat[order], np.repeat(np.arange(len(sizes)), sizes)[order])
-        out = out.unionByName(_met(all_sets, spark.sparkContext.broadcast(query), similarity))
-    return out
+        shared = spark.sparkContext.broadcast((t["sid"].to_numpy(), sizes, flat[order], np.repeat(np.arange(len(sizes)), sizes)[order]))
+        _met(all_sets.repartition(spark.sparkContext.defaultParallelism), shared, similarity).write.mode("append").parquet(path)
+        shared.destroy()
+    return spark.read.schema("a long, b long").parquet(path)
 
 
 def _met(all_sets: DataFrame, shared, similarity: tuple[int, int]) -> DataFrame:
@@ -254,46 +274,43 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text): n_shingles, component_id (least doc_id reachable) and kept.
 
     A null or blank text has an empty set and is linked with nothing; a text of fewer than five words is one shingle, the
-    whole sequence. Rows of one doc_id are one document, linked wherever any of their texts is. A row without doc_id
-    belongs to no component: component_id is null and it is kept. Other columns are not read. An empty table gives an
-    empty result.
+    whole sequence; one of any length counts whole. Rows of one doc_id are one document, linked wherever any of their texts is.
+    Repeated rows each get a row. A row without doc_id belongs to no component: component_id is null and it is kept. Of pairs
+    exactly at the least similarity all are links. Other columns are not read. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     rows = saved(sketches(docs), "sketches")
     named = rows.where("doc_id is not null and n > 0")
-    # a table of its own, so that the join below has an exchange of its own, which can be split where one text has many copies
+    # tables of their own, so that the joins below have exchanges of their own, which can be split where a key is common
     reps = saved(named.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id")), "classes")
+    again = saved(named.groupBy(F.col("doc_id").alias("id"), "f1").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id", "f1"), "again")
     same = named.join(reps, ["f1", "f2", "n"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct()
-    first = rows.where("n > 0").dropDuplicates(["doc_id", "f1", "f2", "n"])
-    heads = first.join(reps, (first.doc_id == reps.id) & (first.f1 == reps.f1) & (first.f2 == reps.f2)).select("id", first.f1, first.n, "bands")
-    member = heads.select("id", "f1", F.explode("bands").alias("bucket"))
-    sizes = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket", "size")
-    member = saved(member.join(sizes, "bucket").select("bucket", "id", "f1", "size"), "buckets")
-    ranks = member.groupBy("id", "f1").agg(F.sum("size").alias("rank"))
-    sets = saved(sets_of(docs, _key(ranks)), "sets")
-    open_ = saved(member.join(ranks.groupBy("id").agg(F.max("rank").alias("rank")), "id").select("bucket", "id", "size", "rank", F.col("id").alias("root")), "open")
+    heads = named.join(reps, (named.doc_id == reps.id) & (named.f1 == reps.f1) & (named.f2 == reps.f2)).select("id", named.f1, "bands")
+    member = once(heads, again, "id", "f1").select("id", "f1", F.explode("bands").alias("bucket"))
+    sizes = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
+    sizes = saved(sizes.select("bucket", "size"), "sizes")
+    member = saved(member.join(sizes, "bucket").select("bucket", "id", "f1", "size").hint("rebalance"), "buckets")
+    ranks = saved(member.groupBy("id", "f1").agg(F.sum("size").alias("rank")), "ranks")
+    sets = saved(sets_of(docs, _key(ranks), again), "sets")
+    open_ = member.join(ranks.groupBy("id").agg(F.max("rank").alias("rank")), "id").select("bucket", "id", "size", "rank", F.col("id").alias("root"))
     best = F.max_by(F.struct("id", "rank"), F.struct("rank", -F.col("id"))).alias("p")
     pairs = open_.join(open_.groupBy("bucket").agg(best), "bucket").where("id <> p.id")
     pairs = pairs.groupBy(F.col("id").alias("y")).agg(F.max_by("p.id", F.struct("p.rank", -F.col("p.id"))).alias("x"))
     pairs = saved(ordered(pairs), "pairs")
     links = saved(linked(pairs, sets), "links")
-    open_, root = split_buckets(open_, components(links))
-    if open_.limit(1).count():
-        nth = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("rank"), "id"))
-        pivots = open_.withColumn("nth", nth).where(F.col("nth") <= PIVOTS).select("bucket", F.col("id").alias("x"), F.col("root").alias("xr"))
-        more = open_.join(pivots, "bucket").where("root <> xr").select("x", F.col("id").alias("y"))
+    open_ = split_buckets(open_, components(links))
+    if not open_.isEmpty():
+        more = open_.join(central(open_, PIVOTS), "bucket").where("root <> xr").select("x", F.col("id").alias("y"))
         more = saved(ordered(more).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         pairs = pairs.unionByName(more)
-        links = saved(links.unionByName(saved(linked(more, sets), "links")), "links")
-        open_, root = split_buckets(open_, components(links))
-    if open_.limit(1).count():
+        links = links.unionByName(saved(linked(more, sets), "links"))
+        open_ = split_buckets(open_, components(links))
+    if not open_.isEmpty():
         few = open_.where(F.col("size") <= SMALL)
         more = few.select("bucket", F.col("id").alias("y"), F.col("root").alias("yr")).join(few.select("bucket", F.col("id").alias("x"), F.col("root").alias("xr")), "bucket")
         more = ordered(more.where("xr < yr").select("x", "y")).distinct().join(pairs, ["a", "b"], "left_anti")
-        found = linked(saved(more, "pairs"), sets)
-        many = saved(open_.where(F.col("size") > SMALL), "crowds")
-        links = saved(links.unionByName(found).unionByName(searched(many, sets)), "links")
+        found = saved(linked(more, sets), "links")
+        links = links.unionByName(found).unionByName(searched(open_.where(F.col("size") > SMALL), sets))
     root = components(same.unionByName(links), "classes")
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(root, F.col("doc_id") == F.col("id"), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
@@ -301,17 +318,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs, as they are, without all but one document of each component; of rows of one doc_id one stays."""
+    """The rows of docs, as they are, without all but one document of each component; of rows of one doc_id one stays.
+
+    Which one of these is decided by a hash of the whole row. Rows without doc_id, and null and blank texts with one, stay.
+    Columns of any name are carried along unread. An empty table stays empty.
+    """
     found = saved(near_duplicates(docs), "found")
-    gone = found.where("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    out = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("__id"), "left_anti")
-    again = found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id")
-    n = again.limit(BROADCAST_IDS + 1).count()
-    if n:  # rows that share an id
-        many = F.broadcast(again) if n <= BROADCAST_IDS else again
-        same = F.col("doc_id") == F.col("__id")
-        first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-        one = out.join(many, same, "left_semi").withColumn("__nth", F.row_number().over(first)).where("__nth = 1").select(*docs.columns)
+    gone = found.where("not kept").select(F.col("doc_id").alias("id")).distinct()
+    again = found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id")
+    few = lambda x: F.broadcast(x) if x.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else x
+    rows = docs.select(F.col("doc_id").alias("key"), F.struct(*docs.columns).alias("row"))
+    out = rows.join(few(gone), F.col("key") == F.col("id"), "left_anti")
+    if not again.isEmpty():
+        many, same = few(again), F.col("key") == F.col("id")
+        one = out.join(many, same, "left_semi").groupBy("key").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
         out = out.join(many, same, "left_anti").unionByName(one)
-    return out
+    return out.select("row.*")

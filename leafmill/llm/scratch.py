@@ -36,15 +36,6 @@ def drop(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def settle(spark: SparkSession) -> None:
-    """Has every executor collect its garbage and give unused heap back, before steps whose Python workers need the room.
-
-    A JVM keeps the heap that earlier steps grew; the collector shrinks it only in a full collection.
-    """
-    n = 2 * spark.sparkContext.defaultParallelism
-    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')").alias("x")).agg(F.count("x")).collect()
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written once as a table in the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession

@@ -87,12 +87,12 @@ class Hasher:
         return mix(h + (end - start).astype(np.uint64) * U(0xA24BAED4963EE407))
 
 
-def range_hashes(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Fingerprints of ranges that follow one another, with the memory of one block."""
+def range_hashes(data: np.ndarray, begin: np.ndarray, size: np.ndarray, table: np.ndarray = TABLE) -> np.ndarray:
+    """Fingerprints of ranges that follow one another, with the memory of one block (or of the longest range)."""
     out, i, ends = np.zeros(len(begin), dtype=np.uint64), 0, begin + size
     while i < len(begin):
         j = max(i + 1, int(np.searchsorted(ends, begin[i] + BLOCK, side="right")))
-        out[i:j] = Hasher(data[begin[i] : ends[j - 1]]).of(begin[i:j] - begin[i], ends[i:j] - begin[i])
+        out[i:j] = Hasher(data[begin[i] : ends[j - 1]], table).of(begin[i:j] - begin[i], ends[i:j] - begin[i])
         i = j
     return out
 
@@ -116,7 +116,8 @@ def words(block: Block, table: np.ndarray = TABLE, gap: np.ndarray = SPACE) -> W
     end = np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
     bounds = np.searchsorted(start, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
-    return Words(doc, start, end, Hasher(data, table).of(start, end), bounds)
+    hashes = Hasher(data, table).of(start, end) if n <= 2 * BLOCK else range_hashes(data, start, end - start, table)
+    return Words(doc, start, end, hashes, bounds)
 
 
 def windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -122,6 +122,15 @@ def test_one_of_each_component_stays(docs, corpus):
     assert set(map(tuple, kept)) <= {tuple(r) for r in corpus}
 
 
+def test_further_columns_of_any_name_stay(spark, docs, corpus):
+    odd = docs.withColumns({c: F.lit(i) for i, c in enumerate(("__id", "id", "key", "row", "__nth", "kept", "__h", "__source", "__shard", "__size", "__block", "nth"))}).withColumn("m", F.create_map(F.lit("a"), F.col("doc_id")))
+    odd = odd.unionByName(odd.where("doc_id = 6"))
+    before = {r.doc_id: r for r in odd.collect()}
+    kept = neardup.without_duplicates(odd).collect()
+    assert all(r == before[r.doc_id] for r in kept) and sum(r.doc_id == 6 for r in kept) <= 1
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(r.doc_id for r in neardup.without_duplicates(docs).collect() if r.doc_id is not None)
+
+
 def test_crowded_buckets_lose_no_link(spark, monkeypatch):
     """A chain of near copies in one bucket, with the small-bucket step taken away, so that the block search does it."""
     monkeypatch.setattr(neardup, "SMALL", 1)
