@@ -1,11 +1,14 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
 Every source is cut into blocks by a hash of its rows. A source's target says how many whole passes over its blocks the
-mix takes, how many blocks of one more pass, and how far into a last block it goes. The resulting block draws are dealt to
-output shards down a binary tree: each node splits its exact counts per source between its halves by a multivariate
-hypergeometric draw. Each shard then gets its own slice of each source's permuted draws, and orders its rows by a hash.
-
-Only (source, block) sums reach the driver: at most BLOCKS rows a source, however many documents there are.
+mix takes and how many blocks of one more pass. What is then left is less than any other block: a few of these are cut into cells by
+further bits of the hash, cells that fit are taken whole, a few of the others are cut again, down to single rows, the last of
+which is the one that comes nearest. The block draws are dealt to output shards down a binary tree: each node splits its
+exact counts per source between its halves by a multivariate hypergeometric draw. Each shard then gets its own slice of each
+source's permuted draws, and orders its rows by a hash.
+
+Texts are counted once; the sizes are kept as a table. Only sums by block and cell reach the driver: about BLOCK_ROWS of blocks, or
+LEAST_BLOCKS a source where there are more sources, and CUT * CELLS of cells a source and level, however many documents there are.
 """
 
 from __future__ import annotations
@@ -14,26 +17,47 @@ import hashlib
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCKS = 256
+from leafmill.llm.scratch import saved
+
+#: Blocks of a source at most and at least, blocks in all, and the rows that a block of a small table should have.
+BLOCKS, LEAST_BLOCKS, BLOCK_ROWS = 256, 4, 1 << 16
 ROWS_PER_BLOCK = 1000
 MAX_REPEATS = 3
 SHARD_WORDS = 4_000_000
-#: Blocks of a source that are taken in part, and rounds in which their rows fill what is left.
-PARTIAL, ROUNDS = 4, 3
+#: Blocks and cells of a source that are cut at each level, the cells of each (a power of two), and levels at most.
+CUT, BITS, LEVELS = 4, 8, 7
+CELLS = 1 << BITS
 #: Control rows up to which the plan is broadcast; a larger one is joined by shuffle on (source, block).
 BROADCAST_ROWS = 200_000
 SEED = 17
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """docs with __size (words; 0 for null), __h (hash of id and text) and __block; small tables get fewer, fuller blocks."""
-    blocks = min(BLOCKS, max(4, docs.count() // ROWS_PER_BLOCK))
+def row_hash() -> Column:
+    return F.xxhash64("doc_id", F.col("text").cast("string"), F.lit(SEED))
+
+
+def sized(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, source, size (words; 0 for null), h (hash of id and text) and block of each row, as a table; and the number of blocks.
+
+    Small tables get fewer, fuller blocks, and so do many sources.
+    """
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    h = F.xxhash64("doc_id", F.col("text").cast("string"), F.lit(SEED))
-    return docs.withColumns({"__size": size, "__h": h}).withColumn("__block", F.pmod("__h", F.lit(blocks)).cast("int"))
+    rows = saved(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), row_hash().alias("h")), "sizes")
+    n = rows.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("source").alias("sources")).first()
+    blocks = min(BLOCKS, max(LEAST_BLOCKS, n["rows"] // ROWS_PER_BLOCK), max(LEAST_BLOCKS, BLOCK_ROWS // max(1, n["sources"])))
+    return rows.withColumn("block", block_of(F.col("h"), blocks)), blocks
+
+
+def block_of(h: Column, blocks: int) -> Column:
+    return F.pmod(h, F.lit(blocks)).cast("int")
+
+
+def cell(h: Column, level: int) -> Column:
+    """A row's cell at a level from 1 on: the leading bits of another hash of its hash, and the level."""
+    return F.shiftleft(F.shiftrightunsigned(F.xxhash64(h, F.lit(SEED)), 64 - BITS * level), 4).bitwiseOR(F.lit(level))
 
 
 def targets(sizes: dict[str | None, int], max_repeats: float = MAX_REPEATS) -> dict[str | None, float]:
@@ -59,7 +83,7 @@ class Draw(NamedTuple):
     block: int
     shard: int
     nth: int  # which pass over the source
-    left: float | None  # words still wanted, for a source's last blocks
+    left: float | None  # words still wanted, for the blocks of a source that are cut
 
 
 def split(counts: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
@@ -96,7 +120,7 @@ def draws(blocks: dict[str | None, dict[int, int]], target: dict[str | None, flo
             else:
                 rest.append(int(b))
         if left >= 0.5:  # less than any block left over: single rows of a few of them
-            got += [(b, whole, left) for b in rest[:PARTIAL]]
+            got += [(b, whole, left) for b in rest[:CUT]]
         lists.append(got)
     rng = np.random.Generator(np.random.PCG64(seed))
     dealt = split(np.array([len(x) for x in lists], dtype=np.int64), shards, rng)
@@ -112,93 +136,99 @@ class Plan(NamedTuple):
     sizes: dict[str | None, int]
     target: dict[str | None, float]
     draws: list[Draw]
-    cuts: dict[str | None, list]  # of a source's last blocks: (greatest hash, greatest size) of the rows of each round; one more hash
+    cells: dict[tuple[str | None, int], list[int]]  # the cells that are taken of a block that is cut
     shards: int
+    blocks: int
 
 
-def plan(rows: DataFrame, shard_words: int = SHARD_WORDS) -> Plan:
-    """The mix of sized() rows, from sums by block and, for each source's last block, sums by hash."""
+def plan(rows: DataFrame, blocks_: int, shard_words: int = SHARD_WORDS) -> Plan:
+    """The mix of sized() rows, from sums by block and, for the blocks that are cut, by cell."""
     blocks: dict[str | None, dict[int, int]] = {}
-    for r in rows.groupBy("source", "__block").agg(F.sum("__size").alias("n")).toArrow().to_pylist():
-        blocks.setdefault(r["source"], {})[r["__block"]] = r["n"]
+    for r in rows.groupBy("source", "block").agg(F.sum("size").alias("n")).toArrow().to_pylist():
+        blocks.setdefault(r["source"], {})[r["block"]] = r["n"]
     sizes = {s: sum(b.values()) for s, b in blocks.items()}
     target = targets(sizes)
     shards = max(1, -(-sum(sizes.values()) // shard_words))
     got = draws(blocks, target, shards)
-    last = [(d.source, d.block, d.left) for d in got if d.left is not None]
-    cuts: dict[str | None, list] = {}
-    if last:
-        part = rows.sparkSession.createDataFrame(last, "s string, b int, left double")
-        on = F.col("source").eqNullSafe(F.col("s")) & (F.col("__block") == F.col("b"))
-        near = rows.select("source", "__block", "__size", "__h").join(F.broadcast(part) if len(last) <= BROADCAST_ROWS else part, on)
-        near = near.groupBy("source", "__h", "left").agg(F.sum("__size").alias("n"), F.max("__size").alias("z")).where("n > 0").withColumn("got", F.lit(False))
-        own = Window.partitionBy("source")
-        found = []
-        for i in range(ROUNDS):  # rows in order of hash that are no larger than what is left, as long as they fit
-            bound = F.when(F.col("left") >= 0, F.col("left"))
-            fits = ~F.col("got") & (F.col("z") <= bound)
-            upto = F.sum(F.when(fits, F.col("n"))).over(own.orderBy("__h"))
-            near = near.withColumns({f"b{i}": bound, "new": fits & (upto <= F.col("left"))})
-            near = near.withColumns({f"c{i}": F.max(F.when(F.col("new"), F.col("__h"))).over(own), "got": F.col("got") | F.col("new"), "left": F.col("left") - F.coalesce(F.sum(F.when(F.col("new"), F.col("n"))).over(own), F.lit(0))})
-            found += [F.first(f"c{i}").alias(f"c{i}"), F.first(f"b{i}").alias(f"b{i}")]
-        nearest = ~F.col("got") & (F.abs(F.col("n") - F.col("left")) < F.col("left"))  # the one further row that comes nearest
-        found.append(F.min_by("__h", F.when(nearest, F.struct(F.abs(F.col("n") - F.col("left")), "__h"))).alias("one"))
-        cuts = {r["source"]: list(r)[1:] for r in near.groupBy("source").agg(*found).collect()}
-    return Plan(sizes, target, got, cuts, shards)
-
-
-CUTS = ", ".join(f"__c{i} long, __b{i} double" for i in range(ROUNDS)) + ", __one long"
-NO_CUT = [None] * (2 * ROUNDS + 1)
-#: Whether a row of a block that is taken in part is taken.
-TAKEN = " or ".join([f"coalesce(__h <= __c{i} and __size <= __b{i}, false)" for i in range(ROUNDS)] + ["coalesce(__h = __one, false)"])
-
-
-def _joined(rows: DataFrame, table: DataFrame, n: int) -> DataFrame:
-    on = F.col("source").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b"))
-    return rows.join(F.broadcast(table) if n <= BROADCAST_ROWS else table, on, "left")
+    return Plan(sizes, target, got, cut(rows, [(d.source, d.block) for d in got if d.left is not None], {d.source: d.left for d in got if d.left is not None}), shards, blocks_)
+
+
+def cut(rows: DataFrame, whole: list[tuple[str | None, int]], left: dict[str | None, float]) -> dict[tuple[str | None, int], list[int]]:
+    """The cells taken of some blocks, so that their words come to what is left of each source."""
+    spark = rows.sparkSession
+    taken: dict[tuple[str | None, int], list[int]] = {}
+    last: dict[str | None, list[tuple[int, int, int]]] = {}  # of each source: cells of one hash, as (words, cell, block)
+    open_ = [(s, b, 0) for s, b in whole]
+    for level in range(1, LEVELS + 1):
+        if not open_:
+            break
+        table = spark.createDataFrame(open_, "s string, b int, c long")
+        on = F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")) & ((cell(F.col("h"), level - 1) if level > 1 else F.lit(0).cast("long")) == F.col("c"))
+        near = rows.join(F.broadcast(table) if len(open_) <= BROADCAST_ROWS else table, on)
+        sums = near.groupBy("source", "block", cell(F.col("h"), level).alias("cell")).agg(F.sum("size").alias("n"), (F.min("h") == F.max("h")).alias("one")).where("n > 0")
+        found: dict[str | None, list[tuple[int, int, int, bool]]] = {}
+        for r in sums.toArrow().to_pylist():
+            found.setdefault(r["source"], []).append((r["cell"], r["block"], r["n"], r["one"]))
+        open_ = []
+        for s, cells in found.items():
+            rest = []
+            for c, b, n, one in sorted(cells):
+                if n <= left[s]:
+                    taken.setdefault((s, b), []).append(c)
+                    left[s] -= n
+                elif one or level == LEVELS:
+                    last.setdefault(s, []).append((n, c, b))
+                else:
+                    rest.append((s, b, c))
+            if left[s] >= 0.5:
+                open_ += rest[:CUT]
+    for s, cells in last.items():  # one more row, if that comes nearer
+        n, c, b = min(cells, key=lambda x: (abs(x[0] - left[s]), x))
+        if abs(n - left[s]) < left[s]:
+            taken.setdefault((s, b), []).append(c)
+    return taken
+
+
+def in_cells(h: Column) -> Column:
+    """Whether a row of a block that is cut is in one of the cells taken."""
+    return F.coalesce(F.arrays_overlap(F.col("__cells"), F.array(*[cell(h, i) for i in range(1, LEVELS + 1)])), F.lit(False))
 
 
 def taken(docs: DataFrame) -> DataFrame:
     """For each row of docs (doc_id, text, source): its size, its source's size and target, and the words the mix takes of it.
 
     A row is taken whole, 0 to 3 times. Null and empty texts have size 0 and are never taken; a null source is a source of
-    its own, last in order. Repeated rows are taken alike. An empty table gives an empty result. Other columns are not read.
+    its own, last in order. Repeated rows (of one id and text) are taken alike. A text of any length is a row like others: of a source
+    whose rows are all longer than what is left, that much is missing, or less if one more row comes nearer. An empty table gives an empty
+    result. Other columns are not read.
     """
-    rows = sized(docs.select("doc_id", F.col("source").cast("string").alias("source"), "text")).drop("text")
-    p = plan(rows)
-    table: dict[tuple, list] = {}
-    for s, b, _, _, left in p.draws:
-        x = table.setdefault((s, b), [0, *NO_CUT])
-        if left is None:
-            x[0] += 1
-        elif s in p.cuts:
-            x[1:] = p.cuts[s]
-    spark = docs.sparkSession
-    control = spark.createDataFrame([(*k, *x) for k, x in table.items()], f"__s string, __b int, __n int, {CUTS}")
-    known = spark.createDataFrame([(s, n, p.target[s]) for s, n in p.sizes.items()], "__src string, source_size long, target double")
-    copies = F.coalesce("__n", F.lit(0)) + F.expr(TAKEN).cast("int")
-    return (
-        _joined(rows, control, len(table))
-        .join(F.broadcast(known) if len(p.sizes) <= BROADCAST_ROWS else known, F.col("source").eqNullSafe(F.col("__src")))
-        .select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * copies).cast("long").alias("taken"))
-    )
+    rows, blocks = sized(docs)
+    p = plan(rows, blocks)
+    counts: dict[tuple[str | None, int], int] = {}
+    for d in p.draws:
+        counts[d.source, d.block] = counts.get((d.source, d.block), 0) + (d.left is None)
+    control = [(s, b, counts.get((s, b), 0), p.cells.get((s, b)), p.sizes[s], p.target[s]) for s in p.sizes for b in range(p.blocks)]
+    table = docs.sparkSession.createDataFrame(control, "__s string, __b int, __n int, __cells array<long>, source_size long, target double")
+    on = F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b"))
+    met = rows.join(F.broadcast(table) if len(control) <= BROADCAST_ROWS else table, on)
+    copies = F.col("__n") + in_cells(F.col("h")).cast("int")
+    return met.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself: docs' columns, one row for each time that a row is taken, dealt to shards and ordered by hash in each.
+    """The mix itself: docs' columns, one row for each time that a row is taken, a shard to a partition, ordered by hash in each.
 
-    Adds __shard (long) and __order (long); rows of size 0 are left out.
+    Adds __shard (long) and __order (long) behind docs' columns, which are carried along unread, whatever their names; one that has
+    either name itself takes its place. Rows without a word are left out; else see taken().
     """
-    rows = sized(docs).withColumn("__source", F.col("source").cast("string"))
-    p = plan(rows.select(F.col("__source").alias("source"), "__block", "__size", "__h"))
-    table = [(s, b, shard, nth, left is not None, *(p.cuts.get(s, NO_CUT) if left is not None else NO_CUT)) for s, b, shard, nth, left in p.draws]
-    control = docs.sparkSession.createDataFrame(table, f"__s string, __b int, __shard long, __nth int, __part boolean, {CUTS}")
-    on = F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b"))
-    return (
-        rows.join(F.broadcast(control) if len(table) <= BROADCAST_ROWS else control, on)
-        .where(f"__size > 0 and (not __part or {TAKEN})")
-        .withColumn("__order", F.xxhash64("__h", "__nth", F.lit(SEED)))
-        .repartition(p.shards, "__shard")
-        .sortWithinPartitions("__shard", "__order")
-        .select(*docs.columns, "__shard", "__order")
-    )
+    rows, blocks = sized(docs)
+    p = plan(rows, blocks)
+    draws_ = [(s, b, shard, nth, None if left is None else p.cells.get((s, b), [])) for s, b, shard, nth, left in p.draws]
+    control = docs.sparkSession.createDataFrame(draws_, "__s string, __b int, __shard long, __nth int, __cells array<long>")
+    some = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    own = docs.where(some).select(F.col("source").cast("string").alias("__source"), row_hash().alias("__h"), F.struct(*docs.columns).alias("__row"))
+    on = F.col("__source").eqNullSafe(F.col("__s")) & (block_of(F.col("__h"), p.blocks) == F.col("__b"))
+    met = own.join(F.broadcast(control) if len(draws_) <= BROADCAST_ROWS else control, on).where(F.col("__cells").isNull() | in_cells(F.col("__h")))
+    dealt = met.withColumn("__order", F.xxhash64("__h", "__nth", F.lit(SEED))).repartitionById(p.shards, F.col("__shard").cast("int")).sortWithinPartitions("__shard", "__order")
+    extra = [c for c in ("__shard", "__order") if c not in docs.columns]
+    return dealt.select("__row.*", *extra)

@@ -307,6 +307,67 @@ def test_mix(spark, docs, corpus, empty):
     assert words == {s: t for s, t in total.items() if t}
 
 
+def brute_mix(rows, shard_words):
+    """What is taken of each (id, text, source), by the plan's own rules over plain lists: the same draws and cells."""
+    hashed = {(r.doc_id, r.text): (r.h, r.cells) for r in rows}
+    blocks = min(mixing.BLOCKS, max(mixing.LEAST_BLOCKS, len(rows) // mixing.ROWS_PER_BLOCK))
+    sums, size = {}, {}
+    for r in rows:
+        n = len(WORD.findall(r.text or ""))
+        size[r.doc_id, r.text] = n
+        own = sums.setdefault(r.source, {})
+        own[r.h % blocks] = own.get(r.h % blocks, 0) + n
+    target = brute_targets({s: sum(b.values()) for s, b in sums.items()})
+    drawn = mixing.draws(sums, target, max(1, -(-sum(size[r.doc_id, r.text] for r in rows) // shard_words)))
+    out = []
+    for s in sums:
+        whole = {}
+        for d in drawn:
+            if d.source == s and d.left is None:
+                whole[d.block] = whole.get(d.block, 0) + 1
+        part = [d.block for d in drawn if d.source == s and d.left is not None]
+        left = next((d.left for d in drawn if d.source == s and d.left is not None), 0.0)
+        mine = [r for r in rows if r.source == s]
+        picked, open_, lone = set(), [(b, 0) for b in part], []
+        for level in range(mixing.LEVELS):
+            cells = {}
+            for r in mine:
+                if (r.h % blocks, r.cells[level - 1] if level else 0) in open_:
+                    cells.setdefault((r.cells[level], r.h % blocks), []).append(r)
+            rest = []
+            for (c, b), inside in sorted(cells.items()):
+                n = sum(size[r.doc_id, r.text] for r in inside)
+                if not n:
+                    continue
+                if n <= left:
+                    picked |= {(r.doc_id, r.text) for r in inside}
+                    left -= n
+                elif len({r.h for r in inside}) == 1:
+                    lone.append((n, c, b, inside))
+                else:
+                    rest.append((b, c))
+            open_ = rest[: mixing.CUT] if left >= 0.5 else []
+        if lone:
+            n, _, _, inside = min(lone, key=lambda x: (abs(x[0] - left), x[:3]))
+            if abs(n - left) < left:
+                picked |= {(r.doc_id, r.text) for r in inside}
+        out += [(r.doc_id, size[r.doc_id, r.text] * (whole.get(r.h % blocks, 0) + ((r.doc_id, r.text) in picked))) for r in mine]
+    return out
+
+
+def test_draw_against_brute_force(spark, docs, monkeypatch):
+    more = docs.unionByName(docs.withColumns({"doc_id": F.col("doc_id") + 1000, "text": F.concat("text", F.lit(" more"))}))
+    for bits in (8, 2):  # few cells: more levels
+        monkeypatch.setattr(mixing, "BITS", bits)
+        rows = more.select("doc_id", "text", "source", mixing.row_hash().alias("h"), F.array(*[mixing.cell(mixing.row_hash(), i) for i in range(1, mixing.LEVELS + 1)]).alias("cells")).collect()
+        got = sorted(((r.doc_id, r.taken) for r in mixing.taken(more).collect()), key=str)
+        assert got == sorted(brute_mix(rows, mixing.SHARD_WORDS), key=str)
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 500)
+    monkeypatch.setattr(mixing.plan, "__defaults__", (500,))
+    parts = mixing.mixed(more).withColumn("part", F.spark_partition_id()).groupBy("__shard").agg(F.min("part").alias("a"), F.max("part").alias("b")).collect()
+    assert len(parts) > 10 and all(r.a == r.b == r["__shard"] for r in parts)
+
+
 def test_small_source_takes_three_times_its_size():
     t = mixing.targets({"a": 10, "b": 1000, "c": 10, None: 500})
     assert t == brute_targets({"a": 10, "b": 1000, "c": 10, None: 500}) and t["c"] == 30

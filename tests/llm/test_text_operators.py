@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from leafmill.llm import chatformat, decontamination, neardup, quality_rules, repeats, superminhash, textscan, tokenstore
+from leafmill.llm import chatformat, decontamination, mixing, neardup, quality_rules, repeats, superminhash, textscan, tokenstore
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -129,6 +129,8 @@ def test_further_columns_of_any_name_stay(spark, docs, corpus):
     kept = neardup.without_duplicates(odd).collect()
     assert all(r == before[r.doc_id] for r in kept) and sum(r.doc_id == 6 for r in kept) <= 1
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(r.doc_id for r in neardup.without_duplicates(docs).collect() if r.doc_id is not None)
+    mix = mixing.mixed(odd)
+    assert mix.columns == [*odd.columns, "__order"] and all(tuple(r)[:-1] == tuple(before[r.doc_id]) for r in mix.collect())
 
 
 def test_crowded_buckets_lose_no_link(spark, monkeypatch):
