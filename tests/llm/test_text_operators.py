@@ -272,6 +272,61 @@ def test_tiles_against_brute_force(seed):
     assert sum(t[0] for t in got) == sum(t[0] for t in brute_tiles(a, b, k))
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_searched_tiles_against_brute_force(seed):
+    rng = random.Random(seed)
+    a, b = [rng.choice("abc"[: 2 + seed % 2]) for _ in range(50)], [rng.choice("abc"[: 2 + seed % 2]) for _ in range(25)]
+    code = lambda x: np.array([ord(c) for c in x], dtype=np.uint64)
+    assert decontamination.searched(code(a), code(b), 4) == brute_tiles(a, b, 4)
+    assert decontamination.searched(code(a), code([]), 4) == [] == decontamination.searched(code("xyz"), code("xyz"), 4)
+
+
+def brute_scan(texts, items, k=4):
+    out = {}
+    for d, t in enumerate(texts):
+        a = re.sub(r"[!-/:-@\[-`{-~]", " ", (t or "").lower()).split()
+        for i, u in items:
+            b = re.sub(r"[!-/:-@\[-`{-~]", " ", (u or "").lower()).split()
+            if not b:
+                continue
+            if len(b) < k:
+                got = [(len(b), 0, 0)] if (a == b or (len(b) > 1 and any(a[j : j + len(b)] == b for j in range(len(a))))) else []
+            else:
+                got = brute_tiles(a, b, k)
+            n = sum(x[0] for x in got)
+            if got:
+                old = out.get(d)
+                better = old is None or (n / len(b), n, -i) > (old[4], old[3], -old[1])
+                out[d] = ((old[0] if old else 0) + 1, *((i, len(got), n, n / len(b)) if better else old[1:]))
+    return out
+
+
+@pytest.mark.parametrize("most", [1 << 20, 40, 1])
+def test_whole_documents_against_brute_force(monkeypatch, most):
+    """Short items, periodic texts, several items a document; and the same with next to no room for matches."""
+    monkeypatch.setattr(decontamination, "MATCHES", most)
+    rng = random.Random(4)
+    words = ["ab", "cd", "ef", "gh"]
+    texts = [None, "", "what is pi", "so what is Pi, really", "the", "the the", "ab " * 30] + [" ".join(rng.choices(words, k=rng.randint(0, 30))) for _ in range(25)]
+    items = [(5, "What is pi?"), (6, "the"), (7, ""), (8, None), (9, "ab " * 12), (3, "cd ef")] + [(20 + i, " ".join(rng.choices(words, k=rng.randint(4, 12)))) for i in range(8)]
+    x = decontamination.index(np.array([i for i, _ in items]), pa.array([t for _, t in items]))
+    got = {}
+    for b in textscan.blocks(pa.array(texts), 200):
+        got |= {b.first + d: r for d, r in decontamination.scan(b, x).items()}
+    assert got == brute_scan(texts, items)
+    assert got[2][1] == 5 == got[3][1] and got[4][1] == 6 and 5 not in got
+
+
+def test_rows_of_one_id_in_slices(spark, monkeypatch):
+    item = "alpha beta gamma delta epsilon zeta"
+    df = spark.createDataFrame([(1, f"x {item} y"), (1, "harmless words here"), (1, "harmless words here"), (None, item), (2, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, item if i == 1 else f"other words of item number {i} here") for i in range(4)], "item_id long, text string")
+    one = sorted(map(tuple, decontamination.decontaminate(df, bench).collect()), key=key)
+    monkeypatch.setattr(decontamination.slices, "__defaults__", (50,))
+    assert len(list(decontamination.slices(bench))) > 1
+    assert sorted(map(tuple, decontamination.decontaminate(df, bench).collect()), key=key) == one
+
+
 def test_benchmark_in_slices(spark, docs, corpus, monkeypatch):
     bench = spark.createDataFrame([(i, corpus[i * 3][1]) for i in range(12)], "item_id long, text string")
     whole = sorted(map(tuple, decontamination.decontaminate(docs, bench).select("doc_id", "n_items", "covered", "kept").distinct().collect()), key=key)
