@@ -22,8 +22,8 @@ from leafmill.llm.langid import fold
 
 #: Labelled rows learned from: at most so many, the first by a hash of their id.
 SAMPLE = 20_000
-#: Entries of the lexicon at most; one must be in this share of the sample's label-1 documents, and in MIN_DOCS of them.
-LEXICON, MIN_SHARE, MIN_DOCS = 2000, 0.004, 5
+#: An entry of the lexicon must be in this share of the sample's label-1 documents, and in MIN_DOCS of them; the sample bounds their number.
+MIN_SHARE, MIN_DOCS = 0.004, 5
 #: Least log odds ratio, less two standard errors.
 MIN_ODDS = 2.0
 WORD = np.uint64(1 << 63)
@@ -366,7 +366,7 @@ def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray) -> Lexicon:
     odds = F.log((F.col("n1") + 0.5) / (n1 - F.col("n1") + 0.5)) - F.log((F.col("n0") + 0.5) / (n0 - F.col("n0") + 0.5))
     error = F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
     best = found.where(F.col("n1") >= least).where((F.col("n1") <= n1) & (F.col("n0") <= n0)).select("gram", odds.alias("w"), (odds - 2 * error).alias("low")).where(F.col("low") > MIN_ODDS)
-    got = sorted(best.orderBy(F.desc("low"), "gram").limit(LEXICON).collect(), key=lambda r: r["gram"] % 2**64)
+    got = sorted(best.select("gram", "w").collect(), key=lambda r: r["gram"] % 2**64)
     lex = Lexicon(np.array([r["gram"] for r in got], dtype=np.int64).view(np.uint64), np.array([r["w"] for r in got], dtype=float), 0.0, 1.0)
     table = sums(rows.select("doc_id", "text", "y"), lex, model, ["y"], "y int, x double").groupBy("y", F.round("x", 2).alias("x")).count().toArrow()
     x, y, n = (np.array(table[c].to_pylist(), dtype=float) for c in ("x", "y", "count"))
@@ -416,8 +416,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text): held_out, score (0 to 1) and predicted (score of at least 0.3).
 
     Labels (doc_id, toxic) are learned from only where crc32(doc_id) modulo 4 is not 2. A null or empty text has no word
-    and gets the score of none; a null doc_id counts as the empty text in crc32 and is never learned from; several labels
-    of an id count as 1 if one is. Without labels every score is the same low one. Other columns are not read.
+    and gets the score of none; texts of any length are read whole. A null doc_id counts as the empty text in crc32 and is never
+    learned from; several labels of an id count as 1 if one is; repeated rows each get a row and score alike. Without labels every
+    score is the same low one; an empty table gives an empty result. Other columns are not read.
     """
     model = character_model(docs)
     lex = learn(docs, labels, model)

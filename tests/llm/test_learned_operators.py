@@ -243,19 +243,75 @@ def test_toxic_documents(spark, empty):
     assert {r.predicted for r in toxicity.toxicity(df, lab.limit(0)).collect()} == {0}
 
 
+def brute_rates(rows, p):
+    """host_rate and path_rate of each row (host, path) from probabilities, by plain sums without the row itself."""
+    def strength(groups, parent):
+        k = [(len(v), sum(v), parent[g]) for g, v in groups.items() if len(v) > 1]
+        between, within = sum(n * (s / n - q) ** 2 for n, s, q in k), sum(q * (1 - q) for _, _, q in k)
+        mass = sum(n * q * (1 - q) for n, _, q in k)
+        if not k or not mass:
+            return site_quality.STRENGTH[1]
+        excess = (between - within) / max(mass - within, 1e-12)
+        return float(np.clip(1 / excess - 1, *site_quality.STRENGTH)) if excess > 0 else site_quality.STRENGTH[1]
+
+    hosts, paths = {}, {}
+    for (h, q), x in zip(rows, p, strict=True):
+        hosts.setdefault(h, []).append(x)
+        paths.setdefault((h, q), []).append(x)
+    world = sum(p) / len(p)
+    m = strength(hosts, dict.fromkeys(hosts, world))
+    whole = {h: (sum(v) + m * world) / (len(v) + m) for h, v in hosts.items()}
+    m2 = strength(paths, {g: whole[g[0]] for g in paths})
+    out = []
+    for (h, q), x in zip(rows, p, strict=True):
+        host = (sum(hosts[h]) - x + m * world) / (len(hosts[h]) - 1 + m)
+        out.append((host, (sum(paths[h, q]) - x + m2 * host) / (len(paths[h, q]) - 1 + m2)))
+    return out
+
+
 def test_site_rates_are_shrunk(spark, docs, corpus, empty):
     labels = spark.createDataFrame([(i, int(i % 25 != 9)) for i in range(120)] + [(None, 0)], "doc_id long, quality int")
     host, path = F.col("source"), F.concat_ws("/", "source", "lang")
     got = site_quality.site_quality(clashing(docs), labels, host, path).collect()
     assert len(got) == len(corpus)
     assert all(r.kept == (r.score >= 0.5) for r in got)
-    assert all(not r.kept for r in got if r.doc_id is not None and r.doc_id % 25 == 9 and r.doc_id < 120)
-    assert np.mean([r.kept for r in got if r.doc_id is not None and r.doc_id < 120 and r.doc_id % 25 != 9]) > 0.95
     assert site_quality.site_quality(empty, labels, host, path).count() == 0
     flat = site_quality.site_quality(docs, labels.where("quality = 1"), host, path).collect()
     assert {(r.score, r.kept) for r in flat} == {(0.5, True)}
 
 
+def test_site_quality_of_held_out_rows(spark):
+    """Sites differ in their share of bad texts, which use words of their own; some texts say little."""
+    rng = random.Random(8)
+    words = {k: ["".join(rng.choices(a, k=rng.randint(3, 8))) for _ in range(150)] for k, a in (("good", "abcdefghi"), ("bad", "ghijklmno"))}
+    both = words["good"] + words["bad"]
+    rows, truth = [], {}
+    for i in range(1500):
+        h, q = f"h{i % 5}", f"h{i % 5}/{i % 3}"
+        y = int(rng.random() < (0.9 if i % 5 else 0.2))
+        truth[i] = y
+        own = words["good" if y else "bad"]
+        rows.append((i, " ".join([*rng.choices(both, k=10), *rng.choices(own, k=rng.choice([0, 4, 10]))]), h, q))
+    df = spark.createDataFrame(rows, "doc_id long, text string, h string, q string")
+    labels = spark.createDataFrame([(i, y) for i, y in truth.items() if i % 2], "doc_id long, quality int")
+    got = site_quality.site_quality(df, labels, F.col("h"), F.col("q")).collect()
+    held = [r for r in got if r.held_out]
+    auc = lambda f: np.mean([(f(a) > f(b)) + 0.5 * (f(a) == f(b)) for a in held for b in held if truth[a.doc_id] > truth[b.doc_id]])
+    assert len(held) > 200 and auc(lambda r: r.score) > 0.8 and auc(lambda r: r.score) > auc(lambda r: r.evidence) + 0.02
+    prior = np.log(np.mean([truth[i] for i in truth if i % 2 and site_fold(i) in (3, 4)]) / np.mean([1 - truth[i] for i in truth if i % 2 and site_fold(i) in (3, 4)]))
+    site = {r[0]: r[2:] for r in rows}
+    rates = brute_rates([site[r.doc_id] for r in got], [1 / (1 + np.exp(-(r.evidence + prior))) for r in got])
+    for r, (h, q) in zip(got, rates, strict=True):
+        assert r.host_rate == pytest.approx(h) and r.path_rate == pytest.approx(q)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(r.evidence + np.log(q / (1 - q))))))
+
+
+def site_fold(i):
+    import zlib
+
+    return zlib.crc32(str(i).encode()) % 5
+
+
 def test_strength_by_moments(spark):
     rng = np.random.default_rng(5)
     m = 20.0
