@@ -168,7 +168,7 @@ def contexts(docs: DataFrame, words: np.ndarray, ranges: int) -> DataFrame:
 
         def step(keys, texts):
             ids = keys[0].fill_null(0).to_numpy(zero_copy_only=False)
-            marks = (keys[1].to_numpy(zero_copy_only=False).astype(np.int64) & 0x7FFF) << 44
+            marks = keys[1].to_numpy(zero_copy_only=False).astype(np.int64)
             for b in ts.blocks(texts):
                 start, m = anchors(b)
                 if not len(start):
@@ -190,7 +190,7 @@ def contexts(docs: DataFrame, words: np.ndarray, ranges: int) -> DataFrame:
                 one = order[first]
                 n = size[one]
                 text = b.data[np.repeat(at[one] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                out.append((text, n, h[one], number, ids[b.first + doc], (at - b.offsets[doc]) | marks[b.first + doc]))
+                out.append((text, n, h[one], number, b.first + doc, at - b.offsets[doc], ids, marks))
                 if len(out) == PACKED:
                     yield from done()
 
@@ -199,7 +199,11 @@ def contexts(docs: DataFrame, words: np.ndarray, ranges: int) -> DataFrame:
                 return
             base = np.cumsum([0, *(len(x[1]) for x in out)])
             number = np.concatenate([x[3] + n for x, n in zip(out, base[:-1], strict=True)])
-            text, size, h, doc, place = (np.concatenate([x[i] for x in out]) for i in (0, 1, 2, 4, 5))
+            text, size, h, place = (np.concatenate([x[i] for x in out]) for i in (0, 1, 2, 5))
+            tables = list({id(x[6]): (x[6], x[7]) for x in out}.values())  # rows' ids and marks, batch by batch
+            at = dict(zip((id(x) for x, _ in tables), np.cumsum([0, *(len(x) for x, _ in tables)]).tolist(), strict=False))
+            row = np.concatenate([x[4] + at[id(x[6])] for x in out])
+            ids, marks = (np.concatenate(x) for x in zip(*tables, strict=True))
             out.clear()
             part = (h >> np.uint64(64 - bits)).astype(np.int64)
             order, bounds = cut_by(part, ranges)
@@ -216,7 +220,8 @@ def contexts(docs: DataFrame, words: np.ndarray, ranges: int) -> DataFrame:
                 n = size[own]
                 flat = text[np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
                 u = use[cuts[p] : cuts[p + 1]]
-                blobs.append(pack(flat, n.astype(np.uint8), h[own], (owner[cuts[p] : cuts[p + 1]] - bounds[p]).astype(np.int32), doc[u], place[u]))
+                rows, nth = np.unique(row[u], return_inverse=True)
+                blobs.append(pack(flat, n.astype(np.uint8), h[own], (owner[cuts[p] : cuts[p + 1]] - bounds[p]).astype(np.int32), ids[rows], marks[rows], nth.astype(np.int32), place[u]))
             yield [parts.astype(np.int32), blobs]
 
         step.done = done
@@ -336,11 +341,12 @@ def union(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
     return key[at], start[at], np.maximum.reduceat(end, at)
 
 
-def marks_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, place, end) of the marks of one hash range."""
+def marks_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, its text's mark, place, length) of the marks of one hash range."""
     got = [unpack(x) for x in table["packed"].to_pylist()]
     base = np.cumsum([0, *(len(g[1]) for g in got)])
-    flat, size, h, doc, place = (np.concatenate([g[i] for g in got]) for i in (0, 1, 2, 4, 5))
+    flat, size, h, place = (np.concatenate([g[i] for g in got]) for i in (0, 1, 2, 7))
+    doc, text = (np.concatenate([g[i][g[6]] for g in got]) for i in (4, 5))
     number = np.concatenate([g[3] + n for g, n in zip(got, base[:-1], strict=True)])
     del got
     size = size.astype(np.int64)
@@ -354,7 +360,7 @@ def marks_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size, begin, h = size[one], begin[one], h[one]
     number = rank[number]
     use = np.argsort(number, kind="stable")
-    number, doc, place = number[use], doc[use], place[use]
+    number, doc, text, place = number[use], doc[use], text[use], place[use]
     first = np.searchsorted(number, np.arange(len(one) + 1))
     low, high = np.minimum.reduceat(doc, first[:-1]), np.maximum.reduceat(doc, first[:-1])
     upto = np.concatenate(([0], np.cumsum(size - LENGTH + 1)))
@@ -374,7 +380,7 @@ def marks_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         o, rel, length = o[ok], np.repeat(rel, m)[ok], np.repeat(length, m)[ok]
         order = np.lexsort((rel, o))
         k0, s0, e0 = union(o[order], rel[order], (rel + length)[order])
-        out.append([doc[k0], place[k0] + s0, e0 - s0])
+        out.append([doc[k0], text[k0], place[k0] + s0, e0 - s0])
         i = j
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
@@ -384,17 +390,16 @@ def marked(packed: DataFrame, ranges: int) -> DataFrame:
     ddl = "part int, packed binary"
 
     def mark(table: pa.Table) -> pa.Table:
-        doc, place, size = marks_of(table)
+        doc, text, place, size = marks_of(table)
         trim()
         part = (ts.mix(doc.astype(np.uint64)) % np.uint64(ranges)).astype(np.int64)
         order, bounds = cut_by(part, ranges)
         parts = np.flatnonzero(np.diff(bounds))
-        blobs = [pack(doc[o], place[o], size[o].astype(np.uint8)) for p in parts.tolist() for o in [order[bounds[p] : bounds[p + 1]]]]
+        blobs = [pack(doc[o], text[o], place[o], size[o].astype(np.uint8)) for p in parts.tolist() for o in [order[bounds[p] : bounds[p + 1]]]]
         return pa.table({"part": pa.array(parts.astype(np.int32)), "packed": pa.array(blobs, pa.binary())})
 
     def merge(table: pa.Table) -> pa.Table:
-        doc, place, size = (np.concatenate(x) for x in zip(*[unpack(x) for x in table["packed"].to_pylist()], strict=True))
-        text, start = place >> 44, place & ((1 << 44) - 1)
+        doc, text, start, size = (np.concatenate(x) for x in zip(*[unpack(x) for x in table["packed"].to_pylist()], strict=True))
         order = np.lexsort((text, doc))
         doc, text, start, size = doc[order], text[order], start[order], size[order].astype(np.int64)
         key = np.cumsum(changes(doc) | changes(text)) - 1
@@ -408,7 +413,7 @@ def marked(packed: DataFrame, ranges: int) -> DataFrame:
 
 
 def _key(doc: np.ndarray, mark: np.ndarray) -> np.ndarray:
-    return ts.mix(doc.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ mark.astype(np.uint64))
+    return ts.mix(doc.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ mark.astype(np.int64).view(np.uint64))
 
 
 def _result(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, int, str]:
@@ -427,12 +432,13 @@ def _result(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int,
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text): bytes, bytes removed, removed runs, and the digest of what is left.
 
-    A null text counts as empty; a text under LENGTH bytes loses nothing. Rows of one doc_id never take from each other, each
-    is judged by its own text. A row without doc_id takes nothing and loses nothing. An empty table gives an empty result.
-    Other columns are not read.
+    A null text counts as empty; a text under LENGTH bytes loses nothing; one of any length is read whole. Rows of one doc_id never take
+    from each other, each is judged by its own text (rows are told apart by id and a 64-bit hash of the text), so that repeated rows
+    fare alike. Of equal passages the one in the smallest doc_id stays. A row without doc_id takes nothing and loses nothing. An empty table
+    gives an empty result. Other columns are not read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64(text), F.lit(1 << 15)).alias("__mark"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("__mark"))
     known = docs.where("doc_id is not null")
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = RANGES[0]

@@ -67,6 +67,15 @@ def test_repeats_over_random_joins(spark):
     assert sorted(map(tuple, repeats.remove_repeats(df).collect())) == brute_repeats(rows)
 
 
+def test_many_texts_of_one_id(spark):
+    """Rows of one id with different texts, enough of them for a short hash of the text to fall together."""
+    rng = random.Random(5)
+    passage = "".join(rng.choices("abcdef", k=70))
+    rows = [(1, passage)] + [(2, "".join(rng.choices("xyz", k=rng.randint(0, 30))) + (passage if i % 2 else "") + str(i)) for i in range(600)]
+    got = sorted(map(tuple, repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()))
+    assert got == brute_repeats(rows)
+
+
 def test_intervals_are_the_maximal_repeats():
     text = "banana$bandana$ananas$"
     n = len(text)
