@@ -20,8 +20,8 @@ def arrow_schema(ddl: str | StructType) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl) if isinstance(ddl, str) else ddl)
 
 
-#: Rows in an Arrow batch, where the session still has Spark's default of 10000: whole texts make that too much memory.
-BATCH_ROWS = 500
+#: Bytes in an Arrow batch, where the session still has Spark's default of 64 MiB: a worker holds several batches' worth.
+BATCH_BYTES, DEFAULT_BYTES = 4 << 20, 64 << 20
 
 
 def trim() -> None:
@@ -34,9 +34,13 @@ def trim() -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, and bounds Arrow batches."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Gives the executors this package, and bounds Arrow batches by bytes.
+
+    The bound is a setting of the session and stays, as results are computed when they are read: spark.sql.execution.arrow.
+    maxBytesPerBatch becomes BATCH_BYTES, unless the session has a value of its own. A longer row is a batch by itself.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in (str(DEFAULT_BYTES), f"{DEFAULT_BYTES}b"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     cluster.ship(spark)
 
 
