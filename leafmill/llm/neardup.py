@@ -108,7 +108,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, again: DataFrame) -> DataFrame:
         return step
 
     got = map_text(docs, ["doc_id"], make, "sid long, sf long, items array<long>")
-    return once(got.join(wanted.select("id", "f1"), (F.col("sid") == F.col("id")) & (F.col("sf") == F.col("f1")), "left_semi"), again, "sid", "sf")
+    got = got.join(wanted.select("id", "f1"), (F.col("sid") == F.col("id")) & (F.col("sf") == F.col("f1")), "left_semi")
+    return got if again.isEmpty() else once(saved(got, "sets"), again, "sid", "sf")
 
 
 def _key(ids: DataFrame) -> DataFrame:
