@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from leafmill.llm import textscan as ts
 from leafmill.llm.arrowmap import map_text
+from leafmill.llm.scratch import saved
 
 #: Hashed n-gram classes; also the bound on what the driver holds of the counts.
 BUCKETS = 1 << 16
-#: Trusted documents: at most so many labelled ones, the first by a hash of their id.
-TRUSTED = 20_000
+#: Trusted ids up to which their list is broadcast (8 bytes each); a longer one is joined by shuffle.
+BROADCAST_IDS = 1_000_000
 #: Documents with a mean log ratio below this are dropped.
 MIN_LLR = -0.15
 SMOOTH = 0.5
@@ -73,22 +74,26 @@ def base_counts(b: ts.Block, w: ts.Words) -> list[np.ndarray]:
     ]
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> np.ndarray:
+def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(trusted, text) of each row of docs: trusted is whether all labels of its doc_id that have a quality say 1."""
     one = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
-    ids = one.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toArrow()["doc_id"].to_numpy()
-    return np.sort(ids.astype(np.int64))
+    ids = saved(one.select(F.col("doc_id").alias("id"), F.lit(True).alias("trusted")), "trusted")
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    rows = docs.select(F.col("doc_id").alias("key"), "text")
+    known = rows.where("key is not null").join(ids, F.col("key") == F.col("id"), "left").select(F.coalesce("trusted", F.lit(False)).alias("trusted"), "text")
+    return known.unionByName(rows.where("key is null").select(F.lit(False).alias("trusted"), "text"))  # which meet no label
 
 
-def ngram_counts(docs: DataFrame, trusted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of every class over trusted documents and over all documents (BUCKETS rows reach the driver)."""
+def ngram_counts(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of every class over all trusted documents and over all documents (BUCKETS rows reach the driver)."""
 
     def make():
         raw = np.zeros(BUCKETS, dtype=np.int64)
         target = np.zeros(BUCKETS, dtype=np.int64)
 
         def step(keys, texts):
-            ids = keys[0].fill_null(-1).to_numpy(zero_copy_only=False)
-            good = np.isin(ids, trusted) & keys[0].is_valid().to_numpy(zero_copy_only=False)
+            good = keys[0].to_numpy(zero_copy_only=False)
             for b in ts.blocks(texts):
                 doc, c = ngrams(ts.words(b))
                 np.add(raw, np.bincount(c, minlength=BUCKETS), out=raw)
@@ -102,7 +107,7 @@ def ngram_counts(docs: DataFrame, trusted: np.ndarray) -> tuple[np.ndarray, np.n
         step.done = done
         return step
 
-    got = map_text(docs, ["doc_id"], make, "c int, target long, raw long").groupBy("c").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toArrow()
+    got = map_text(marked(docs, labels), ["trusted"], make, "c int, target long, raw long").groupBy("c").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toArrow()
     target, raw = np.zeros(BUCKETS), np.zeros(BUCKETS)
     target[got["c"].to_numpy()], raw[got["c"].to_numpy()] = got["target"].to_numpy(), got["raw"].to_numpy()
     return target, raw
@@ -122,7 +127,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, min_llr: float = MIN_LLR)
     A null or empty text has no words, so it fails the base rules; its log ratio is 0. Repeated rows each get a row; a
     null doc_id is kept as null and never trusted. Without labels the log ratio is 0 everywhere. Other columns are not read.
     """
-    ratio = log_ratio(*ngram_counts(docs, trusted_ids(labels)))
+    ratio = log_ratio(*ngram_counts(docs, labels))
 
     def make():
         def step(keys, texts):

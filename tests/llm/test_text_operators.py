@@ -198,7 +198,9 @@ def brute_counts(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), again, len(inside)
 
 
-def test_quality_counts_and_ratio(spark, docs, corpus, empty):
+@pytest.mark.parametrize("broadcast", [quality_rules.BROADCAST_IDS, 3])
+def test_quality_counts_and_ratio(spark, docs, corpus, empty, broadcast, monkeypatch):
+    monkeypatch.setattr(quality_rules, "BROADCAST_IDS", broadcast)  # beyond it labels are joined by shuffle
     labels = spark.createDataFrame([(i, int(i % 25 != 9), 0) for i in range(0, 120, 2)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
     got = sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality_rules.quality_rules(clashing(docs), labels).collect()), key=key)
     want = []
