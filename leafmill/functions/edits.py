@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.cluster import ship
+from leafmill.scratch import in_bloom
 
 # Cost of an insertion, deletion, substitution or swap of neighbours, and of a confusable substitution.
 EDIT, CONFUSABLE = 10, 4
@@ -137,16 +138,21 @@ def deletion_keys(words: list[str], edits: np.ndarray, salt: np.ndarray) -> tupl
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def keyed(words: DataFrame) -> DataFrame:
-    """id, key, own: the deletion keys of words (id long, salt long, word, edits int)."""
+def keyed(words: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+    """id, key, own: the deletion keys of words (id long, salt long, word, edits int); with wanted, those that may be in that Bloom filter."""
     ship(words.sparkSession)
+    shared = None if wanted is None else words.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filt = None if shared is None else shared.value
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
                 b = batch.slice(i, 2000)
                 ids, salt = (b.column(c).to_numpy() for c in (0, 1))
                 at, key, own = deletion_keys(b.column(2).to_pylist(), b.column(3).to_numpy(), salt.view(np.uint64))
+                if filt is not None:
+                    hit = in_bloom(filt, key)
+                    at, key, own = at[hit], key[hit], own[hit]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(key.view(np.int64)), pa.array(own)], names=["id", "key", "own"])
 
     return words.select("id", "salt", "word", "edits").mapInArrow(run, "id long, key long, own boolean")

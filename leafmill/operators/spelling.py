@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as fn
 from leafmill.functions.edits import EDIT, EDITS, edit_cost, folded, keyed
+from leafmill.scratch import bloom, saved
 
 # Suggestions and flagged words kept of a page, and the languages whose confusable letters are cheap.
 CAP = 50
 CONFUSED = ("vie",)
+#: Largest Bloom filter over the words' deletion keys, in bits (64 MiB); a fuller one lets more of the index's keys through.
+KEY_BITS = 1 << 29
 
 
 def tokens(pages: DataFrame, keys: list[str], shape: Column | None = None) -> DataFrame:
@@ -41,9 +46,28 @@ def candidates(words: DataFrame, index: DataFrame, lang: str = CONFUSED[0], conf
     """word (and lang, if words have it), candidate, cost and ranking of every index word within a word's greatest cost.
 
     words (word) are distinct, index has word and n; both may have lang, else they are of the language given. Confusable
-    changes are cheap in the languages confused, in all if that is None. Words meet on
-    deletion keys of high cardinality (see edits.deletion_keys), confusable letters folded where they are cheap, so that no
-    pair within reach is lost; each pair that meets is then priced once.
+    changes are cheap in the languages confused, in all if that is None. Both are written to the shared folder first.
+    """
+    return _priced(_kept(words), _kept(index, "n"), lang, confused)
+
+
+def _kept(rows: DataFrame, *more: str) -> DataFrame:
+    """The words (lang, if rows have it, word and more) that are not empty, as a table of the shared folder."""
+    by = ["lang"] if "lang" in rows.columns else []
+    return saved(rows.select(*by, "word", *more).where("word <> ''"), "words")
+
+
+def _allowed(low: Column) -> Column:
+    """Edits within a word's greatest cost."""
+    return (fn.max_cost(low) / EDIT).cast("int")
+
+
+def _priced(words: DataFrame, index: DataFrame, lang: str, confused: tuple[str, ...] | None, tier: int | None = None) -> DataFrame:
+    """candidates() of tables; with tier, only those within tier edits, of the words that may have that many.
+
+    Words meet on deletion keys of high cardinality (see edits.deletion_keys), confusable letters folded where they are cheap,
+    so that no pair within reach is lost; each pair that meets is then priced once. Of the index's keys, only those that may
+    be among the words' leave the worker that makes them: a bounded Bloom filter tells, and the join is exact.
     """
     spark = words.sparkSession  # few rows with much work each: as many partitions as there is to run them
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -52,26 +76,46 @@ def candidates(words: DataFrame, index: DataFrame, lang: str = CONFUSED[0], conf
     bare = F.when(cheap, folded(F.col("low"))).otherwise(F.col("low"))
     side = lambda df, *more: df.select(own(df).alias("lang"), "word", low.alias("low"), *more).where("low <> ''").withColumns(
         {"id": F.xxhash64("lang", "word"), "salt": F.xxhash64("lang"), "bare": bare})
-    w = side(words).withColumn("edits", (fn.max_cost(F.col("low")) / EDIT).cast("int"))
-    c = side(index, "n")
-    asked = keyed(w.repartition(parts, "id").select("id", "salt", F.col("bare").alias("word"), "edits"))
+    w, c = side(words).withColumn("edits", _allowed(F.col("low"))), side(index, "n")
     size = F.length("low")
-    reached = F.filter(F.array(*[F.when(near, k) for k, near in zip(range(1, EDITS + 1), (size <= 4, size.between(2, 8), size >= 4), strict=True)]), lambda k: k.isNotNull())
-    offered = keyed(c.repartition(parts, "id").select("id", "salt", F.col("bare").alias("word"), F.explode(reached).alias("edits")))
-    met = asked.select(F.col("id").alias("wid"), "key", F.col("own").alias("longer")).join(offered, "key").where("longer or own")
+    if tier is None:
+        sizes = (size <= 4, size.between(2, 8), size >= 4)
+        reached = F.explode(F.filter(F.array(*[F.when(near, k) for k, near in zip(range(1, EDITS + 1), sizes, strict=True)]), lambda k: k.isNotNull()))
+    else:
+        w, c = w.where(F.col("edits") >= tier).withColumn("edits", F.lit(tier)), c.where((size >= (1, 2, 4)[tier - 1]))
+        reached = F.lit(tier)
+    asked = keyed(w.repartition(parts, "id").select("id", "salt", F.col("bare").alias("word"), "edits"))
+    wanted = bloom(asked, "key", KEY_BITS)
+    offered = keyed(c.repartition(parts, "id").select("id", "salt", F.col("bare").alias("word"), reached.alias("edits")), wanted)
+    # a word makes up to some 300 rows, which its table's size does not show: neither side may be broadcast by that
+    met = asked.select(F.col("id").alias("wid"), "key", F.col("own").alias("longer")).hint("merge").join(offered.hint("merge"), "key").where("longer or own")
     met = met.select("wid", F.col("id").alias("cid")).repartition(parts, "wid").distinct()
     near = met.join(w.select(F.col("id").alias("wid"), "lang", "word", F.col("low").alias("wl"), "edits"), "wid")
     near = near.join(c.select(F.col("id").alias("cid"), F.col("lang").alias("cl_lang"), F.col("word").alias("candidate"), F.col("low").alias("cl"), "n"), "cid")
     gap = F.abs(F.length("cl") - F.length("wl"))
     near = near.where(F.col("lang").eqNullSafe(F.col("cl_lang")) & (gap <= F.col("edits")))
-    priced = near.withColumn("cost", edit_cost(F.col("wl"), F.col("cl"), F.coalesce(cheap, F.lit(False)), EDITS * EDIT)).where(F.col("cost") <= F.col("edits") * EDIT)
+    priced = near.withColumn("cost", edit_cost(F.col("wl"), F.col("cl"), F.coalesce(cheap, F.lit(False)), (tier or EDITS) * EDIT)).where(F.col("cost") <= F.col("edits") * EDIT)
     other = F.substring("wl", 1, 1) != F.substring("cl", 1, 1)
     return priced.select(*(["lang"] if "lang" in words.columns else []), "word", "candidate", "cost", "n", other.alias("other_first"), gap.alias("gap"), (F.col("cl") != F.col("candidate")).alias("caps"))
 
 
 def suggest(words: DataFrame, index: DataFrame, lang: str = CONFUSED[0], confused: tuple[str, ...] | None = CONFUSED) -> DataFrame:
-    """word, suggestion and cost (lang too, if words have it): best() over all candidates of the whole index."""
-    return best(candidates(words, index, lang, confused))
+    """word, suggestion and cost (lang too, if words have it): best() over all candidates of the whole index.
+
+    The cost comes first in the order, so a word that has a candidate within one edit needs none within two, and so on: each
+    tier's search is for the words that the tiers before left without one.
+    """
+    left, index, tiers = _kept(words), _kept(index, "n"), []
+    by = [c for c in ("lang", "word") if c in left.columns]
+    for tier in range(1, EDITS + 1):
+        tiers.append(saved(_least(_priced(left, index, lang, confused, tier)), "tier"))
+        if tier < EDITS:
+            got = tiers[-1].select(*[F.col(c).alias("__" + c) for c in by])
+            same = [F.col(c).eqNullSafe(F.col("__" + c)) for c in by]
+            left = saved(left.where(_allowed(F.lower("word")) > tier).join(got, same, "left_anti"), "words")
+            if left.isEmpty():
+                break
+    return _named(functools.reduce(DataFrame.unionByName, tiers))
 
 
 def best(priced: DataFrame) -> DataFrame:
@@ -79,9 +123,16 @@ def best(priced: DataFrame) -> DataFrame:
 
     Where the least is the word itself (cost 0) there is no suggestion, whatever else is near.
     """
+    return _named(_least(priced))
+
+
+def _least(priced: DataFrame) -> DataFrame:
     key = F.struct("cost", (-F.col("n")).alias("f"), "other_first", "gap", "caps", "candidate")
-    by = [c for c in ("lang", "word") if c in priced.columns]
-    return priced.groupBy(*by).agg(F.min(key).alias("k")).where("k.cost > 0").select(*by, F.col("k.candidate").alias("suggestion"), F.col("k.cost").cast("long").alias("cost"))
+    return priced.groupBy(*[c for c in ("lang", "word") if c in priced.columns]).agg(F.min(key).alias("k"))
+
+
+def _named(least: DataFrame) -> DataFrame:
+    return least.where("k.cost > 0").select(*least.columns[:-1], F.col("k.candidate").alias("suggestion"), F.col("k.cost").cast("long").alias("cost"))
 
 
 def first_language(found: DataFrame, languages: list[str]) -> DataFrame:
@@ -113,7 +164,7 @@ def corrected(pages: DataFrame, keys: list[str], known: DataFrame, index: DataFr
 
     index (lang, word, n) has every language's words; the first of languages with a suggestion names it.
     """
-    found = unknown(tokens(pages, keys), known)
+    found = saved(unknown(tokens(pages, keys), known), "unknown")
     words = found.select(F.col("core").alias("word")).distinct()
     each = words.select(F.explode(F.array(*map(F.lit, dict.fromkeys(languages)))).alias("lang"), "word")
     named = first_language(suggest(each, index.where(F.col("lang").isin(*languages))), languages)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as fn
 from leafmill.operators import export, imaging, jobs, lexicon, pages, spelling, structure
 from leafmill.plans import model
+from leafmill.scratch import saved
 from leafmill.sources import tools
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,9 +182,9 @@ def freq(spark, d):
     return lexicon.frequencies(model.table(spark, d, "documents"))
 
 
-def dictionary(spark, d, by=()):
+def dictionary(spark, d, by=(), counted=None):
     """Dictionary lines (of each language, if by has lang) made of frequent words after a heading, some with affix flags, capitals or a digit."""
-    w = freq(spark, d).where("n >= 3").select(*by, "word").distinct()
+    w = (freq(spark, d) if counted is None else counted).where("n >= 3").select(*by, "word").distinct()
     line = F.expr("case when length(word) % 5 = 0 then concat(word, '/AB') when length(word) % 7 = 0 then concat(word, '9') when length(word) % 3 = 0 and word rlike '^[a-z]' then concat(upper(left(word, 1)), substring(word, 2)) else word end")
     head = w.select(*by).distinct() if by else spark.range(1).select()
     lines = head.select(*by, F.lit(0).alias("no"), F.lit("heading").alias("line")).unionByName(w.select(*by, F.lit(1).alias("no"), line.alias("line")))
@@ -235,8 +236,8 @@ def unknown_sql(table: str, keys: str, shape: str = CORE) -> str:
       and not coalesce(kf.plain or list_contains(kf.forms, core) or (upper(core) = core and list_contains(list_transform(kf.forms, lambda x: upper(x)), core)), false))"""
 
 
-def known(spark, d):
-    return lexicon.known(freq(spark, d), dictionary(spark, d))
+def known(spark, d, counted=None):
+    return lexicon.known(freq(spark, d) if counted is None else counted, dictionary(spark, d, counted=counted))
 
 
 @query(f"with {KNOWN} select core as word, count(*) as n from {unknown_sql('benchmark', 'item_id')} group by core")
@@ -284,8 +285,8 @@ def unknown_distinct(spark, d):
     return spelling.unknown(cores, known(spark, d)).select(F.col("core").alias("word"))
 
 
-def index_by_language(spark, d):
-    return lexicon.word_index(dictionary(spark, d, ["lang"]), freq(spark, d))
+def index_by_language(spark, d, counted=None):
+    return lexicon.word_index(dictionary(spark, d, ["lang"], counted), freq(spark, d) if counted is None else counted)
 
 
 def english(spark, d):
@@ -332,7 +333,8 @@ def match_case(spark, d):
 
 @query()
 def correct_text_capped(spark, d):
-    c = spelling.corrected(model.dialogue(spark, d), ["doc_id", "page"], known(spark, d), index_by_language(spark, d), ["en"])
+    f = saved(freq(spark, d), "freq")  # all else is made of it: the documents are read once
+    c = spelling.corrected(model.dialogue(spark, d), ["doc_id", "page"], known(spark, d, f), index_by_language(spark, d, f), ["en"])
     return c.withColumnRenamed("suggestion", "corrected")
 
 

@@ -5,7 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from leafmill.functions.edits import keyed
 from leafmill.operators import export, imaging, jobs, lexicon, pages, recognition, spelling, structure
+from leafmill.scratch import bloom, saved
 from leafmill.sources import files, tools
 from tests.test_functions import plain_cost
 
@@ -72,6 +74,42 @@ def test_suggestions_against_brute_force(spark):
     assert dict((r[0], r[1:]) for r in rows(tiered)) == want
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keys_are_not_broadcast(spark):
+    """A word makes hundreds of key rows, which the size of its table says nothing of."""
+    w = saved(spark.createDataFrame([("definately",)], "word string"), "w")  # a table, so that its size is known
+    index = saved(spark.createDataFrame([("definitely", 3)], "word string, n long"), "index")
+    joins = [x for x in plan(spelling.candidates(w, index)).splitlines() if "Join [key#" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+
+
+def test_only_wanted_keys_leave_the_worker(spark):
+    w = spark.createDataFrame([(1, 5, "definately", 3), (2, 5, "elephantine", 3)], "id long, salt long, word string, edits int")
+    every = keyed(w)
+    some = keyed(w, bloom(every.where("id = 1"), "key")).collect()
+    assert {tuple(r) for r in some} >= {tuple(r) for r in every.where("id = 1").collect()}
+    assert sum(r.id == 2 for r in some) < every.where("id = 2").count() / 10
+
+
+def test_dearer_tiers_are_searched_for_what_is_left(spark, monkeypatch):
+    seen = []
+    real = spelling._priced
+
+    def priced(words, *rest):
+        seen.append(sorted((r.lang or "", r.word) for r in words.collect()))
+        return real(words, *rest)
+
+    monkeypatch.setattr(spelling, "_priced", priced)
+    w = spark.createDataFrame([("en", "abcdefgx"), ("en", "abcdexyh"), ("en", "abcdwxyh"), ("en", "zzzzzzzz"), ("en", "same"), (None, "abcdefgx"), (None, "nul")], "lang string, word string")
+    index = spark.createDataFrame([("en", "abcdefgh", 3), ("en", "same", 1), ("en", "sane", 9), (None, "abcdefgh", 1), (None, "nil", 1)], "lang string, word string, n long")
+    got = {(r.lang, r.word): (r.suggestion, r.cost) for r in spelling.suggest(w, index, confused=()).collect()}
+    assert got == {("en", "abcdefgx"): ("abcdefgh", 10), ("en", "abcdexyh"): ("abcdefgh", 20), ("en", "abcdwxyh"): ("abcdefgh", 30), (None, "abcdefgx"): ("abcdefgh", 10), (None, "nul"): ("nil", 10)}
+    assert [len(x) for x in seen] == [7, 3, 2] and seen[2] == [("en", "abcdwxyh"), ("en", "zzzzzzzz")]
+
+
 def scan(tokens, cap):
     """The two lists as a loop over tokens (core, suggestion) fills them."""
     out, seen, counts = [], set(), {True: 0, False: 0}

@@ -59,3 +59,9 @@ def test_suggestions_come_from_the_whole_pool(spark, tmp_path):
     assert got["jumpingli"] == "jumpingly"
     found = {(r.lang, r.word): r.suggestion for r in catalogue.QUERIES["suggest_confusable"](spark, str(tmp_path)).collect()}
     assert found["es", "cañònico"] == "cañónico" and found["fr", "vèrifions"] == "vérifions"
+
+
+@pytest.mark.parametrize("name", ["correct_text_capped"])
+def test_documents_are_not_counted_again_and_again(spark, name):
+    plan = catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("documents.parquet") <= 1
