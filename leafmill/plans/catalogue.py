@@ -307,10 +307,12 @@ def suggest_best(spark, d):
 @query()
 def suggest_confusable(spark, d):
     """The documents with every vowel's grave accent in place of its acute: a confusable change, here cheap in every language."""
-    t = model.table(spark, d, "documents").select("lang", F.translate("text", "áéíóú", "àèìòù").alias("text"))
-    cores = spelling.tokens(t, ["lang"]).select("lang", F.lower("core").alias("core")).distinct()
-    w = spelling.unknown(cores, known(spark, d)).where("lang is not null").select("lang", F.col("core").alias("word"))
-    return spelling.suggest(w, index_by_language(spark, d), confused=None)
+    each = spelling.tokens(model.table(spark, d, "documents"), ["lang"], F.col("word")).select("lang", F.col("core").alias("word"))
+    each = saved(each.distinct(), "words")  # the optimizer would do without this distinct, and cut every occurrence to its core
+    cores = each.select("lang", F.lower(fn.core(F.translate("word", "áéíóú", "àèìòù"))).alias("core")).distinct()
+    f = saved(freq(spark, d), "freq")
+    w = spelling.unknown(cores, known(spark, d, f)).where("lang is not null").select("lang", F.col("core").alias("word"))
+    return spelling.suggest(w, index_by_language(spark, d, f), confused=None)
 
 
 @query(f"""with {priced_sql(BENCH_WORDS, "['en', 'fr']")}, numbered as (select word, cast(case lang when 'en' then 0 else 1 end as bigint) as lang_no, suggestion, cost from best)

@@ -61,7 +61,7 @@ def test_suggestions_come_from_the_whole_pool(spark, tmp_path):
     assert found["es", "cañònico"] == "cañónico" and found["fr", "vèrifions"] == "vérifions"
 
 
-@pytest.mark.parametrize("name", ["correct_text_capped"])
+@pytest.mark.parametrize("name", ["correct_text_capped", "suggest_confusable"])
 def test_documents_are_not_counted_again_and_again(spark, name):
     plan = catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("documents.parquet") <= 1
