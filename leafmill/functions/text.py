@@ -89,4 +89,6 @@ def stem(path: Column) -> Column:
 
 
 def gigabytes(size: Column) -> Column:
-    return F.format_string("%.1f GB", size / F.lit(1073741824.0))
+    """GiB with one decimal; halves go to the even digit, as C and DuckDB print them (format_string would take them up)."""
+    tenths = F.rint(size / F.lit(1073741824.0) * 10)
+    return F.when(size.isNotNull(), F.format_string("%.1f GB", tenths / 10))

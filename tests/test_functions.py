@@ -48,6 +48,12 @@ def test_names(spark):
     assert column(spark, [1610612736], fn.gigabytes, "long") == ["1.5 GB"]
 
 
+def test_halves_of_a_tenth_go_to_the_even_digit(spark):
+    sizes = [i << 28 for i in range(40)] + [i * 65536 for i in range(0, 500_000, 997)] + [(1 << 28) - 1, (1 << 28) + 1, -(1 << 28), 1 << 52]
+    assert column(spark, sizes, fn.gigabytes, "long") == [f"{x / 2**30:.1f} GB" for x in sizes]
+    assert column(spark, [None, 0.25 * 2**30, 0.75 * 2**30], fn.gigabytes, "double") == [None, "0.2 GB", "0.8 GB"]
+
+
 def plain_cost(a, b):
     d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) + 1):
