@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Spark's setting by which a query's shuffle files go with its end.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a temporary one only in local mode, where it is unset."""
     sc = spark.sparkContext
@@ -37,10 +41,18 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written once as a table in the shared folder and read back: cuts lineage and survives lost executors."""
+    """df written once as a table in the shared folder and read back: cuts lineage and survives lost executors.
+
+    The shuffle files of the writing are deleted with its end, not when the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

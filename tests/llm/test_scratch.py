@@ -1,3 +1,6 @@
+import re
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -20,6 +23,17 @@ def test_tables_lie_in_the_shared_folder(spark):
     assert df.inputFiles()[0].startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
 
 
+def test_shuffle_files_go_with_the_writing(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {x for x in re.findall(r"shuffle_\d+_", disk.getAllFiles().mkString(" "))}
+    before, df = held(), spark.range(10_000).groupBy((F.col("id") % 999).alias("k")).count()
+    got, until = scratch.saved(df, "some"), time.monotonic() + 10
+    while held() - before and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not held() - before and got.count() == 999 == df.count()
+    assert spark.conf.get(scratch.SHUFFLE_CLEANUP, "false") == "false"
+
+
 def test_fingerprints_depend_on_content_alone():
     import pyarrow as pa
 
